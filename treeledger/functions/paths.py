@@ -51,7 +51,7 @@ WITHHELD_PATTERN = (
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in mapping.items()) + ")")
 
 
 def dirname(path: Column) -> Column:

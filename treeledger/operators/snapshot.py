@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
 from .ordered import ordered
 
 STEP = ["artifact", "old_seq", "new_seq"]
 FACTS = ["size", "sha256", "mode", "is_text", "is_vendor", "lang", "lines"]
 
 
-def consecutive_steps(versions: DataFrame) -> DataFrame:
-    """Each version with the greatest lower one of its artifact."""
-    from .history import version_steps
-
-    return version_steps(versions)
-
-
 def with_roles(files: DataFrame, old_seq: int | None = None, new_seq: int | None = None, steps: DataFrame | None = None) -> DataFrame:
     """Files of both versions of each comparison, tagged ``is_new``.
 
@@ -106,6 +100,15 @@ def changed_files(diff: DataFrame, renames: DataFrame) -> DataFrame:
     return plain.select(*STEP, "kind", "path", F.lit(None).cast("string").alias("old_path"), "old", "new").unionByName(renamed)
 
 
+def stored_changes(roles: DataFrame) -> DataFrame:
+    """The rows of a comparison that are not unchanged, materialised once.
+
+    Rename detection, moves and per-file changes all read them; without this each
+    branch would scan and hash the files again.
+    """
+    return durable(snapshot_diff(roles).where(F.col("kind") != "unchanged"))
+
+
 def is_vendored_change() -> Column:
     return F.coalesce(F.col("new.is_vendor"), F.col("old.is_vendor"))
 

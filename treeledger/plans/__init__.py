@@ -5,8 +5,9 @@ def load():
     """Import every query module and return the filled registry."""
     from . import (  # noqa: F401
         registry,
-        snapshot_queries,
         scalar_queries,
+        snapshot_queries,
+        change_queries,
     )
 
     return registry
