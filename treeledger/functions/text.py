@@ -65,13 +65,6 @@ def shared_prefix(a: Column, b: Column) -> Column:
     ).cast("int")
 
 
-def shared_edges(a: Column, b: Column) -> tuple[Column, Column]:
-    """Shared prefix and suffix lengths; together they never overlap."""
-    head = shared_prefix(a, b)
-    tail = F.least(shared_prefix(F.reverse(a), F.reverse(b)), F.least(F.length(a), F.length(b)) - head)
-    return head, tail.cast("int")
-
-
 def printable_share(payload: Column) -> Column:
     """Share of bytes that are printable ASCII, tab, LF or CR."""
     latin = F.decode(payload, "ISO-8859-1")

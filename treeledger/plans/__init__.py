@@ -8,6 +8,9 @@ def load():
         scalar_queries,
         snapshot_queries,
         change_queries,
+        set_queries,
+        history_queries,
+        text_queries,
     )
 
     return registry
