@@ -11,6 +11,7 @@ def load():
         set_queries,
         history_queries,
         text_queries,
+        review_queries,
     )
 
     return registry
