@@ -35,12 +35,14 @@ def file_facts(files: DataFrame, options: ScanOptions = ScanOptions(), keep_cont
 
 def _hash_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feed (artifact, seq, entry) rows, already in order, through one digest per version."""
-    current, digest = None, None
+    current, digest, types = None, None, None
 
     def row(key: tuple, value: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"artifact": [key[0]], "seq": [key[1]], "tree_hash": [value]})
+        arrays = [pa.array([v], t) for v, t in zip((*key, value), (*types, pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=[*VERSION, "tree_hash"])
 
     for batch in batches:
+        types = [batch.schema.field(c).type for c in VERSION]
         columns = batch.to_pydict()
         for artifact, seq, entry in zip(columns["artifact"], columns["seq"], columns["entry"]):
             if (artifact, seq) != current:
