@@ -54,10 +54,12 @@ def text_measures(changes: DataFrame, files: DataFrame) -> DataFrame:
     Text is fetched for the changed keys alone, exploded once and folded in two
     aggregations that Spark combines before each shuffle.
     """
-    sides = side_texts(changes, files).select(
+    # Measured per text first: beside an explode they would run once per line.
+    measured = side_texts(changes, files).select(
         *STEP, "path", "is_new", F.md5(text.whitespace_key(F.col("content"))).alias("ws"),
         text.mean_line_length(F.col("content")).alias("mean"), (F.col("content") != "").alias("filled"),
-        F.explode_outer(text.lines_of(F.col("content"))).alias("line"))
+        text.lines_of(F.col("content")).alias("lines"))
+    sides = measured.select(*STEP, "path", "is_new", "ws", "mean", "filled", F.explode_outer("lines").alias("line"))
     new, old = F.col("is_new"), ~F.col("is_new")
     line = F.col("line").isNotNull().cast("bigint")
     per_line = sides.groupBy(*STEP, "path", F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).agg(

@@ -22,13 +22,18 @@ def _grams(text: Column) -> Column:
 def contains_join(haystacks: DataFrame, needles: DataFrame, haystack: str, needle: str) -> DataFrame:
     """Pairs where the haystack contains the needle, both already lower-cased.
 
-    Not a nested loop: a needle's first three characters (or all of a shorter one)
-    must occur in the haystack, so the two sides meet on that piece and only those
-    pairs are tested. Every containing pair is found exactly once.
+    Not a nested loop: every piece of a needle must occur in the haystack, so the
+    sides meet on the needle's rarest piece (of up to three characters) and only
+    those pairs are tested. Every containing pair is found exactly once.
     """
-    keyed = needles.where(F.col(needle) != "").withColumn("_gram", F.substring(needle, 1, GRAM))
     pieces = haystacks.withColumn("_gram", F.explode(_grams(F.col(haystack))))
-    return pieces.join(keyed, "_gram").where(F.contains(F.col(haystack), F.col(needle))).drop("_gram")
+    common = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    texts = needles.select(needle).where(F.col(needle) != "").distinct()
+    offered = texts.withColumn("_gram", F.explode(_grams(F.col(needle)))).join(common, "_gram", "left")
+    # A piece no haystack has makes its needle unmatchable: count 0 wins and joins nothing.
+    rarest = offered.groupBy(needle).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_r")).select(needle, F.col("_r._gram").alias("_gram"))
+    hits = pieces.join(rarest, "_gram").where(F.contains(F.col(haystack), F.col(needle))).drop("_gram")
+    return hits.join(needles, needle)
 
 
 def alias_match(names: DataFrame, aliases: DataFrame, rules: tuple[tuple[int, str, str], ...] = (), key: str = "id", name: str = "name") -> DataFrame:
@@ -39,8 +44,9 @@ def alias_match(names: DataFrame, aliases: DataFrame, rules: tuple[tuple[int, st
     compiled into the plan as literals.
     """
     lowered = names.select(key, F.lower(name).alias("_name"))
-    needles = aliases.select("alias_id", "artifact", F.lower("pattern").alias("_pattern"))
-    hits = contains_join(lowered, needles, "_name", "_pattern").select(key, F.struct("alias_id", "artifact").alias("_a"))
+    # Of aliases with one pattern only the first can win: one needle per pattern.
+    needles = aliases.groupBy(F.lower("pattern").alias("_pattern")).agg(F.min(F.struct("alias_id", "artifact")).alias("_a"))
+    hits = contains_join(lowered, needles, "_name", "_pattern").select(key, "_a")
     if rules:
         literal = F.array(*[F.when(F.col(name).rlike(p), F.struct(F.lit(i).cast("bigint").alias("alias_id"), F.lit(a).alias("artifact"))) for i, p, a in rules])
         by_rule = names.select(key, F.explode(F.filter(literal, lambda r: r.isNotNull())).alias("_a"))

@@ -17,7 +17,7 @@ from .registry import query
 from .scalar_queries import _clean_sql, _slug_sql, sql_basename, sql_dirname, sql_text
 from .snapshot_queries import FACTS_SQL, FILES, facts as file_facts
 
-table = adapters.table
+table, spread = adapters.table, adapters.spread_table
 ARRIVALS = adapters.ARRIVALS_SQL
 
 
@@ -105,7 +105,7 @@ _ALIASES = "SELECT p_partkey AS alias_id, p_brand AS artifact, upper(p_name) ||
 h AS (SELECT n.id, a.alias_id, a.artifact FROM n JOIN a ON contains(lower(n.name), lower(a.pattern)) UNION ALL SELECT id, -1, 'rule' FROM n WHERE regexp_matches(name, '#[0-9]*77\\.zip$'))
 SELECT id, alias_id, artifact FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY alias_id) = 1""")
 def alias_match(spark, sf):
-    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    p, key = spread(spark, sf, "part", "p_partkey"), F.col("p_partkey")
     aliases = p.where(F.col("p_size") > 20).select(
         key.alias("alias_id"), F.col("p_brand").alias("artifact"), F.concat(F.upper("p_name"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(" #"), key))).alias("pattern"))
     names = p.select(key.alias("id"), F.concat(F.lit("x "), "p_name", F.lit(" #"), (key + F.col("p_size")).cast("string"), F.lit(".zip")).alias("name"))
@@ -121,7 +121,7 @@ t AS (SELECT w.name, min(artifact) AS lo, max(artifact) AS hi FROM (SELECT DISTI
 SELECT s.id, s.name, coalesce(n, g, CASE WHEN lo = hi THEN lo END) AS artifact, CASE WHEN n IS NOT NULL THEN 'name' WHEN g IS NOT NULL THEN 'slug' WHEN lo = hi THEN 'substring' END AS how
 FROM s LEFT JOIN t ON t.name = s.name AND n IS NULL AND g IS NULL""")
 def resolve_names(spark, sf):
-    c, key, name = table(spark, sf, "customer"), F.col("c_custkey"), F.col("c_name")
+    c, key, name = spread(spark, sf, "customer", "c_custkey"), F.col("c_custkey"), F.col("c_name")
     known = c.select(name.alias("artifact"), F.replace(name, F.lit("#"), F.lit("-")).alias("slug"))
     asked = c.select(key.alias("id"), F.when(key % 5 == 0, F.upper(name)).when(key % 5 == 1, F.replace(name, F.lit("#"), F.lit("-"))).when(
         key % 5 == 2, F.substring(name, 10, 100)).when(key % 5 == 3, F.lit("omer#0000")).otherwise(F.concat(F.lit("nobody"), key)).alias("name"))
@@ -155,7 +155,7 @@ r AS (SELECT id, file_name, coalesce(override, al, ru, si, k1, k2, CASE WHEN cle
     WHEN clean <> '' AND NOT {_meaningless_sql('clean')} THEN 'filename' WHEN NOT regexp_matches(top_entry, '\\.(py|js|json|mjs|cjs)$') AND NOT {_meaningless_sql('top_entry')} THEN 'zip-top-level' ELSE 'fallback' END AS strategy FROM d)
 SELECT *, CASE WHEN strategy IN ('explicit', 'alias', 'config-rule', 'sidecar-json', 'known-function') THEN 'high' WHEN strategy = 'filename' THEN 'medium' ELSE 'low' END AS confidence, {_slug_sql('name')} AS slug FROM r""")
 def identify_names(spark, sf):
-    arrivals = table(spark, sf, "orders").select(
+    arrivals = spread(spark, sf, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("id"), F.expr(_FILE.replace("CAST(o_custkey AS VARCHAR)", "CAST(o_custkey AS STRING)")).alias("file_name"),
         F.expr(_OVERRIDE).alias("override"), F.expr(_SIDECAR).alias("sidecar"), F.expr(_TOP).alias("top_entry"))
     known = table(spark, sf, "customer").select(F.col("c_name").alias("artifact"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("slug"))
@@ -197,7 +197,7 @@ def json_from_text(spark, sf):
     text = (F.when(key % 5 == 0, body).when(key % 5 == 1, F.concat(F.lit("Sure!\n```json\n"), body, F.lit("\n```\nBye {x}")))
             .when(key % 5 == 2, F.concat(F.lit("Here: "), body, F.lit(" done."))).when(key % 5 == 3, F.concat(F.lit("With {a brace first: "), body))
             .otherwise(F.concat(F.lit("No object here. Only "), "event_type", F.lit("."))))
-    answers = table(spark, sf, "events").select("event_id", text.alias("text"))
+    answers = spread(spark, sf, "events", "event_id").select("event_id", text.alias("text"))
     return review.parse_answers(answers, "event_id").select("event_id", "structured", "headline", "summary", "risk")
 
 

@@ -9,7 +9,7 @@ from ..options import IGNORE_GLOBS, STRIP_PATTERNS, VENDOR_GLOBS, ArrivalOptions
 from ..sources import adapters
 from .registry import query
 
-table = adapters.table
+table, spread = adapters.table, adapters.spread_table
 FILES = adapters.SNAPSHOT_FILES_SQL
 
 
@@ -211,7 +211,7 @@ def clean_names(spark, sf):
     raw = F.expr(_STEMS.replace("strftime(o_orderdate, '%Y-%m-%d')", "date_format(o_orderdate, 'yyyy-MM-dd')")
                  .replace("strftime(o_orderdate, '%Y%m%d')", "date_format(o_orderdate, 'yyyyMMdd')")
                  .replace("sha256(CAST(o_orderkey AS VARCHAR))", "sha2(CAST(o_orderkey AS STRING), 256)"))
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
+    orders = spread(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
     return orders.withColumn("name", paths.clean_name(F.col("raw")))
 
 
@@ -300,7 +300,7 @@ def recent_arrivals(spark, sf):
 
 @query("whitespace_key", f"SELECT doc_id, sha256({sql_whitespace_key('text')}) AS key FROM documents")
 def whitespace_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(text.whitespace_key(F.col("text")), 256).alias("key"))
+    return spread(spark, sf, "documents", "doc_id").select("doc_id", F.sha2(text.whitespace_key(F.col("text")), 256).alias("key"))
 
 
 @query("path_parts", f"""SELECT page_id, path, {sql_dirname('path')} AS folder, {sql_basename('path')} AS name,

@@ -11,7 +11,7 @@ from .change_queries import LINES_SQL, PAIR_LINES_SQL, modified_sides
 from .registry import query
 from .scalar_queries import sql_basename, sql_dirname, sql_extension, sql_language, sql_lines, sql_shared_prefix, sql_text, sql_vendored, sql_whitespace_key
 
-table = adapters.table
+table, spread = adapters.table, adapters.spread_table
 FILES, CODE, TURNS = adapters.SNAPSHOT_FILES_SQL, adapters.CODE_FILES_SQL, adapters.TURNS_SQL
 
 
@@ -78,7 +78,7 @@ SELECT DISTINCT page_id, path, kind, name, CAST(line_no AS INTEGER) AS line_no,
   UNION ALL SELECT page_id, path, line_no, 'number', unnest(regexp_extract_all(line, {sql_text(_NUMBER)}, 1)) FROM l)""")
 def extract_refs(spark, sf):
     """The reference extractor with another catalogue: links and numbers of pages."""
-    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
+    pages = spread(spark, sf, "pages", "page_id").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
     return extract.extract_refs(pages, LINKS, include_vendored=True, keys=("page_id", "path"))
 
 
@@ -203,7 +203,7 @@ _WORD_TOKEN = "regexp_extract_all(text, '[A-Za-z0-9+/_=-]{8,}', 0)"
 def token_entropy(spark, sf):
     from ..functions import text
 
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0)))).alias("token"))
+    docs = spread(spark, sf, "documents", "doc_id").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0)))).alias("token"))
     return docs.withColumn("entropy", F.round(text.shannon_entropy(F.col("token")), 6))
 
 
@@ -213,7 +213,7 @@ _WITH_RUNS = "text || chr(10) || 'k: ' || substr(sha256(CAST(doc_id AS VARCHAR))
 
 def with_runs(spark, sf):
     d = F.col("doc_id").cast("string")
-    return table(spark, sf, "documents").select("doc_id", F.concat(
+    return spread(spark, sf, "documents", "doc_id").select("doc_id", F.concat(
         "text", F.lit("\nk: "), F.substring(F.sha2(d, 256), 1, 20), F.lit("XyZwVuTsRqPo"), d, F.lit(" h: "), F.sha2("text", 256)).alias("content"))
 
 
@@ -326,5 +326,5 @@ SELECT p_partkey, CASE WHEN regexp_matches(s, '^(git\\+|https?://)') THEN string
   CASE WHEN regexp_matches(s, '^(git\\+|https?://)') THEN NULL WHEN contains(s, ' @ ') THEN trim(string_split(s, ' @ ')[2]) WHEN regexp_extract(s, {_REQ}, 2) <> '' THEN nullif(regexp_extract(s, {_REQ}, 3), '') END AS version
 FROM (SELECT p_partkey, trim(regexp_replace({_REQUIREMENT_LINES}, '#.*$', '')) AS s FROM part) WHERE s <> '' AND NOT starts_with(s, '-')""")
 def parse_requirements(spark, sf):
-    parts = table(spark, sf, "part").select("p_partkey", F.expr(_REQUIREMENT_LINES.replace('\\"', '"').replace("\"3\"", '"3"')).alias("content"))
+    parts = spread(spark, sf, "part", "p_partkey").select("p_partkey", F.expr(_REQUIREMENT_LINES.replace('\\"', '"').replace("\"3\"", '"3"')).alias("content"))
     return parts.select("p_partkey", F.explode(dependency_ops.requirements(F.col("content"))).alias("d")).select("p_partkey", "d.name", "d.version")

@@ -14,13 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows cost much work each, over at least one task per core.
+
+    A single-file input scans in one task; only then are rows redistributed. An input
+    with as many splits as there are cores is left alone: no shuffle at scale.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a file tree per document source.
 
     The second version drops and adds files, moves some, appends a line to some,
     doubles the spaces of some and marks some executable.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id")
     d, seq = F.col("doc_id"), F.col("seq")
     root = F.when(F.col("lang") == "en", F.lit("src/")).otherwise(F.concat(F.lit("vendor/"), F.col("lang"), F.lit("/")))
     path = F.concat(
@@ -112,7 +123,7 @@ WHERE o_orderkey % {modulus} <> 0 AND (d.is_declared OR o_orderkey % 2 = 0)
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as histories: one artifact per conversation, one version per turn."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread_table(spark, sf_dir, "conversations", "conv_id").select(
         F.col("conv_id").alias("artifact"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
 
@@ -125,7 +136,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Gives every pattern catalogue something to find, growing with the table.
     """
-    p = table(spark, sf_dir, "part")
+    p = spread_table(spark, sf_dir, "part", "p_partkey")
     key = F.col("p_partkey")
     ident = F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_")
     upper = F.upper(ident)
