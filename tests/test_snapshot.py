@@ -189,3 +189,36 @@ def test_similar_contents_loses_no_pair(spark):
 
 def test_options_are_the_documented_defaults():
     assert (CompareOptions().rename_threshold, CompareOptions().min_moved_files, CompareOptions().max_compare_bytes) == (0.55, 3, 524288)
+
+
+def test_banded_pairs_give_the_same_renames(spark):
+    """Copies and near copies in number, same and other names: both ways agree."""
+    import random
+
+    rng = random.Random(8)
+    common = [f"shared {i} = {i}" for i in range(12)]
+
+    def texts(side):
+        out = {}
+        for i in range(60):
+            base = common[:rng.choice([8, 10, 12])] if rng.random() < .8 else [f"rare {rng.randrange(5)} {j}" for j in range(6)]
+            own = [f"{side} only {i}" * rng.choice([1, 1, 40])] if rng.random() < .6 else [f"{side} tail"]
+            name = rng.choice(["LICENSE", f"f{rng.randrange(40)}.py", f"x{i}.py"])
+            out[f"{side}{rng.randrange(9)}/{name}"] = "\n".join(base + own) + "\n"
+        return out
+
+    files = tree(spark, texts("old"), texts("new"))
+    diff = snapshot.stored_changes(snapshot.with_roles(facts.file_facts(files), 1, 2))
+    left = snapshot.without_renamed(diff, snapshot.exact_renames(diff))
+    direct = rows(similar.similar_renames(left, files), "new_path", "old_path", "ratio")
+    banded = rows(similar.similar_renames(left, files, direct_pairs=0), "new_path", "old_path", "ratio")
+    assert len(direct) > 20 and banded == direct
+
+
+def test_band_of_lone_copy_groups_is_the_diagonal(spark):
+    step = ("f", 1, 2)
+    groups = spark.createDataFrame([(*step, "o", "n", 0.9)], "artifact string, old_seq int, new_seq int, old_handle string, new_handle string, ratio double")
+    members = spark.createDataFrame([(*step, side, h, f"{h}{i:03d}") for side, h, count in ((False, "o", 50), (True, "n", 40)) for i in range(count)],
+                                    "artifact string, old_seq int, new_seq int, is_new boolean, handle string, path string")
+    pairs = similar.banded_pairs(groups, members)
+    assert rows(pairs, "new_path", "old_path") == [(f"n{i:03d}", f"o{i + 10:03d}") for i in range(40)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, paths, text
 from ..options import CompareOptions
 from . import similar, snapshot
-from .durable import durable
+from .durable import durable, fetch
 from .facts import count_if, file_facts, sum_if
 from .snapshot import STEP
 
@@ -33,14 +33,17 @@ def renamed_and_changed(
 
 
 def _texts(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """Contents of both sides of every change that has text to compare."""
+    """Contents of both sides of every change that has text to compare.
+
+    ``changes`` is a stored table; its keys go to the text, not the text to a shuffle.
+    """
     wanted = changes.select(
         *STEP, "path", F.explode(F.array(
             F.struct(F.col("old_seq").alias("seq"), F.coalesce("old_path", "path").alias("at"), F.lit(False).alias("is_new"), F.col("old").isNotNull().alias("there")),
             F.struct(F.col("new_seq").alias("seq"), F.col("path").alias("at"), F.lit(True).alias("is_new"), F.col("new").isNotNull().alias("there")),
         )).alias("s")
     ).where("s.there").select(*STEP, "path", "s.seq", "s.at", "s.is_new")
-    return wanted.join(files.select("artifact", "seq", F.col("path").alias("at"), "content"), ["artifact", "seq", "at"])
+    return fetch(files.select("artifact", "seq", F.col("path").alias("at"), "content"), wanted, ["artifact", "seq", "at"])
 
 
 def side_texts(changes: DataFrame, files: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def text_measures(changes: DataFrame, files: DataFrame) -> DataFrame:
     """
     # Measured per text first: beside an explode they would run once per line.
     measured = side_texts(changes, files).select(
-        *STEP, "path", "is_new", F.md5(text.whitespace_key(F.col("content"))).alias("ws"),
+        *STEP, "path", "is_new", F.xxhash64(text.whitespace_key(F.col("content"))).alias("ws"),
         text.mean_line_length(F.col("content")).alias("mean"), (F.col("content") != "").alias("filled"),
         text.lines_of(F.col("content")).alias("lines"))
     sides = measured.select(*STEP, "path", "is_new", "ws", "mean", "filled", F.explode_outer("lines").alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,3 +31,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the checkpoint folder."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def fetch(big: DataFrame, stored_keys: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``big`` for a stored set of keys, without shuffling ``big`` when the set is small.
+
+    ``stored_keys`` is already materialised, so counting it is cheap. Up to ``limit``
+    rows (a few tens of megabytes of paths) it is broadcast and the wide side stays
+    where it was read; beyond that Spark joins by shuffle.
+    """
+    keys = broadcast(stored_keys) if stored_keys.count() <= limit else stored_keys
+    return big.join(keys, on, how)

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions import paths, text
 from ..options import CompareOptions
-from .durable import durable
+from .durable import durable, fetch
+from .ordered import ordered
 from .snapshot import STEP
 
 
@@ -43,51 +44,73 @@ def pair_similarity(sides: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("ratio", F.round(bag_ratio(F.col("overlap"), F.col("old_lines"), F.col("new_lines")), 6))
 
 
-def similar_contents(contents: DataFrame, threshold: float) -> DataFrame:
-    """Every (old, new) pair of contents whose line bags reach ``threshold``.
-
-    ``contents``: step, is_new, sha256, content; one row per distinct content, so a
-    group of copies is scored once. Exact prefix filtering: a pair at the threshold
-    shares at least ``a = t*n/(2-t)`` of the n lines of either side, so with lines
-    ordered rare to common it must share one before the last ``a``. Only those
-    prefixes meet in the join; common lines (blanks, licence text) fall in nobody's
-    prefix unless a file has little else. No pair is lost and no line is dropped.
+def content_classes(contents: DataFrame, by_content: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classes, bag): contents that no other-side content can tell apart share a class.
+
+    A line the other side never has only counts in a content's length, so contents
+    with equal length and equal lines shared with the other side score alike against
+    everything: copies that differ by a line of their own are one class. ``by_content``
+    keeps every content its own class.
+
+    ``classes``: step, is_new, sha256, class, n. ``bag``: the shared lines of one
+    content per class, with how many classes hold each line.
     """
     content = [*STEP, "is_new", "sha256"]
-    bag = durable(line_bag(contents, content))  # read by four branches below
-    # Lines the other side never has cannot add overlap: they only count in n.
-    frequency = bag.groupBy(*STEP, "line", "line2").agg(
-        F.sum(F.col("is_new").cast("bigint")).alias("in_new"), F.count(F.lit(1)).alias("df")
-    ).where((F.col("in_new") > 0) & (F.col("in_new") < F.col("df"))).drop("in_new")
+    bag = durable(line_bag(contents, content))  # read by the branches below
+    both_sides = bag.groupBy(*STEP, "line", "line2").agg(F.min("is_new").alias("_lo"), F.max("is_new").alias("_hi")).where(
+        F.col("_lo") != F.col("_hi")).select(*STEP, "line", "line2")
+    shared = bag.join(both_sides, [*STEP, "line", "line2"], "left_semi")
     sizes = bag.groupBy(*content).agg(F.sum("c").alias("n"))
-    shared = bag.join(frequency, [*STEP, "line", "line2"])
-    one_file = Window.partitionBy(*content)  # bounded by one file's distinct lines
-    rare_last = one_file.orderBy(F.col("df").desc(), F.col("line").desc(), F.col("line2").desc())
+    marks = shared.groupBy(*content).agg(
+        F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("line", "line2", "c")).alias("_x"), F.bit_xor(F.xxhash64("c", "line2", "line", F.lit(7))).alias("_y"))
+    name = F.col("sha256") if by_content else F.concat_ws("-", "n", "_k", "_x", "_y")
+    classes = durable(sizes.join(marks, content).select(*content, name.alias("class"), "n"))
+    one_each = classes.groupBy(*STEP, "is_new", "class", "n").agg(F.min("sha256").alias("sha256"))
+    return classes, shared.join(one_each, content).drop("sha256")
+
+
+def similar_classes(bag: DataFrame, threshold: float) -> DataFrame:
+    """Every (old, new) pair of classes whose line bags reach ``threshold``.
+
+    Exact prefix filtering: a pair at the threshold t shares at least
+    ``a = t*n/(2-t)`` of the n lines of either side, so with lines ordered rare to
+    common it must share one before the last ``a``. Only those prefixes meet in the
+    join; common lines (blanks, licence text) fall in nobody's prefix unless a
+    content has little else. No pair is lost and no line is dropped.
+    """
+    unit = [*STEP, "is_new", "class", "n"]
+    frequency = bag.groupBy(*STEP, "line", "line2").agg(F.count(F.lit(1)).alias("df"))
+    ranked = bag.join(frequency, [*STEP, "line", "line2"])
+    one_class = Window.partitionBy(*unit)  # bounded by one content's distinct lines
+    common_first = one_class.orderBy(F.col("df").desc(), F.col("line").desc(), F.col("line2").desc())
     need = F.ceil(F.lit(threshold) * F.col("n") / F.lit(2.0 - threshold) - 1e-9)
-    prefixes = (
-        shared.join(sizes, content)
-        .withColumn("_rest", F.sum("c").over(rare_last.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where(F.col("_rest") >= need)
-    )
+    prefixes = ranked.withColumn("_rest", F.sum("c").over(common_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("_rest") >= need)
 
     def side(is_new: bool, frame: DataFrame, *columns: Column) -> DataFrame:
         return frame.where(F.col("is_new") == is_new).select(*STEP, *columns)
 
-    met = side(False, prefixes, F.col("line"), F.col("line2"), F.col("sha256").alias("old_sha"), F.col("n").alias("old_n")).join(
-        side(True, prefixes, F.col("line"), F.col("line2"), F.col("sha256").alias("new_sha"), F.col("n").alias("new_n")),
-        [*STEP, "line", "line2"])
+    line = [F.col("line"), F.col("line2")]
+    old, new = [F.col("class").alias("old_class"), F.col("n").alias("old_n")], [F.col("class").alias("new_class"), F.col("n").alias("new_n")]
+    met = side(False, prefixes, *line, *old).join(side(True, prefixes, *line, *new), [*STEP, "line", "line2"])
     # The most two bags of these lengths can share already rules out unequal pairs.
     possible = bag_ratio(F.least("old_n", "new_n"), F.col("old_n"), F.col("new_n")) >= threshold - 1e-9
-    candidates = met.where(possible).select(*STEP, "old_sha", "new_sha", "old_n", "new_n").distinct()
-    old_bag = side(False, shared, F.col("sha256").alias("old_sha"), F.col("line"), F.col("line2"), F.col("c").alias("co"))
-    new_bag = side(True, shared, F.col("sha256").alias("new_sha"), F.col("line"), F.col("line2"), F.col("c").alias("cn"))
-    pair = [*STEP, "old_sha", "new_sha", "old_n", "new_n"]
+    pair = [*STEP, "old_class", "new_class", "old_n", "new_n"]
+    candidates = met.where(possible).select(*pair).distinct()
     scored = (
-        candidates.join(old_bag, [*STEP, "old_sha"]).join(new_bag, [*STEP, "new_sha", "line", "line2"])
+        candidates.join(side(False, bag, *line, *old, F.col("c").alias("co")), [*STEP, "old_class", "old_n"])
+        .join(side(True, bag, *line, *new, F.col("c").alias("cn")), [*STEP, "new_class", "new_n", "line", "line2"])
         .groupBy(*pair).agg(F.sum(F.least("co", "cn")).alias("overlap"))
     )
-    ratio = bag_ratio(F.col("overlap"), F.col("old_n"), F.col("new_n"))
-    return scored.withColumn("ratio", ratio).where(F.col("ratio") >= threshold - 1e-9)
+    return scored.withColumn("ratio", bag_ratio(F.col("overlap"), F.col("old_n"), F.col("new_n"))).where(F.col("ratio") >= threshold - 1e-9)
+
+
+def similar_contents(contents: DataFrame, threshold: float) -> DataFrame:
+    """Every (old_sha, new_sha) pair of contents whose line bags reach ``threshold``."""
+    classes, bag = content_classes(contents)
+    scores = similar_classes(bag, threshold).select(*STEP, "old_class", "new_class", "ratio")
+    old = classes.where(~F.col("is_new")).select(*STEP, F.col("class").alias("old_class"), F.col("sha256").alias("old_sha"))
+    new = classes.where("is_new").select(*STEP, F.col("class").alias("new_class"), F.col("sha256").alias("new_sha"))
+    return scores.join(old, [*STEP, "old_class"]).join(new, [*STEP, "new_class"])
 
 
 def _ordered_ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,11 +123,14 @@ def _ordered_ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def with_ordered_ratio(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    """Replace the bag ratio by the ordered line ratio, for pairs that passed the bag gate."""
+    """Replace the bag ratio by the ordered line ratio, for pairs that passed the bag gate.
+
+    Classes are contents here; each row carries two bounded texts.
+    """
     lines = text.lines_of(F.col("content"))
-    old = contents.where(~F.col("is_new")).select(*STEP, F.col("sha256").alias("old_sha"), lines.alias("old_text"))
-    new = contents.where(F.col("is_new")).select(*STEP, F.col("sha256").alias("new_sha"), lines.alias("new_text"))
-    joined = pairs.drop("ratio").join(old, [*STEP, "old_sha"]).join(new, [*STEP, "new_sha"])
+    old = contents.where(~F.col("is_new")).select(*STEP, F.col("sha256").alias("old_class"), lines.alias("old_text"))
+    new = contents.where(F.col("is_new")).select(*STEP, F.col("sha256").alias("new_class"), lines.alias("new_text"))
+    joined = pairs.select(*STEP, "old_class", "new_class").join(old, [*STEP, "old_class"]).join(new, [*STEP, "new_class"])
     schema = ", ".join(f"{n} {t}" for n, t in joined.dtypes if n not in ("old_text", "new_text")) + ", ratio double"
     return joined.mapInPandas(_ordered_ratio, schema).where(F.col("ratio") >= threshold)
 
@@ -183,41 +209,161 @@ def rename_nodes(leftovers: DataFrame, options: CompareOptions) -> DataFrame:
 
 
 def node_contents(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """One text per distinct content of the candidates; only their keys meet the text table."""
-    one_each = nodes.groupBy(*STEP, "is_new", "seq", "sha256").agg(F.min("path").alias("path"))
-    return one_each.join(files.select("artifact", "seq", "path", "content"), ["artifact", "seq", "path"]).select(
-        *STEP, "is_new", "sha256", "content")
+    """One text per distinct content of the (stored) candidates; only their keys meet the text table."""
+    one_each = durable(nodes.groupBy(*STEP, "is_new", "seq", "sha256").agg(F.min("path").alias("path")))
+    found = fetch(files.select("artifact", "seq", "path", "content"), one_each, ["artifact", "seq", "path"])
+    return found.select(*STEP, "is_new", "sha256", "content")
+
+
+PAIR = [*STEP, "new_path", "old_path"]
+
+
+def _size_gate(old: Column, new: Column, options: CompareOptions) -> Column:
+    return ((new + 1) / (old + 1)).between(options.min_size_ratio, options.max_size_ratio)
+
+
+def _score(ratio: Column, same_key: Column, options: CompareOptions) -> Column:
+    boosted = F.least(F.lit(1.0), ratio + options.rename_key_bonus)
+    return F.round(F.when(same_key, boosted).otherwise(ratio), 6)
+
+
+def path_pairs(scores: DataFrame, nodes: DataFrame, options: CompareOptions) -> DataFrame:
+    """All admissible path pairs of the scored classes, written out one by one."""
+
+    def side(is_new: bool, tag: str) -> DataFrame:
+        names = {"class": f"{tag}_class", "path": f"{tag}_path", "size": f"{tag}_size", "pair_key": f"{tag}_key", "family": "family"}
+        return nodes.where(F.col("is_new") == is_new).select(*STEP, *[F.col(a).alias(b) for a, b in names.items()])
+
+    same_key = F.col("old_key") == F.col("new_key")
+    joined = scores.join(side(False, "old"), [*STEP, "old_class"]).join(side(True, "new"), [*STEP, "new_class", "family"])
+    return joined.where(_size_gate(F.col("old_size"), F.col("new_size"), options)).select(
+        *PAIR, same_key.alias("same_key"), _score(F.col("ratio"), same_key, options).alias("ratio"))
+
+
+def _handle(*parts: str) -> Column:
+    return F.concat_ws("\x01", *[F.col(p).cast("string") if p in ("class", "family", "size", "pair_key") else F.lit(p) for p in parts])
+
+
+KINDS = {"base": ("class", "family"), "base+size": ("class", "family", "size"), "key": ("class", "family", "pair_key"), "key+size": ("class", "family", "pair_key", "size")}
+
+
+def pair_groups(scores: DataFrame, nodes: DataFrame, options: CompareOptions) -> DataFrame:
+    """Complete groups of pairs: every member of one handle with every member of another.
+
+    Columns: step, kind, old_handle, new_handle, ratio. A handle is a class, or a
+    class under one pair key; it is cut by size only where the size gate admits some
+    of the group's pairs and refuses others.
+    """
+    out = None
+    for kind in ("base", "key"):
+        cut = KINDS[kind]
+        sums = nodes.groupBy(*STEP, "is_new", *cut).agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+        sizes = nodes.select(*STEP, "is_new", *cut, "size").distinct()
+        on = [c for c in cut if c != "class"]
+
+        def side(frame: DataFrame, is_new: bool, tag: str) -> DataFrame:
+            rest = [c for c in frame.columns if c not in (*STEP, "is_new", "class", *on)]
+            return frame.where(F.col("is_new") == is_new).select(
+                *STEP, *on, F.col("class").alias(f"{tag}_class"), *[F.col(c).alias(f"{tag}_{c}") for c in rest])
+
+        met = scores.join(side(sums, False, "old"), [*STEP, "old_class"]).join(side(sums, True, "new"), [*STEP, "new_class", *on])
+        low, high = (F.col("new_lo") + 1) / (F.col("old_hi") + 1), (F.col("new_hi") + 1) / (F.col("old_lo") + 1)
+        whole = (low >= options.min_size_ratio) & (high <= options.max_size_ratio)
+        some = (high >= options.min_size_ratio) & (low <= options.max_size_ratio) & ~whole
+        score = _score(F.col("ratio"), F.lit(kind == "key"), options).alias("ratio")
+
+        def handle(tag: str, *parts: str) -> Column:
+            named = [F.col(f"{tag}_{p}" if p in ("class", "size") else p).cast("string") for p in parts[1:]]
+            return F.concat_ws("\x01", F.lit(parts[0]), *named).alias(f"{tag}_handle")
+
+        full = met.where(whole).select(*STEP, F.lit(kind).alias("kind"), handle("old", kind, *cut), handle("new", kind, *cut), score)
+        by_size = (
+            met.where(some).select(*STEP, *on, "old_class", "new_class", "ratio")
+            .join(side(sizes, False, "old"), [*STEP, "old_class", *on]).join(side(sizes, True, "new"), [*STEP, "new_class", *on])
+            .where(_size_gate(F.col("old_size"), F.col("new_size"), options))
+            .select(*STEP, F.lit(kind).alias("kind"), handle("old", f"{kind}+size", *cut, "size"), handle("new", f"{kind}+size", *cut, "size"), score)
+        )
+        part = full.unionByName(by_size)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def banded_pairs(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """The path pairs of complete groups that the one-by-one rule can ever take.
+
+    ``members``: step, is_new, kind, handle, path. Number the members of both sides of
+    a group by path, greatest first. When the rule takes (r-th new, s-th old) of a
+    group, all r-1 and s-1 greater members are gone already: k of each to this group,
+    the others to groups scoring at least as high. So r-s lies within the number of
+    members that have such another group, and only that band is written out. A lone
+    pair of copy groups gives its diagonal: pairs grow with the copies, not their
+    square.
+    """
+    numbered = durable(ordered(members, [*STEP, "is_new", "handle"], [F.col("path")], "path", number="_up"))
+    counts = numbered.groupBy(*STEP, "is_new", "handle").agg(F.count(F.lit(1)).alias("m"))
+    placed = numbered.join(counts, [*STEP, "is_new", "handle"]).withColumn("at", F.col("m") - F.col("_up") + 1)
+
+    def joined(is_new: bool, tag: str) -> DataFrame:
+        side = placed.where(F.col("is_new") == is_new).select(*STEP, F.col("handle").alias(f"{tag}_handle"), "path", "at", "m")
+        node = Window.partitionBy(*STEP, "path").orderBy(F.col("ratio").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return groups.join(side, [*STEP, f"{tag}_handle"]).withColumn("_elsewhere", (F.count(F.lit(1)).over(node) > 1).cast("bigint"))
+
+    group = [*STEP, "old_handle", "new_handle", "ratio"]
+    old, new = joined(False, "old"), joined(True, "new")
+    slack = old.groupBy(*group).agg(F.sum("_elsewhere").alias("_y"), F.max("m").alias("_m")).join(
+        new.groupBy(*group).agg(F.sum("_elsewhere").alias("_x")), group)
+    reach = F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("_x")), F.least(F.col("_m"), F.col("at") + F.col("_y")))
+    inside = F.col("at") - F.col("_x") <= F.col("_m")
+    wanted = new.join(slack, group).where(inside).select(*group, F.col("path").alias("new_path"), F.explode(reach).alias("at"))
+    pairs = wanted.join(old.select(*group, F.col("path").alias("old_path"), "at"), [*group, "at"])
+    return pairs.groupBy(*PAIR).agg(F.max("ratio").alias("ratio"))
+
+
+def members_of(nodes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Each node under every handle it answers to."""
+    handles = F.array(*[_handle(k, *KINDS[k]) for k in kinds])
+    return nodes.select(*STEP, "is_new", "path", F.explode(handles).alias("handle"))
 
 
 def similar_renames(
-    leftovers: DataFrame, files: DataFrame, options: CompareOptions = CompareOptions(), ordered_ratio: bool = False
+    leftovers: DataFrame, files: DataFrame, options: CompareOptions = CompareOptions(), ordered_ratio: bool = False,
+    direct_pairs: int = 2_000_000,
 ) -> DataFrame:
-    """Pair added and removed files that look like one file, moved and edited."""
-    nodes = durable(rename_nodes(leftovers, options))
-    contents = node_contents(nodes, files)
-    scores = similar_contents(contents, options.rename_threshold)
+    """Pair added and removed files that look like one file, moved and edited.
+
+    Up to ``direct_pairs`` path pairs in all they are written out; beyond that only
+    those the assignment can take (``banded_pairs``), with the same outcome.
+    """
+    found = durable(rename_nodes(leftovers, options))
+    contents = node_contents(found, files)
+    classes, bag = content_classes(contents, by_content=ordered_ratio)
+    scores = similar_classes(bag, options.rename_threshold)
     if ordered_ratio:
         scores = with_ordered_ratio(scores, contents, options.rename_threshold)
-    scores = scores.select(*STEP, "old_sha", "new_sha", "ratio")
+    scores = durable(scores.select(*STEP, "old_class", "new_class", "ratio"))
+    nodes = durable(found.join(classes.drop("n"), [*STEP, "is_new", "sha256"]))
+    sizes = nodes.groupBy(*STEP, "is_new", "class").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    old = sizes.where(~F.col("is_new")).select(*STEP, F.col("class").alias("old_class"), F.col("m").alias("_a"))
+    new = sizes.where("is_new").select(*STEP, F.col("class").alias("new_class"), F.col("m").alias("_b"))
+    total = scores.join(old, [*STEP, "old_class"]).join(new, [*STEP, "new_class"]).agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0.0))).first()[0]
 
-    def side(is_new: bool, tag: str) -> DataFrame:
-        names = {"sha256": f"{tag}_sha", "path": f"{tag}_path", "size": f"{tag}_size", "pair_key": f"{tag}_key", "family": f"{tag}_family"}
-        return nodes.where(F.col("is_new") == is_new).select(*STEP, *[F.col(a).alias(b) for a, b in names.items()])
+    def open_only(rows: DataFrame, settled: DataFrame) -> DataFrame:
+        return rows.join(settled.select(*STEP, "new_path"), [*STEP, "new_path"], "left_anti").join(
+            settled.select(*STEP, "old_path"), [*STEP, "old_path"], "left_anti")
 
-    size_ratio = (F.col("new_size") + 1) / (F.col("old_size") + 1)
-    same_key = F.col("old_key") == F.col("new_key")
-    boosted = F.least(F.lit(1.0), F.col("ratio") + options.rename_key_bonus)
-    pairs = durable(
-        scores.join(side(False, "old"), [*STEP, "old_sha"]).join(side(True, "new"), [*STEP, "new_sha"])
-        .where((F.col("old_family") == F.col("new_family")) & size_ratio.between(options.min_size_ratio, options.max_size_ratio))
-        .select(*STEP, "new_path", "old_path", same_key.alias("same_key"),
-                F.round(F.when(same_key, boosted).otherwise(F.col("ratio")), 6).alias("ratio")))
     # Same-name pairs alike enough are settled; their ends meet no other-name partner.
-    settled = greedy_match(
-        pairs.where(F.col("same_key") & (F.col("ratio") >= options.rename_settled)), STEP, "new_path", "old_path", stored=True)
-    open_pairs = (
-        pairs.where(~F.col("same_key"))
-        .join(settled.select(*STEP, "new_path"), [*STEP, "new_path"], "left_anti")
-        .join(settled.select(*STEP, "old_path"), [*STEP, "old_path"], "left_anti")
-    )
-    return greedy_match(pairs.where("same_key").unionByName(open_pairs), STEP, "new_path", "old_path", stored=True)
+    if total <= direct_pairs:
+        pairs = durable(path_pairs(scores, nodes, options))
+        alike = pairs.where(F.col("same_key") & (F.col("ratio") >= options.rename_settled))
+        settled = greedy_match(alike, STEP, "new_path", "old_path", stored=True)
+        every = pairs.where("same_key").unionByName(open_only(pairs.where(~F.col("same_key")), settled))
+        return greedy_match(every, STEP, "new_path", "old_path", stored=True)
+    groups = durable(pair_groups(scores, nodes, options))
+    by_key = groups.where(F.col("kind") == "key")
+    keyed = members_of(nodes, ("key", "key+size"))
+    alike = by_key.where(F.col("ratio") >= options.rename_settled).drop("kind")
+    settled = durable(greedy_match(banded_pairs(alike, keyed), STEP, "new_path", "old_path"))
+    gone = settled.select(*STEP, F.lit(True).alias("is_new"), F.col("new_path").alias("path")).unionByName(
+        settled.select(*STEP, F.lit(False).alias("is_new"), F.col("old_path").alias("path")))
+    still_open = members_of(nodes.join(gone, [*STEP, "is_new", "path"], "left_anti"), ("base", "base+size"))
+    return greedy_match(banded_pairs(groups.drop("kind"), keyed.unionByName(still_open)), STEP, "new_path", "old_path")

@@ -56,9 +56,9 @@ ps AS (SELECT artifact, path, CAST(sum(least(co, cn)) AS BIGINT) AS overlap, CAS
 
 def modified_sides(spark, sf):
     """Both contents of every edited path; text is joined only for those paths."""
-    edited = diff(spark, sf).where(F.col("kind") == "modified").select("artifact", "path")
+    edited = change_ops.durable(diff(spark, sf).where(F.col("kind") == "modified").select("artifact", "path"))
     files = adapters.snapshot_files(spark, sf).select("artifact", "seq", "path", "content")
-    return files.join(edited, ["artifact", "path"], "left_semi").withColumn("is_new", F.col("seq") == 2)
+    return change_ops.fetch(files, edited, ["artifact", "path"], "left_semi").withColumn("is_new", F.col("seq") == 2)
 
 
 @query("line_similarity", f"""
