@@ -11,19 +11,20 @@ from pyspark.sql.functions import broadcast
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A private folder is made only in local mode (one machine, as in tests); on a
-    cluster a missing setting is an error rather than a machine-local path.
+    Where it is unset, local mode (one machine, as in tests) gets a private folder and
+    a cluster one inside its warehouse; a machine-local path on a cluster is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="spark-")
+    elif not root:
+        root = spark.conf.get("spark.sql.warehouse.dir", "") + "/_checkpoints"
+        if root.startswith(("file:", "/")):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="spark-")
-    sc.setCheckpointDir(configured)
+    sc.setCheckpointDir(root)
     return sc.getCheckpointDir()
 
 

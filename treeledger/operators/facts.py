@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..options import ArchiveOptions, ScanOptions
+from .durable import durable, fetch
 
 VERSION = ["artifact", "seq"]
 
@@ -64,17 +65,17 @@ def tree_hash(facts: DataFrame, options: ArchiveOptions = ArchiveOptions()) -> D
     streamed through a digest in constant memory, giving the same value.
     """
     entries = facts.select(*VERSION, "path", "sha256")
-    large = entries.groupBy(*VERSION).count().where(F.col("count") > options.max_files).select(*VERSION)
+    large = durable(entries.groupBy(*VERSION).count().where(F.col("count") > options.max_files).select(*VERSION))
+    any_large = not large.isEmpty()
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))),
                         lambda e: F.concat(e["sha256"], F.lit("  "), e["path"]))
-    usual = (
-        entries.join(large, VERSION, "left_anti")
-        .groupBy(*VERSION)
-        .agg(F.sha2(F.array_join(lines, "\n"), 256).alias("tree_hash"))
-    )
+    small = fetch(entries, large, VERSION, "left_anti") if any_large else entries
+    usual = small.groupBy(*VERSION).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("tree_hash"))
+    if not any_large:
+        return usual
     types = dict(entries.dtypes)
     streamed = (
-        entries.join(large, VERSION, "left_semi")
+        fetch(entries, large, VERSION, "left_semi")
         .select(*VERSION, "path", F.concat("sha256", F.lit("  "), "path").alias("entry"))
         .repartition(*VERSION)
         .sortWithinPartitions(*VERSION, "path")

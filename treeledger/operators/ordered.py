@@ -4,8 +4,9 @@ A plain ``Window.partitionBy(key)`` sends a whole group through one task. Here a
 group larger than ``target_rows`` is first cut into slices that follow the order,
 each slice is windowed on its own, and what a slice needs from the earlier ones
 (how many rows, which sum, which last value) comes from a summary of one row per
-slice. Results equal the plain window; groups under the target stay one slice, so
-for them the plan is the plain window.
+slice. Results equal the plain window. The groups above the target are counted
+first, over the key and order columns alone; when there are none, which is usual,
+the plan is exactly the plain window.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import shared_prefix
+from .durable import durable, fetch
+
 TARGET_ROWS = 500_000
 SLICE = "_slice"
 _HOT = "_hot"
@@ -38,13 +42,10 @@ def _position(df: DataFrame, by: str, descending: bool) -> tuple[Column, bool]:
     return (-value if descending else value), False
 
 
-def with_slices(
-    df: DataFrame, keys: list[str], by: str, descending: bool = False, target_rows: int = TARGET_ROWS
-) -> DataFrame:
-    """Add an order-following slice number per group, 0 for groups under the target.
+def hot_groups(df: DataFrame, keys: list[str], by: str, descending: bool, target_rows: int) -> DataFrame:
+    """Stored list of the groups above the target, with where their order starts and ends.
 
-    Only the groups above the target come back from the count, so the table joined
-    to the rows has at most ``rows / target_rows`` entries.
+    Counted with map-side combining; at most ``rows / target_rows`` groups come back.
     """
     position, is_text = _position(df, by, descending)
     hot = (
@@ -54,29 +55,43 @@ def with_slices(
         .where(F.col("_n") > target_rows)
     )
     if is_text:
-        from ..functions.text import shared_prefix
-
         lo_hex, hi_hex = (F.hex(F.encode(F.col(c), "UTF-8")) for c in ("_lo", "_hi"))
         hot = hot.withColumn("_skip", shared_prefix(lo_hex, hi_hex))
-        hot = hot.withColumn("_from", _text_position(F.col("_lo"), F.col("_skip"))).withColumn(
-            "_to", _text_position(F.col("_hi"), F.col("_skip"))
-        )
-        here = _text_position(F.col(by), F.col("_skip"))
+        hot = hot.withColumn("_from", _text_position(F.col("_lo"), F.col("_skip"))).withColumn("_to", _text_position(F.col("_hi"), F.col("_skip")))
     else:
         hot = hot.withColumn("_skip", F.lit(0)).withColumn("_from", F.col("_lo")).withColumn("_to", F.col("_hi"))
-        here = position
-    hot = hot.select(*keys, "_n", "_skip", "_from", "_to")
+    return durable(hot.select(*keys, "_n", "_skip", "_from", "_to"))
+
+
+def with_slices(
+    df: DataFrame, keys: list[str], by: str, descending: bool = False, target_rows: int = TARGET_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
+    """Add an order-following slice number per group, 0 for groups under the target."""
+    hot = hot_groups(df, keys, by, descending, target_rows) if hot is None else hot
+    position, is_text = _position(df, by, descending)
+    here = _text_position(F.col(by), F.col("_skip")) if is_text else position
     pieces = F.ceil(F.col("_n") / F.lit(target_rows))
     width = (F.col("_to") - F.col("_from") + 1).cast("double") / pieces
     slice_number = F.floor((here - F.col("_from")).cast("double") / width).cast("bigint")
     return (
-        df.join(hot, keys, "left")
+        fetch(df, hot, keys, "left")
         .withColumn(SLICE, F.coalesce(slice_number, F.lit(0).cast("bigint")))
         .withColumn(_HOT, F.col("_n").isNotNull())
         .drop("_n", "_skip", "_from", "_to")
     )
 
 
+def _plain(df: DataFrame, keys: list[str], order: list[Column], number: str | None, running: dict, previous: dict, following: dict) -> DataFrame:
+    """The same results by one window per group."""
+    group = Window.partitionBy(*keys).orderBy(*order)
+    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = {n: F.sum(c).over(upto) for n, c in running.items()}
+    columns |= {n: F.lag(c).over(group) for n, c in previous.items()} | {n: F.lead(c).over(group) for n, c in following.items()}
+    if number:
+        columns[number] = F.row_number().over(group).cast("bigint")
+    return df.select("*", *[c.alias(n) for n, c in columns.items()])
+
+
 def ordered(
     df: DataFrame,
     keys: list[str],
@@ -97,7 +112,10 @@ def ordered(
     ``previous``/``following`` map output to the neighbour's column.
     """
     running, previous, following = running or {}, previous or {}, following or {}
-    sliced = with_slices(df, keys, by, descending, target_rows)
+    hot = hot_groups(df, keys, by, descending, target_rows)
+    if hot.isEmpty():
+        return _plain(df, keys, order, number, running, previous, following)
+    sliced = with_slices(df, keys, by, descending, target_rows, hot)
     inner = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sliced.withColumn("_rn", F.row_number().over(inner))

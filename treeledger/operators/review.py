@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..options import ReviewOptions
 from .durable import durable
-from .ordered import ordered
+from .ordered import ordered, top_per_group
 
 # Change kinds and levels an answer may use, and its text limits.
 CHANGE_KINDS = ("feature", "fix", "behaviour", "refactor", "dependency", "config", "security", "removal", "other")
@@ -266,6 +266,17 @@ def resolve_citations(citations: DataFrame, known: DataFrame, scope: list[str])
         *scope, "cited", F.coalesce("_by_raw", "_by_clean", "_by_tail").alias("path"))
 
 
+def section(rows: DataFrame, keys: list[str], order: list[Column], line: Column, number: int, title: str, limit: int) -> DataFrame:
+    """A brief's section: the first ``limit`` lines, then how many more there are.
+
+    The cut is made before the shuffle and the rest is only counted.
+    """
+    first = top_per_group(rows, keys, order, limit, "line_order").select(*keys, "line_order", line.alias("line"))
+    more = rows.groupBy(*keys).agg((F.count(F.lit(1)) - limit).alias("_more")).where(F.col("_more") > 0).select(
+        *keys, F.lit(limit + 1).alias("line_order"), F.concat(F.lit("- … and "), F.col("_more").cast("string"), F.lit(" more")).alias("line"))
+    return first.unionByName(more).select(*keys, F.lit(number).alias("section"), F.lit(title).alias("title"), "line_order", "line")
+
+
 def brief(overview: DataFrame, sections: DataFrame, keys: list[str]) -> DataFrame:
     """One text per comparison: overview lines, then titled sections of bounded length.
 

@@ -66,7 +66,7 @@ def content_classes(contents: DataFrame, by_content: bool = False) -> tuple[Data
     name = F.col("sha256") if by_content else F.concat_ws("-", "n", "_k", "_x", "_y")
     classes = durable(sizes.join(marks, content).select(*content, name.alias("class"), "n"))
     one_each = classes.groupBy(*STEP, "is_new", "class", "n").agg(F.min("sha256").alias("sha256"))
-    return classes, shared.join(one_each, content).drop("sha256")
+    return classes, durable(shared.join(one_each, content).drop("sha256"))
 
 
 def similar_classes(bag: DataFrame, threshold: float) -> DataFrame:

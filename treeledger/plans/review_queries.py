@@ -259,24 +259,20 @@ def version_summary(spark, sf):
 
 @query("comparison_brief", f"""{WITH_MOVES}, {TOTALS_SQL},
 o AS (SELECT artifact, '# ' || artifact || ': version 1 to version 2' || chr(10) || '- files changed: ' || added || ' added, ' || removed || ' removed, ' || modified || ' modified, ' || renamed || ' renamed; +' || added_lines || ' -' || removed_lines || ' lines' || chr(10) || '- vendored files changed: ' || vendored_hidden AS t FROM tt),
-m AS (SELECT artifact, string_agg('- ' || old_dir || '/ → ' || new_dir || '/ (' || moved || ' files)', chr(10) ORDER BY old_dir, new_dir) AS b FROM mo WHERE NOT is_vendor GROUP BY artifact),
-e AS (SELECT artifact, string_agg('- ' || kind || ': ' || path || ' (+' || added_lines || ' -' || removed_lines || ')', chr(10) ORDER BY p) AS b FROM (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY {_PRIORITY_SQL}, added_lines + removed_lines DESC, path) AS p FROM fc WHERE NOT is_vendor) WHERE p <= 5 GROUP BY artifact)
+m AS (SELECT artifact, string_agg('- ' || old_dir || '/ → ' || new_dir || '/ (' || moved || ' files)', chr(10) ORDER BY old_dir, new_dir) || CASE WHEN max(n) > 100 THEN chr(10) || '- … and ' || (max(n) - 100) || ' more' ELSE '' END AS b FROM (SELECT *, count(*) OVER (PARTITION BY artifact) AS n FROM mo WHERE NOT is_vendor QUALIFY row_number() OVER (PARTITION BY artifact ORDER BY old_dir, new_dir) <= 100) GROUP BY artifact),
+e AS (SELECT artifact, string_agg('- ' || kind || ': ' || path || ' (+' || added_lines || ' -' || removed_lines || ')', chr(10) ORDER BY p) || CASE WHEN max(n) > 5 THEN chr(10) || '- … and ' || (max(n) - 5) || ' more' ELSE '' END AS b FROM (SELECT *, count(*) OVER (PARTITION BY artifact) AS n, row_number() OVER (PARTITION BY artifact ORDER BY {_PRIORITY_SQL}, added_lines + removed_lines DESC, path) AS p FROM fc WHERE NOT is_vendor) WHERE p <= 5 GROUP BY artifact)
 SELECT o.artifact, t || coalesce(chr(10) || chr(10) || '## Directory moves' || chr(10) || m.b, '') || coalesce(chr(10) || chr(10) || '## Largest changes' || chr(10) || e.b, '') AS brief FROM o LEFT JOIN m ON m.artifact = o.artifact LEFT JOIN e ON e.artifact = o.artifact""")
 def comparison_brief(spark, sf):
-    from ..operators.ordered import top_per_group
-
     changes = change_ops.durable(changed(spark, sf))
     t = change_ops.comparison_totals(changes)
     text = F.concat(
         F.lit("# "), "artifact", F.lit(": version 1 to version 2\n- files changed: "), F.col("added").cast("string"), F.lit(" added, "), F.col("removed").cast("string"),
         F.lit(" removed, "), F.col("modified").cast("string"), F.lit(" modified, "), F.col("renamed").cast("string"), F.lit(" renamed; +"), F.col("added_lines").cast("string"),
         F.lit(" -"), F.col("removed_lines").cast("string"), F.lit(" lines\n- vendored files changed: "), F.col("vendored_hidden").cast("string"))
-    moves = top_per_group(moves_of(spark, sf, changes).where(~F.col("is_vendor")), ["artifact"], [F.col("old_dir"), F.col("new_dir")], 100, "line_order").select(
-        "artifact", F.lit(1).alias("section"), F.lit("Directory moves").alias("title"), "line_order",
-        F.concat(F.lit("- "), "old_dir", F.lit("/ → "), "new_dir", F.lit("/ ("), F.col("moved").cast("string"), F.lit(" files)")).alias("line"))
+    moved = F.concat(F.lit("- "), "old_dir", F.lit("/ → "), "new_dir", F.lit("/ ("), F.col("moved").cast("string"), F.lit(" files)"))
+    moves = review.section(moves_of(spark, sf, changes).where(~F.col("is_vendor")), ["artifact"], [F.col("old_dir"), F.col("new_dir")], moved, 1, "Directory moves", 100)
     lines = F.col("added_lines") + F.col("removed_lines")
     order = [F.array_position(F.array(*[F.lit(k) for k in review.REVIEW_KINDS]), F.col("kind")), lines.desc(), F.col("path")]
-    edits = top_per_group(changes.where(~F.col("is_vendor")), ["artifact"], order, 5, "line_order").select(
-        "artifact", F.lit(2).alias("section"), F.lit("Largest changes").alias("title"), "line_order",
-        F.concat(F.lit("- "), "kind", F.lit(": "), "path", F.lit(" (+"), F.col("added_lines").cast("string"), F.lit(" -"), F.col("removed_lines").cast("string"), F.lit(")")).alias("line"))
+    edited = F.concat(F.lit("- "), "kind", F.lit(": "), "path", F.lit(" (+"), F.col("added_lines").cast("string"), F.lit(" -"), F.col("removed_lines").cast("string"), F.lit(")"))
+    edits = review.section(changes.where(~F.col("is_vendor")), ["artifact"], order, edited, 2, "Largest changes", 5)
     return review.brief(t.select("artifact", text.alias("text")), moves.unionByName(edits), ["artifact"])
