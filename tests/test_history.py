@@ -86,3 +86,9 @@ def test_edits_and_cascade(spark):
     assert rows(sets.apply_edits(base, edits, ["id"], ["label"])) == [(1, "new"), (2, None), (3, "c")]
     kept = sets.cascade_delete({"t": (base, ["id"])}, base.where(F.col("id") == 2).select("id"))
     assert rows(kept["t"], "id") == [(1,), (3,)]
+
+
+def test_arrivals_without_an_artifact_are_judged(spark):
+    df = spark.createDataFrame([(1, 10, None, "k", "z1", "t"), (2, 11, None, "k", "z2", "t"), (3, 12, "a", "k", "z2", None)],
+                               "event_id int, ts long, artifact string, kind string, archive_key string, tree_key string")
+    assert rows(history.ingest_outcomes(df), "event_id", "status", "seq") == [(1, "new", 1), (2, "unchanged", 1), (3, "duplicate-download", None)]

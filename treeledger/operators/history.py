@@ -5,56 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable, fetch
 from .ordered import ordered, top_per_group
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The earliest row per key as a struct ``first`` (combined before the shuffle)."""
-    return rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"))
-
-
 def ingest_outcomes(
     arrivals: DataFrame, seen: DataFrame | None = None, versions: DataFrame | None = None, order: tuple[str, str] = ("ts", "event_id"),
 ) -> DataFrame:
     """What became of each arrival: duplicate-download, unchanged, or new with a number.
 
-    ``arrivals``: order columns, artifact, archive_key, tree_key. Archive bytes seen
-    anywhere before are a duplicate; a tree already under this artifact (any earlier
-    version) is unchanged and reports that version's number; else it is new.
-    ``seen`` (archive_key) and ``versions`` (artifact, tree_key, seq) are what earlier
-    batches stored. First sights are minima per key, so a key with very many arrivals
-    costs one combined row per partition; numbers are given in slices.
+    ``arrivals``: order columns (unique together), artifact, archive_key, tree_key.
+    Archive bytes seen anywhere before are a duplicate; a tree already under this
+    artifact (any earlier version) is unchanged and reports that version's number;
+    else it is new. ``seen`` (archive_key) and ``versions`` (artifact, tree_key, seq)
+    are what earlier batches stored.
+
+    The first arrival of each archive is a minimum per key, so a key with very many
+    arrivals costs one combined row per partition, and only those firsts go on to the
+    tree check and numbering. All arrivals meet the result once, on their unique order.
     """
-    at = F.struct(*order)
-    first_archive = arrivals.groupBy("archive_key").agg(F.min(at).alias("_first_archive"))
+    order = list(order)
+    first = arrivals.groupBy("archive_key").agg(F.min(F.struct(*order, "artifact", "tree_key")).alias("_f")).select("archive_key", "_f.*")
+    first = durable(first)
     if seen is not None:
-        first_archive = first_archive.join(seen.select("archive_key").distinct().withColumn("_old", F.lit(True)), "archive_key", "left")
-    else:
-        first_archive = first_archive.withColumn("_old", F.lit(None).cast("boolean"))
-    marked = arrivals.join(first_archive, "archive_key").withColumn(
-        "_dup", F.coalesce("_old", F.lit(False)) | (at != F.col("_first_archive"))).drop("_old", "_first_archive")
-    fresh = marked.where(~F.col("_dup"))
-    first_tree = fresh.groupBy("artifact", "tree_key").agg(F.min(at).alias("_first_tree"))
+        # The batch's keys go to the stored ones, not the stored ones to a shuffle.
+        old = fetch(seen.select("archive_key"), first.select("archive_key"), ["archive_key"], "left_semi")
+        first = durable(first.join(old.distinct(), "archive_key", "left_anti"))
+    trees = first.groupBy("artifact", "tree_key").agg(F.min(F.struct(*order)).alias("_at"))
     if versions is not None:
+        versions = fetch(versions, first.select("artifact").distinct(), ["artifact"], "left_semi")
         known = versions.groupBy("artifact", "tree_key").agg(F.max("seq").alias("_known"))
         highest = versions.groupBy("artifact").agg(F.max("seq").alias("_highest"))
-        first_tree = first_tree.join(known, ["artifact", "tree_key"], "left").join(highest, "artifact", "left")
+        trees = trees.join(known, ["artifact", "tree_key"], "left").join(highest, "artifact", "left")
     else:
-        first_tree = first_tree.withColumn("_known", F.lit(None).cast("bigint")).withColumn("_highest", F.lit(None).cast("bigint"))
-    opened = first_tree.where(F.col("_known").isNull()).select(
-        "artifact", "tree_key", *[F.col("_first_tree")[c].alias(f"_n_{c}") for c in order], "_highest")
-    numbered = ordered(opened, ["artifact"], [F.col(f"_n_{c}") for c in order], f"_n_{order[0]}", number="_n").select(
-        "artifact", "tree_key", (F.col("_n") + F.coalesce("_highest", F.lit(0))).cast("bigint").alias("_seq"))
-    trees = first_tree.join(numbered, ["artifact", "tree_key"], "left").select(
-        "artifact", "tree_key", "_first_tree", "_known", F.coalesce("_known", "_seq").alias("_number"))
-    # Duplicates match no tree; a salt spreads them instead of piling them on one null key.
-    salt = F.concat(F.lit("\x00"), F.pmod(F.hash(*order), F.lit(4096)).cast("string"))
-    lookup = F.when(F.col("_dup"), salt).otherwise(F.col("tree_key").cast("string"))
-    kept = marked.withColumn("_t", lookup).join(
-        trees.select("artifact", F.col("tree_key").cast("string").alias("_t"), "_first_tree", "_known", "_number"), ["artifact", "_t"], "left")
-    is_new = ~F.col("_dup") & F.col("_known").isNull() & (at == F.col("_first_tree"))
-    status = F.when(F.col("_dup"), "duplicate-download").when(is_new, "new").otherwise("unchanged")
-    return kept.withColumn("status", status).withColumn("seq", F.col("_number")).drop("_dup", "_t", "_first_tree", "_known", "_number")
+        trees = trees.withColumn("_known", F.lit(None).cast("bigint")).withColumn("_highest", F.lit(0).cast("bigint"))
+    trees = trees.select("artifact", "tree_key", *[F.col("_at")[c].alias(f"_n_{c}") for c in order], "_known", F.coalesce("_highest", F.lit(0)).alias("_highest"))
+    opened = ordered(trees.where(F.col("_known").isNull()), ["artifact"], [F.col(f"_n_{c}") for c in order], f"_n_{order[0]}", number="_n")
+    numbered = opened.withColumn("_seq", (F.col("_n") + F.col("_highest")).cast("bigint")).drop("_n").unionByName(
+        trees.where(F.col("_known").isNotNull()).withColumn("_seq", F.col("_known").cast("bigint")))
+    same = numbered.withColumnRenamed("artifact", "_artifact").withColumnRenamed("tree_key", "_tree_key")
+    # Null-safe: an arrival no artifact was found for is judged like any other.
+    judged = first.join(same, F.col("artifact").eqNullSafe(F.col("_artifact")) & F.col("tree_key").eqNullSafe(F.col("_tree_key")))
+    is_new = F.col("_known").isNull()
+    for c in order:
+        is_new = is_new & (F.col(c) == F.col(f"_n_{c}"))
+    judged = judged.select("archive_key", *order, F.when(is_new, "new").otherwise("unchanged").alias("status"), F.col("_seq").alias("seq"))
+    out = arrivals.join(judged, ["archive_key", *order], "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("duplicate-download")))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

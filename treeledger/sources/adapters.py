@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
     """A table whose rows cost much work each, over at least one task per core.
 
     A single-file input scans in one task; only then are rows redistributed. An input
@@ -22,7 +22,7 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataF
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
 
 
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ WHERE o_orderkey % {modulus} <> 0 AND (d.is_declared OR o_orderkey % 2 = 0)
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as histories: one artifact per conversation, one version per turn."""
-    return spread_table(spark, sf_dir, "conversations", "conv_id").select(
+    return spread_table(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.col("conv_id").alias("artifact"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..operators.durable import durable, fetch
+from ..operators.ordered import ordered
 from ..options import ArchiveOptions
 
 MEMBERS = ("archive string, position long, member string, size long, compressed long, "
@@ -62,24 +64,25 @@ def list_members(zips: DataFrame) -> DataFrame:
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for archive, payload, wanted in zip(batch["archive"], batch["payload"], batch["wanted"]):
+        for archive, payload in zip(batch["archive"], batch["payload"]):
             with zipfile.ZipFile(io.BytesIO(payload)) as zf:
-                infos = zf.infolist()
-                for position in wanted:
-                    info = infos[position]
+                for info in zf.infolist():
+                    if info.is_dir() or info.flag_bits & 1:
+                        continue
                     yield pd.DataFrame({"archive": [archive], "member": [info.filename],
                                         "mode": [0o755 if (info.external_attr >> 16) & 0o111 else 0o644],
                                         "payload": [zf.read(info)]})
 
 
-def expand_members(zips: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Contents of the admitted members (a link's content is its target text).
+def expand_members(zips: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Contents of the kept members of admitted archives (a link's content is its target).
 
-    The wanted positions travel as one array per archive; the archive policy has
-    already bounded their number.
+    The verdicts have bounded every archive unpacked here. Archive names go to the
+    bytes, not the bytes to a shuffle.
     """
-    wanted = admitted.groupBy("archive").agg(F.sort_array(F.collect_list("position")).alias("wanted"))
-    return zips.select("archive", "payload").join(wanted, "archive").mapInPandas(_unpack, CONTENTS)
+    admitted = durable(verdicts.where(F.col("reject_reason").isNull()).select("archive"))
+    opened = fetch(zips.select("archive", "payload"), admitted, ["archive"], "left_semi").mapInPandas(_unpack, CONTENTS)
+    return opened.where(skip_reason(F.col("member")).isNull()).withColumn("member", F.replace(F.col("member"), F.lit("\\"), F.lit("/")))
 
 
 def unsafe_member(member: Column) -> Column:
@@ -115,12 +118,9 @@ def archive_verdicts(members: DataFrame, options: ArchiveOptions = ArchiveOption
 
 
 def split_archives(zips: DataFrame, options: ArchiveOptions = ArchiveOptions()) -> tuple[DataFrame, DataFrame]:
-    """(admitted members, refused archives with reason): the dead-letter split."""
-    members = list_members(zips)
-    verdicts = archive_verdicts(members, options)
-    keep = ~F.coalesce(F.col("is_dir"), F.lit(True)) & skip_reason(F.col("member")).isNull()
-    admitted = members.where(keep).join(verdicts.where(F.col("reject_reason").isNull()).select("archive"), "archive", "left_semi")
-    return admitted, verdicts.where(F.col("reject_reason").isNotNull())
+    """(admitted, refused) archives, the refused with their reason: the dead-letter split."""
+    verdicts = durable(archive_verdicts(list_members(zips), options))
+    return verdicts.where(F.col("reject_reason").isNull()), verdicts.where(F.col("reject_reason").isNotNull())
 
 
 def group_quota(rows: DataFrame, keys: list[str], size: Column, max_rows: int, max_bytes: int) -> DataFrame:
@@ -144,15 +144,14 @@ def strip_common_root(files: DataFrame) -> DataFrame:
     roots = files.groupBy(*version).agg(
         F.min(first).alias("_lo"), F.max(first).alias("_hi"), F.min(paths.depth(F.col("path"))).alias("_depth")
     ).where((F.col("_lo") == F.col("_hi")) & (F.col("_depth") > 0)).select(*version, F.col("_lo").alias("wrapper"))
+    roots = durable(roots)
     lifted = F.substring(F.col("path"), F.length("wrapper") + 2, F.length("path"))
-    return files.join(roots, version, "left").withColumn(
+    return fetch(files, roots, version, "left").withColumn(
         "path", F.when(F.col("wrapper").isNotNull(), lifted).otherwise(F.col("path")))
 
 
 def top_level(files: DataFrame) -> DataFrame:
     """Distinct first path segments per version in first-seen order of ``position``."""
-    from ..operators.ordered import ordered
-
     heads = files.select("artifact", "seq", F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/").getItem(0).alias("entry"), "position")
     firsts = heads.where((F.col("entry") != "") & ~F.col("entry").startswith("__MACOSX")).groupBy(
         "artifact", "seq", "entry").agg(F.min("position").alias("first_at"))
