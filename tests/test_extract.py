@@ -180,3 +180,12 @@ def test_greedy_fill_and_sections_in_small_pieces(spark):
     pieces = review.pack_sections(sections, ["k"], [F.col("pos")], "pos", "head_chars", 30_000, task_items=9)
     assert rows(whole, "pos", "included", "quoted_chars") == rows(pieces, "pos", "included", "quoted_chars")
     assert 0 < whole.where("included").count() < 200
+
+
+def test_brief_lines_and_overflow(spark):
+    schema = "artifact string, kind string, manager string, name string, old_version string, new_version string, is_declared boolean"
+    deps = spark.createDataFrame([("f", "changed", "pip", "boto3", "1", "2", False), ("f", "added", "pip", "new", None, None, True), ("f", "removed", "npm", "old", "3", None, True)], schema)
+    part = review.section(deps, ["artifact"], [F.col("name")], review.dependency_line(), 1, "Dependency changes", 2)
+    overview = spark.createDataFrame([("f", "# f")], "artifact string, text string")
+    assert review.brief(overview, part, ["artifact"]).first()["brief"] == (
+        "# f\n\n## Dependency changes\n- boto3 (pip, installed): 1 → 2\n- new (pip, declared): added at unspecified version\n- … and 1 more")

@@ -222,3 +222,33 @@ def test_band_of_lone_copy_groups_is_the_diagonal(spark):
                                     "artifact string, old_seq int, new_seq int, is_new boolean, handle string, path string")
     pairs = similar.banded_pairs(groups, members)
     assert rows(pairs, "new_path", "old_path") == [(f"n{i:03d}", f"o{i + 10:03d}") for i in range(40)]
+
+
+def test_many_artifacts_and_steps_at_once(spark):
+    versions = {("a", 1): {"x.py": "1\n"}, ("a", 3): {"x.py": "2\n"}, ("a", 4): {"y.py": "2\n"}, ("b", 1): {"z": "q\n"}, ("b", 2): {"z": "q\n"}}
+    data = [(a, s, p, c, 420) for (a, s), files in versions.items() for p, c in files.items()]
+    files = spark.createDataFrame(data, SCHEMA)
+    from treeledger.operators import history
+
+    steps = history.version_steps(files.select("artifact", "seq").distinct())
+    out = changes.file_changes(changes.renamed_and_changed(files, steps=steps), files)
+    assert rows(out, "artifact", "old_seq", "new_seq", "kind", "path") == [("a", 1, 3, "modified", "x.py"), ("a", 3, 4, "renamed", "y.py")]
+    none = spark.createDataFrame([("b", 1, 2, "n")], "artifact string, old_seq int, new_seq int, name string")
+    totals = changes.comparison_totals(out)
+    assert rows(changes.comparison_layers(steps, totals, {"deps": none.where("false")}), "artifact", "new_seq", "is_empty") == [("a", 3, False), ("a", 4, False), ("b", 2, True)]
+    assert rows(changes.comparison_layers(steps, totals, {"deps": none}).where("artifact = 'b'"), "deps", "is_empty") == [(1, False)]
+
+
+def test_text_that_is_gone_is_said_to_be_missing(spark):
+    files = tree(spark, {"a.py": "1\n", "b.py": "1\n"}, {"a.py": "2\n", "b.py": "2\n"})
+    records = changes.renamed_and_changed(files, 1, 2)
+    held = files.where("not (path = 'b.py' and seq = 1)")
+    assert rows(changes.file_changes(records, held), "path", "skipped_reason") == [("a.py", None), ("b.py", "missing from the archive")]
+
+
+def test_summary_words(spark):
+    df = spark.createDataFrame([(2, 0, 1, 0, 52, 24, 5, 1, 0), (0, 0, 0, 0, 0, 0, 0, 0, 0), (0, 0, 3, 0, 0, 0, 0, 2, 1)], "added int, removed int, modified int, renamed int, vendored int, al int, rl int, env int, secret int")
+    head = changes.headline({k: F.col(k) for k in ("added", "removed", "modified", "renamed", "vendored")})
+    effect = changes.impact(F.col("al"), F.col("rl"), {"env var": F.col("env"), "secret": F.col("secret")})
+    assert [r[0] for r in df.select(changes.summary_line(head, effect)).collect()] == [
+        "2 added, 1 modified, 52 vendored · +24/-5 lines · new: 1 env var", "no file changes", "3 modified · new: 2 env vars, 1 secret"]

@@ -68,12 +68,14 @@ def text_measures(changes: DataFrame, files: DataFrame) -> DataFrame:
     per_line = sides.groupBy(*STEP, "path", F.xxhash64("line").alias("h"), F.hash("line").alias("h2")).agg(
         F.sum(F.when(old, line).otherwise(0)).alias("co"), F.sum(F.when(new, line).otherwise(0)).alias("cn"),
         F.max(F.when(old & F.col("filled"), F.col("ws"))).alias("ws_old"), F.max(F.when(new & F.col("filled"), F.col("ws"))).alias("ws_new"),
-        F.max(F.when(old, F.col("mean"))).alias("mean_old"), F.max(F.when(new, F.col("mean"))).alias("mean_new"))
+        F.max(F.when(old, F.col("mean"))).alias("mean_old"), F.max(F.when(new, F.col("mean"))).alias("mean_new"),
+        F.min("is_new").alias("first_side"), F.max("is_new").alias("last_side"))
     return per_line.groupBy(*STEP, "path").agg(
         F.sum(F.greatest(F.col("cn") - F.col("co"), F.lit(0))).alias("added_lines"),
         F.sum(F.greatest(F.col("co") - F.col("cn"), F.lit(0))).alias("removed_lines"),
         F.max("ws_old").alias("ws_old"), F.max("ws_new").alias("ws_new"),
-        F.max("mean_old").alias("mean_old"), F.max("mean_new").alias("mean_new"))
+        F.max("mean_old").alias("mean_old"), F.max("mean_new").alias("mean_new"),
+        (~F.min("first_side")).alias("has_old"), F.max("last_side").alias("has_new"))
 
 
 def file_changes(changes: DataFrame, files: DataFrame, options: CompareOptions = CompareOptions()) -> DataFrame:
@@ -97,7 +99,10 @@ def file_changes(changes: DataFrame, files: DataFrame, options: CompareOptions =
     differs = ~F.col("old.sha256").eqNullSafe(F.col("new.sha256"))
     spaces_only = F.lit(options.collapse_whitespace) & both & differs & (F.col("ws_old") == F.col("ws_new"))
     wide = both & (F.greatest("mean_old", "mean_new") > options.long_line_mean)
-    joined = marked.join(measured, [*STEP, "path"], "left").select(
+    absent = F.col("_refused").isNull() & (
+        (old.isNotNull() & ~F.coalesce("has_old", F.lit(False))) | (new.isNotNull() & ~F.coalesce("has_new", F.lit(False))))
+    joined = marked.join(measured, [*STEP, "path"], "left").withColumn(
+        "_refused", F.when(absent, "missing from the archive").otherwise(F.col("_refused"))).select(
         *STEP, "kind", "path", "old_path", either["lang"].alias("lang"), snapshot.is_vendored_change().alias("is_vendor"),
         (snapshot.is_hidden_change() & F.lit(options.hide_vendored)).alias("is_hidden"),
         (F.coalesce("new.size", F.lit(0)) - F.coalesce("old.size", F.lit(0))).cast("bigint").alias("size_delta"),
@@ -140,6 +145,23 @@ def comparison_totals(changes: DataFrame) -> DataFrame:
     ).withColumn("is_empty", F.lit(False))
 
 
+def comparison_layers(steps: DataFrame, totals: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """Totals of every asked comparison with a count per other layer and whether it is empty.
+
+    ``layers`` maps a name to rows keyed by step (dependency, name, finding or
+    attribute changes); each is counted per step before it is joined.
+    """
+    out = steps.select(*STEP).join(totals.drop("is_empty"), STEP, "left")
+    for name, rows in layers.items():
+        out = out.join(rows.groupBy(*STEP).agg(F.count(F.lit(1)).alias(name)), STEP, "left")
+    numbers = [c for c in out.columns if c not in STEP]
+    filled = out.na.fill(0, numbers)
+    nothing = F.lit(True)
+    for c in (*[k.replace("-", "_") for k in KIND_ORDER], "vendored_hidden", *layers):
+        nothing = nothing & (F.col(c) == 0)
+    return filled.withColumn("is_empty", nothing)
+
+
 def headline(counts: dict[str, Column]) -> Column:
     """``2 modified, 1 added, 52 vendored``; 'no file changes' when nothing is listed."""
     parts = [F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for word, n in counts.items()]

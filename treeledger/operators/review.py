@@ -266,6 +266,28 @@ def resolve_citations(citations: DataFrame, known: DataFrame, scope: list[str])
         *scope, "cited", F.coalesce("_by_raw", "_by_clean", "_by_tail").alias("path"))
 
 
+def dependency_line() -> Column:
+    """``- boto3 (pip, installed): 1.34.0 → 1.35.20`` for a keyed change."""
+    source = F.when(F.col("is_declared"), "declared").otherwise("installed")
+    unknown = F.lit("unspecified version")
+    moved = (
+        F.when(F.col("kind") == "changed", F.concat(F.coalesce("old_version", F.lit("None")), F.lit(" → "), F.coalesce("new_version", F.lit("None"))))
+        .when(F.col("kind") == "added", F.concat(F.lit("added at "), F.coalesce("new_version", unknown)))
+        .otherwise(F.concat(F.lit("removed (was "), F.coalesce("old_version", unknown), F.lit(")")))
+    )
+    return F.concat(F.lit("- "), "name", F.lit(" ("), "manager", F.lit(", "), source, F.lit("): "), moved)
+
+
+def finding_line() -> Column:
+    """``- NEW high stripe-key at config.py:7 (sk_l…dc (32 chars))``."""
+    return F.concat(F.lit("- NEW "), "severity", F.lit(" "), "kind", F.lit(" at "), "path", F.lit(":"), F.col("line_no").cast("string"), F.lit(" ("), "detail", F.lit(")"))
+
+
+def name_line() -> Column:
+    """``- newly read: QUEUE_URL`` for a reference that came or went."""
+    return F.concat(F.when(F.col("status") == "added", "- newly read: ").otherwise("- no longer read: "), F.col("name"))
+
+
 def section(rows: DataFrame, keys: list[str], order: list[Column], line: Column, number: int, title: str, limit: int) -> DataFrame:
     """A brief's section: the first ``limit`` lines, then how many more there are.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, fetch
 from .ordered import ordered
 
 STEP = ["artifact", "old_seq", "new_seq"]
@@ -26,7 +26,8 @@ def with_roles(files: DataFrame, old_seq: int | None = None, new_seq: int | None
             F.struct(F.col("old_seq").alias("seq"), F.lit(False).alias("is_new")),
             F.struct(F.col("new_seq").alias("seq"), F.lit(True).alias("is_new")))).alias("s")
     ).select(*STEP, "s.seq", "s.is_new")
-    return files.join(sides, ["artifact", "seq"]).drop("seq")
+    # Version keys go to the files: a version with very many files stays spread.
+    return fetch(files, durable(sides), ["artifact", "seq"]).drop("seq")
 
 
 def paired_facts(roles: DataFrame) -> DataFrame:

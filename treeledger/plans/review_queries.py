@@ -8,7 +8,7 @@ from ..functions import paths
 from ..operators import arrivals as arrival_ops
 from ..operators import changes as change_ops
 from ..operators import dependencies as dependency_ops
-from ..operators import extract, facts, findings, identity, review, search
+from ..operators import extract, facts, findings, identity, review, search, sets
 from ..options import ArrivalOptions
 from ..sources import adapters, manifest
 from .change_queries import TOTALS_SQL, WITH_CHANGES, WITH_MOVES, changed, moves_of
@@ -16,6 +16,7 @@ from .history_queries import _ORDERS, order_versions
 from .registry import query
 from .scalar_queries import _clean_sql, _slug_sql, sql_basename, sql_dirname, sql_text
 from .snapshot_queries import FACTS_SQL, FILES, facts as file_facts
+from .text_queries import FINDINGS_SQL, _severity_rank_sql
 
 table, spread = adapters.table, adapters.spread_table
 ARRIVALS = adapters.ARRIVALS_SQL
@@ -260,8 +261,12 @@ def version_summary(spark, sf):
 @query("comparison_brief", f"""{WITH_MOVES}, {TOTALS_SQL},
 o AS (SELECT artifact, '# ' || artifact || ': version 1 to version 2' || chr(10) || '- files changed: ' || added || ' added, ' || removed || ' removed, ' || modified || ' modified, ' || renamed || ' renamed; +' || added_lines || ' -' || removed_lines || ' lines' || chr(10) || '- vendored files changed: ' || vendored_hidden AS t FROM tt),
 m AS (SELECT artifact, string_agg('- ' || old_dir || '/ → ' || new_dir || '/ (' || moved || ' files)', chr(10) ORDER BY old_dir, new_dir) || CASE WHEN max(n) > 100 THEN chr(10) || '- … and ' || (max(n) - 100) || ' more' ELSE '' END AS b FROM (SELECT *, count(*) OVER (PARTITION BY artifact) AS n FROM mo WHERE NOT is_vendor QUALIFY row_number() OVER (PARTITION BY artifact ORDER BY old_dir, new_dir) <= 100) GROUP BY artifact),
-e AS (SELECT artifact, string_agg('- ' || kind || ': ' || path || ' (+' || added_lines || ' -' || removed_lines || ')', chr(10) ORDER BY p) || CASE WHEN max(n) > 5 THEN chr(10) || '- … and ' || (max(n) - 5) || ' more' ELSE '' END AS b FROM (SELECT *, count(*) OVER (PARTITION BY artifact) AS n, row_number() OVER (PARTITION BY artifact ORDER BY {_PRIORITY_SQL}, added_lines + removed_lines DESC, path) AS p FROM fc WHERE NOT is_vendor) WHERE p <= 5 GROUP BY artifact)
-SELECT o.artifact, t || coalesce(chr(10) || chr(10) || '## Directory moves' || chr(10) || m.b, '') || coalesce(chr(10) || chr(10) || '## Largest changes' || chr(10) || e.b, '') AS brief FROM o LEFT JOIN m ON m.artifact = o.artifact LEFT JOIN e ON e.artifact = o.artifact""")
+e AS (SELECT artifact, string_agg('- ' || kind || ': ' || path || ' (+' || added_lines || ' -' || removed_lines || ')', chr(10) ORDER BY p) || CASE WHEN max(n) > 5 THEN chr(10) || '- … and ' || (max(n) - 5) || ' more' ELSE '' END AS b FROM (SELECT *, count(*) OVER (PARTITION BY artifact) AS n, row_number() OVER (PARTITION BY artifact ORDER BY {_PRIORITY_SQL}, added_lines + removed_lines DESC, path) AS p FROM fc WHERE NOT is_vendor) WHERE p <= 5 GROUP BY artifact),
+{FINDINGS_SQL}, fo AS (SELECT * FROM fv WHERE seq = 1), fq AS (SELECT * FROM fv WHERE seq = 2 AND NOT is_vendor AND NOT EXISTS (SELECT 1 FROM fo WHERE fo.artifact = fv.artifact AND fo.kind = fv.kind AND fo.path = fv.path AND fo.detail = fv.detail)),
+s3 AS (SELECT artifact, string_agg('- NEW ' || severity || ' ' || kind || ' at ' || path || ':' || line_no || ' (' || detail || ')', chr(10) ORDER BY p) || CASE WHEN max(n) > 30 THEN chr(10) || '- … and ' || (max(n) - 30) || ' more' ELSE '' END AS b
+  FROM (SELECT *, count(*) OVER (PARTITION BY artifact) AS n, row_number() OVER (PARTITION BY artifact ORDER BY {_severity_rank_sql('severity')}, path, line_no, detail) AS p FROM fq) WHERE p <= 30 GROUP BY artifact)
+SELECT o.artifact, t || coalesce(chr(10) || chr(10) || '## Directory moves' || chr(10) || m.b, '') || coalesce(chr(10) || chr(10) || '## Largest changes' || chr(10) || e.b, '') || coalesce(chr(10) || chr(10) || '## Security scanner' || chr(10) || s3.b, '') AS brief
+FROM o LEFT JOIN m ON m.artifact = o.artifact LEFT JOIN e ON e.artifact = o.artifact LEFT JOIN s3 ON s3.artifact = o.artifact""")
 def comparison_brief(spark, sf):
     changes = change_ops.durable(changed(spark, sf))
     t = change_ops.comparison_totals(changes)
@@ -275,4 +280,9 @@ def comparison_brief(spark, sf):
     order = [F.array_position(F.array(*[F.lit(k) for k in review.REVIEW_KINDS]), F.col("kind")), lines.desc(), F.col("path")]
     edited = F.concat(F.lit("- "), "kind", F.lit(": "), "path", F.lit(" (+"), F.col("added_lines").cast("string"), F.lit(" -"), F.col("removed_lines").cast("string"), F.lit(")"))
     edits = review.section(changes.where(~F.col("is_vendor")), ["artifact"], order, edited, 2, "Largest changes", 5)
-    return review.brief(t.select("artifact", text.alias("text")), moves.unionByName(edits), ["artifact"])
+    rows = findings.findings(adapters.snapshot_files(spark, sf)).where(~F.col("is_vendor")).select("artifact", "seq", "path", "kind", "severity", "line_no", "detail")
+    sides = [rows.where(F.col("seq") == n).drop("seq") for n in (1, 2)]
+    fresh = sets.findings_delta(*sides, ["artifact", "kind", "path", "detail"]).where(F.col("status") == "new")
+    order = [findings.severity_rank(F.col("severity")), F.col("path"), F.col("line_no"), F.col("detail")]
+    scanned = review.section(fresh, ["artifact"], order, review.finding_line(), 3, "Security scanner", 30)
+    return review.brief(t.select("artifact", text.alias("text")), moves.unionByName(edits).unionByName(scanned), ["artifact"])
