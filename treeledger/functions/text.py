@@ -45,14 +45,19 @@ def tokens_of(content: Column) -> Column:
 
 
 def shannon_entropy(token: Column) -> Column:
-    """Bits per character, from the character counts of the token itself."""
-    chars = F.split(token, "")
-    size = F.size(chars)
-    per_char = F.transform(
-        F.array_distinct(chars),
-        lambda ch: F.size(F.filter(chars, lambda other: other == ch)) / size,
-    )
-    return F.aggregate(per_char, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    """Bits per character, from the character counts of the token itself.
+
+    The characters are bound once, as a lambda variable, and reused for every count.
+    """
+
+    def bits(chars: Column) -> Column:
+        def add(total: Column, ch: Column) -> Column:
+            share = F.size(F.filter(chars, lambda other: other == ch)) / F.size(chars)
+            return total - share * F.log2(share)
+
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), add)
+
+    return F.element_at(F.transform(F.array(F.split(token, "")), bits), 1)
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ are given.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +19,19 @@ from .extract import numbered_lines
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern in three parts: what stands before the secret, the secret, what follows."""
+    """A pattern in three parts: what stands before the secret, the secret, what follows.
+
+    ``hints`` are literals of which every match holds one (compared in lower case
+    when ``fold``): a text without them is never given to the regular expression.
+    """
 
     kind: str
     severity: str
     before: str
     secret: str
     after: str = ""
+    hints: tuple[str, ...] = ()
+    fold: bool = False
     placeholders: bool = False
     show_whole: bool = False
 
@@ -31,15 +39,21 @@ class Rule:
     def regex(self) -> str:
         return f"({self.before})({self.secret})({self.after})"
 
+    def possible(self, column: Column) -> Column:
+        """Whether a match can be there at all, by plain substring search."""
+        subject = F.lower(column) if self.fold else column
+        return reduce(or_, [F.contains(subject, F.lit(h)) for h in self.hints]) if self.hints else F.lit(True)
+
 
 RULES = (
-    Rule("aws-access-key-id", "high", r"\b", r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"\b"),
-    Rule("stripe-key", "high", r"\b", r"[sr]k_live_[0-9A-Za-z]{16,}", r"\b"),
-    Rule("github-token", "high", r"\b", r"gh[pousr]_[0-9A-Za-z]{36,}", r"\b"),
-    Rule("private-key", "high", r"-----BEGIN ", r"(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY", r"-----"),
+    Rule("aws-access-key-id", "high", r"\b", r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"\b", ("AKIA", "ASIA")),
+    Rule("stripe-key", "high", r"\b", r"[sr]k_live_[0-9A-Za-z]{16,}", r"\b", ("k_live_",)),
+    Rule("github-token", "high", r"\b", r"gh[pousr]_[0-9A-Za-z]{36,}", r"\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("private-key", "high", r"-----BEGIN ", r"(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY", r"-----", ("PRIVATE KEY-----",)),
     Rule("hardcoded-credential", "medium",
-         r"(?i:passwd|password|pwd|secret|token|api_?key|access_?key)['\"]?[ \t]*[:=][ \t]*['\"]", r"[^'\" \t\r\n]{8,}", r"['\"]", placeholders=True),
-    Rule("debug-flag", "low", r"\b", r"(?i:debug)[ \t]*=[ \t]*(?i:true)", r"\b", show_whole=True),
+         r"(?i:passwd|password|pwd|secret|token|api_?key|access_?key)['\"]?[ \t]*[:=][ \t]*['\"]", r"[^'\" \t\r\n]{8,}", r"['\"]",
+         ("passw", "pwd", "secret", "token", "apikey", "api_key", "accesskey", "access_key"), fold=True, placeholders=True),
+    Rule("debug-flag", "low", r"\b", r"(?i:debug)[ \t]*=[ \t]*(?i:true)", r"\b", ("debug",), fold=True, show_whole=True),
 )
 PLACEHOLDER = (r"(?i)^(?:.*change_?me.*|.*example.*|.*placeholder.*|your[_-].*|x{4,}|\*{4,}|<.*>|\$\{.*\}|\{\{.*\}\}|"
                r"none|null|true|false|test|todo|dummy|sample.*|os\.environ.*|process\.env.*|password|secret|redacted.*|«.*)$")
@@ -63,7 +77,10 @@ def _finding_of(rule: Rule):
 
 def findings(files: DataFrame, keys: tuple[str, ...] = ("artifact", "seq", "path"), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per credential-shaped value: kind, severity, line, and a detail that hides it."""
-    lines = numbered_lines(files, list(keys)).where(F.col("line").rlike("|".join(r.regex for r in rules)))
+    def may_hold(column: Column) -> Column:
+        return reduce(or_, [r.possible(column) for r in rules])
+
+    lines = numbered_lines(files, list(keys), may_hold(F.col("content"))).where(may_hold(F.col("line")))
     parts = []
     for rule in rules:
         values = F.regexp_extract_all(F.col("line"), F.lit(rule.regex), F.lit(2))
@@ -82,7 +99,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def is_random_token(token: Column) -> Column:
-    return (F.round(text.shannon_entropy(token), 6) >= 4.0) & token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (F.round(text.shannon_entropy(token), 6) >= 4.0)
 
 
 def redact(rows: DataFrame, column: str, out: str = "redacted", count: str = "redactions", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -94,8 +111,10 @@ def redact(rows: DataFrame, column: str, out: str = "redacted", count: str = "re
     """
     work = rows.withColumn(out, F.col(column)).withColumn(count, F.lit(0))
     for rule in rules:
-        work = work.withColumn(count, F.col(count) + F.regexp_count(F.col(out), F.lit(rule.regex))).withColumn(
-            out, F.regexp_replace(F.col(out), rule.regex, f"$1«redacted {rule.kind}»$3"))
+        text_now = F.col(out)
+        work = work.withColumn("_may", rule.possible(text_now))
+        work = work.withColumn(count, F.col(count) + F.when(F.col("_may"), F.regexp_count(text_now, F.lit(rule.regex))).otherwise(0)).withColumn(
+            out, F.when(F.col("_may"), F.regexp_replace(text_now, rule.regex, f"$1«redacted {rule.kind}»$3")).otherwise(text_now))
     runs = F.regexp_extract_all(F.col(out), F.lit(TOKENISH), F.lit(0))
     work = work.withColumn("_runs", F.transform(runs, lambda t: F.struct(t.alias("t"), is_random_token(t).alias("r"))))
     between = F.split(F.col(out), TOKENISH, -1)
@@ -103,7 +122,7 @@ def redact(rows: DataFrame, column: str, out: str = "redacted", count: str = "re
     rebuilt = F.array_join(F.zip_with(between, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     flagged = F.size(F.filter(F.col("_runs"), lambda e: e["r"]))
     work = work.withColumn(count, (F.col(count) + flagged).cast("bigint"))
-    return work.withColumn(out, F.when(flagged > 0, rebuilt).otherwise(F.col(out))).drop("_runs")
+    return work.withColumn(out, F.when(flagged > 0, rebuilt).otherwise(F.col(out))).drop("_runs", "_may")
 
 
 def tokens(rows: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -68,7 +68,7 @@ def refs_delta(spark, sf):
 
 
 _HREF, _NUMBER = r'href="([^"]+)"', r"\b([0-9]{3,})\b"
-LINKS = (extract.Catalogue("link", (_HREF,)), extract.Catalogue("number", (_NUMBER,)))
+LINKS = (extract.Catalogue("link", (_HREF,), hints=("href=",)), extract.Catalogue("number", (_NUMBER,)))
 
 
 @query("extract_refs", f"""
