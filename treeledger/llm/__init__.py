@@ -1,6 +1,6 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-MODULES = ("mixing", "urlfilter", "merkle", "sharding", "suffixes")
+MODULES = ("mixing", "urlfilter", "merkle", "sharding", "suffixes", "jaccard")
 
 
 def load():
