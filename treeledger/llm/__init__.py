@@ -1,6 +1,6 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-MODULES = ("mixing", "langid", "urlfilter", "merkle", "sharding", "suffixes", "jaccard")
+MODULES = ("mixing", "langid", "urlfilter", "merkle", "packing", "sharding", "suffixes", "jaccard")
 
 
 def load():
