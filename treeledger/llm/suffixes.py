@@ -338,4 +338,4 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def op10_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     dealt, spans = removal_plan(docs, LEAST)
-    return dealt.select("chunk", "order_", "doc_id", "text").groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(digests, DIGESTS)
+    return dealt.groupBy("chunk__").cogroup(spans.groupBy("chunk")).applyInArrow(digests, DIGESTS)
