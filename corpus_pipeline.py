@@ -1,10 +1,65 @@
-"""The corpus pipeline over documents; stages follow as their operators are written."""
+"""From raw documents to packed training sequences.
+
+Each stage takes what the one before kept, reads whole texts, and returns the columns of
+documents; the last returns the pieces of documents with their places in sequences. Null and
+empty texts go with the first stage, since they have no language; ties, repeated rows, extra
+columns and empty tables are handled as the operators state.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeledger.llm import jaccard, langid, mixing, packing, suffixes
+from treeledger.operators.durable import checkpoint_root
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in no known language."""
+    return langid.accepted(docs, langid.learned(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the smallest doc_id, of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that a document with a smaller doc_id holds, and counts the characters anew."""
+    kept = suffixes.without_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that the sources meet their target weights, in a global shuffle."""
+    return mixing.mixed(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of the permitted lengths."""
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("source_mixing", mixture),
+    ("best_fit_packing", sequences),
+]
+
+# A trained network and greedy packing are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Every stage is written to the shared folder and read again."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -290,6 +290,12 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """``docs`` without those that are linked to a smaller doc_id, over any number of links."""
+    gone = durable(similar_documents(docs, rule).where("doc_id <> component_id").select("doc_id").distinct())
+    return fetch(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+
+
 @query("op9_partenum_join")
 def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), Rule(words=3, percent=90))

@@ -248,6 +248,20 @@ def learned(docs: DataFrame, options: Training = Training()) -> Network | None:
     return train(training_sample(docs.where(~held_out()), options), options)
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a language of at least this score; the others are rejected."""
+    def batches(it):
+        import pyarrow as pa
+
+        for batch in it:
+            group = pa.Table.from_batches([batch])
+            data, offsets = binary_parts(group, "text")
+            pooled, _ = label_documents(net, data, offsets.astype(np.int64))
+            yield from group.filter(pa.array(pooled.max(axis=1) >= least)).to_batches()
+
+    return docs.limit(0) if net is None else docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(batches, docs.schema)
+
+
 @query("op2_byte_bigru")
 def op2_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
