@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeledger.llm.columns import veiled
 from treeledger.llm.ranks import leading, number, seeded, seeded_sql
 from treeledger.llm.registry import query
 from treeledger.operators.durable import durable, fetch
@@ -85,7 +86,8 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataF
 
 def mixed(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """The mixed corpus in its shuffled order, with the columns of ``docs``."""
-    return poisson_copies(docs, source_rates(docs, **target), seed).orderBy("key_").select(*docs.columns)
+    rows = veiled(docs, "doc_id", "source")
+    return poisson_copies(rows, source_rates(rows, **target), seed).orderBy("key_").select(*rows.columns).toDF(*docs.columns)
 
 
 MIX_SQL = f"""

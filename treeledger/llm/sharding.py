@@ -2,7 +2,8 @@
 
 Rows are shuffled by a seeded digest within their source, given the fractional rank
 (2 rank + 1) / (2 rows of the source), sorted by it over all sources and cut into equal
-runs. Any run then holds each source in its share of the corpus, to within one row.
+runs. Any run then holds each source in its share of the corpus, to within one row and, for
+a share p among k sources, p * k more, since ranks of other sources may fall together at a cut.
 
 Everything is DataFrame functions. Text is reduced to its size and checksum in the scan;
 only narrow rows are shuffled. Null text has size 8 and checksum 0; a null source is a

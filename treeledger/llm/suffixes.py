@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.llm.bytesets import binary_parts, by_bucket, gram_hashes, joined, mixed, packed, sliding_min
+from treeledger.llm.columns import veiled
 from treeledger.llm.registry import query
 from treeledger.sources.adapters import table
 
@@ -329,9 +330,10 @@ def removal_plan(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``; all columns kept."""
-    dealt, spans = removal_plan(docs, least)
-    columns = docs.columns
-    return dealt.groupBy("chunk__").cogroup(spans.groupBy("chunk")).applyInArrow(lambda g, a: kept_rows(g, a, columns), docs.schema)
+    rows = veiled(docs, "doc_id", "text")
+    dealt, spans = removal_plan(rows, least)
+    columns = rows.columns
+    return dealt.groupBy("chunk__").cogroup(spans.groupBy("chunk")).applyInArrow(lambda g, a: kept_rows(g, a, columns), rows.schema).toDF(*docs.columns)
 
 
 @query("op10_previous_factors")
