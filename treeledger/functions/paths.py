@@ -145,15 +145,16 @@ def pair_key(path: Column, lang: Column) -> Column:
     return F.when(family == "", F.concat(name, F.lit("|"))).otherwise(F.concat(bare, F.lit("|"), family))
 
 
-def slugify(name: Column, fallback: str = "unnamed") -> Column:
-    """Folder-safe form of a name."""
+def slugify(name: Column, fallback: str = "unnamed", longest: int | None = None) -> Column:
+    """Folder-safe form of a name, cut to ``longest`` characters where given."""
     folded = F.regexp_replace(F.translate(name, ACCENTED, FOLDED), r"[^\x00-\x7F]", "")
     slug = F.regexp_replace(folded, r"[^A-Za-z0-9._-]+", "-")
     slug = F.regexp_replace(slug, r"^[-._]+|[-._]+$", "")
     slug = F.regexp_replace(slug, r"-{2,}", "-")
     slug = F.when(slug == "", F.lit(fallback)).otherwise(slug)
     reserved = F.upper(F.split(slug, r"\.").getItem(0)).rlike("^(?:" + "|".join(RESERVED_NAMES) + ")$")
-    return F.substring(F.when(reserved, F.concat(F.lit("_"), slug)).otherwise(slug), 1, 120)
+    slug = F.when(reserved, F.concat(F.lit("_"), slug)).otherwise(slug)
+    return slug if longest is None else F.substring(slug, 1, longest)
 
 
 def clean_name(stem_column: Column, patterns: Iterable[str] = STRIP_PATTERNS, passes: int = 4) -> Column:

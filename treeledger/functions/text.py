@@ -77,9 +77,9 @@ def printable_share(payload: Column) -> Column:
     return kept / F.length(payload)
 
 
-def is_probably_text(payload: Column, sniff_bytes: int = 8192) -> Column:
+def is_probably_text(payload: Column, sniff_bytes: int | None = None) -> Column:
     """Binary column sniff: empty is text, NUL is not, UTF-8 is, else mostly printable."""
-    head = F.substring(payload, 1, sniff_bytes)
+    head = payload if sniff_bytes is None else F.substring(payload, 1, sniff_bytes)
     has_nul = F.contains(F.decode(head, "ISO-8859-1"), F.lit("\x00"))
     return (
         F.when(F.length(head) == 0, F.lit(True))

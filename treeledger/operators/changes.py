@@ -86,13 +86,14 @@ def file_changes(changes: DataFrame, files: DataFrame, options: CompareOptions =
     """
     old, new = F.col("old"), F.col("new")
     either = F.coalesce("new", "old")
-    too_big = F.greatest(F.coalesce("old.size", F.lit(0)), F.coalesce("new.size", F.lit(0))) > options.max_compare_bytes
     refused = (
         F.when(F.col("kind") == "mode-changed", "mode only")
         .when(paths.matches_any(F.col("path"), options.ignore_globs), "ignored by config")
         .when(~F.coalesce("old.is_text", F.lit(True)) | ~F.coalesce("new.is_text", F.lit(True)), "binary")
-        .when(too_big, f"file larger than {options.max_compare_bytes // 1024} KB")
     )
+    if options.max_compare_bytes is not None:
+        size = F.greatest(F.coalesce("old.size", F.lit(0)), F.coalesce("new.size", F.lit(0)))
+        refused = refused.when(size > options.max_compare_bytes, f"file larger than {options.max_compare_bytes // 1024} KB")
     marked = changes.withColumn("_refused", refused)
     measured = text_measures(marked.where(F.col("_refused").isNull()), files)
     both = old.isNotNull() & new.isNotNull()

@@ -10,7 +10,6 @@ from ..functions.text import lines_of
 from .facts import VERSION
 from .sets import prefer_non_null
 
-MAX_MANIFEST_BYTES = 8 * 1024 * 1024
 DEP = "struct<name:string,version:string>"
 # Fixed value: a requirement line's name, extras, operator and version.
 REQUIREMENT = r"^\s*([A-Za-z0-9._-]+)\s*(?:\[[^\]]*\])?\s*(==|>=|<=|~=|!=|>|<|===)?\s*([^\s;#]+)?"
@@ -138,17 +137,20 @@ def metadata(content: Column) -> Column:
     return F.filter(F.array(_dep(name, version)), lambda d: d["name"].isNotNull())
 
 
-def dependencies(files: DataFrame) -> DataFrame:
+def dependencies(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Dependencies of each version, one per (manager, lower name, is_declared).
 
-    Each manifest is parsed where it is read; only the parsed rows are shuffled.
+    Each manifest is parsed where it is read; only the parsed rows are shuffled. With
+    ``max_bytes`` larger manifests are left out.
     """
     path, content = F.col("path"), F.col("content")
     name, parent = F.lower(paths.basename(path)), F.lower(paths.basename(paths.dirname(path)))
     in_node = F.contains(path, F.lit("node_modules/"))
     tail = F.substring_index(path, "node_modules/", -1)
     direct = paths.depth(tail) <= F.when(tail.startswith("@"), 2).otherwise(1)
-    own = ~paths.is_vendored(path) & (F.octet_length(content) <= MAX_MANIFEST_BYTES)
+    own = ~paths.is_vendored(path)
+    if max_bytes is not None:
+        own = own & (F.octet_length(content) <= max_bytes)
     header = ((name == "metadata") & parent.endswith(".dist-info")) | ((name == "pkg-info") & parent.endswith(".egg-info"))
     routes = [
         (header, "pip", False, metadata), ((name == "package.json") & in_node & direct, "npm", False, installed_package),

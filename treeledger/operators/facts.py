@@ -19,12 +19,14 @@ VERSION = ["artifact", "seq"]
 def file_facts(files: DataFrame, options: ScanOptions = ScanOptions(), keep_content: bool = False) -> DataFrame:
     """One row per file: size, hash, language, vendored and text flags, lines.
 
-    ``files`` holds (artifact, seq, path, content, mode) with text content; a file
-    over the scan limit is hashed but not read for text facts.
+    ``files`` holds (artifact, seq, path, content, mode) with text content; where a scan
+    limit is set, a larger file is hashed but not read for text facts.
     """
     content, lang = F.col("content"), paths.language_label(F.col("path"))
     size = F.octet_length(content).cast("bigint")
-    readable = (size <= options.max_scan_bytes) & (lang != "binary") & ~F.contains(content, F.lit("\x00"))
+    readable = (lang != "binary") & ~F.contains(content, F.lit("\x00"))
+    if options.max_scan_bytes is not None:
+        readable = readable & (size <= options.max_scan_bytes)
     return files.select(
         "artifact", "seq", "path", size.alias("size"), F.sha2(content, 256).alias("sha256"),
         F.col("mode").cast("int").alias("mode"), readable.alias("is_text"),

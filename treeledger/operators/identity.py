@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import broadcast
 
 from ..functions import paths
+from .durable import durable
 
 GRAM = 3
 
@@ -36,17 +38,57 @@ def contains_join(haystacks: DataFrame, needles: DataFrame, haystack: str, needl
     return hits.join(needles, needle)
 
 
+LOOSE_PATTERNS = 1000
+
+
+def literal_piece(pattern: Column) -> Column:
+    """The longest run of three or more letters, digits, dashes every match of a regular expression must hold; '' if none is sure.
+
+    Escapes, classes and optional characters are cut out first; alternatives and
+    groups make nothing sure.
+    """
+    plain = F.regexp_replace(pattern, r"\\(?:[A-Za-z0-9]|.)|\[\^?\]?[^\]]*\]|\(\?[a-z]+\)", "\x00")
+    plain = F.regexp_replace(plain, r".[?*]|.\{[^}]*\}", "\x00")
+    pieces = F.regexp_extract_all(F.lower(plain), F.lit("([a-z0-9_-]{3,})"), F.lit(1))
+    best = F.aggregate(pieces, F.lit(""), lambda acc, p: F.when(F.length(p) > F.length(acc), p).otherwise(acc))
+    return F.when(pattern.rlike(r"[|(]"), "").otherwise(F.coalesce(best, F.lit("")))
+
+
+def regex_hits(names: DataFrame, patterns: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, alias) of names a regular expression of a table is found in.
+
+    Patterns with a sure literal piece meet only names that contain it. Those without
+    are tried on every name; they are counted first and refused above ``LOOSE_PATTERNS``.
+    """
+    cut = durable(patterns.withColumn("_piece", literal_piece(F.col("pattern"))))
+    loose = cut.where("_piece = ''").drop("_piece")
+    if loose.count() > LOOSE_PATTERNS:
+        raise ValueError(f"more than {LOOSE_PATTERNS} patterns without a literal piece of three characters")
+    lowered = names.select(key, F.col(name).alias("_raw"), F.lower(name).alias("_name"))
+    near = contains_join(lowered, cut.where("_piece <> ''"), "_name", "_piece")
+    found = near.select(key, "_raw", "alias_id", "artifact", "pattern").unionByName(
+        lowered.join(broadcast(loose), F.lit(True)).select(key, "_raw", "alias_id", "artifact", "pattern"))
+    return found.where(F.expr("_raw rlike pattern")).select(key, F.struct("alias_id", "artifact").alias("_a"))
+
+
 def alias_match(names: DataFrame, aliases: DataFrame, rules: tuple[tuple[int, str, str], ...] = (), key: str = "id", name: str = "name") -> DataFrame:
     """First alias (lowest ``alias_id``) whose pattern is in the name, case ignored.
 
-    ``aliases``: alias_id, artifact, pattern. ``rules`` are regular-expression
-    aliases (alias_id, pattern, artifact): configuration of a fixed, small number,
-    compiled into the plan as literals.
+    ``aliases``: alias_id, artifact, pattern, and optionally is_regex: such a pattern is a
+    regular expression, searched in the name as it is written. ``rules`` are more of
+    them (alias_id, pattern, artifact): configuration of a fixed, small number, compiled
+    into the plan as literals.
     """
+    patterns = None
+    if "is_regex" in aliases.columns:
+        patterns = aliases.where("is_regex").select("alias_id", "artifact", "pattern")
+        aliases = aliases.where(~F.coalesce("is_regex", F.lit(False)))
     lowered = names.select(key, F.lower(name).alias("_name"))
     # Of aliases with one pattern only the first can win: one needle per pattern.
     needles = aliases.groupBy(F.lower("pattern").alias("_pattern")).agg(F.min(F.struct("alias_id", "artifact")).alias("_a"))
     hits = contains_join(lowered, needles, "_name", "_pattern").select(key, "_a")
+    if patterns is not None:
+        hits = hits.unionByName(regex_hits(names, patterns, key, name))
     if rules:
         literal = F.array(*[F.when(F.col(name).rlike(p), F.struct(F.lit(i).cast("bigint").alias("alias_id"), F.lit(a).alias("artifact"))) for i, p, a in rules])
         by_rule = names.select(key, F.explode(F.filter(literal, lambda r: r.isNotNull())).alias("_a"))

@@ -202,7 +202,9 @@ def rename_nodes(leftovers: DataFrame, options: CompareOptions) -> DataFrame:
         record["size"].alias("size"), record["lang"].alias("lang"),
         F.when(F.col("kind") == "added", F.col("new_seq")).otherwise(F.col("old_seq")).alias("seq"),
         record["is_text"].alias("_text"),
-    ).where(F.col("_text") & (F.col("size") > 0) & (F.col("size") <= options.max_compare_bytes)).drop("_text")
+    ).where(F.col("_text") & (F.col("size") > 0)).drop("_text")
+    if options.max_compare_bytes is not None:
+        nodes = nodes.where(F.col("size") <= options.max_compare_bytes)
     family = paths.language_family(F.col("lang"))
     return nodes.withColumn("pair_key", paths.pair_key(F.col("path"), F.col("lang"))).withColumn(
         "family", F.when(family == "", F.col("lang")).otherwise(family))

@@ -43,6 +43,17 @@ STRIP_PATTERNS = (
 )
 
 
+# Limits of an interactive tool, for callers who want its outcomes.
+# None anywhere means no limit, which is the default.
+INTERACTIVE_SCAN_BYTES = 2048 * KB
+INTERACTIVE_COMPARE_BYTES = 512 * KB
+INTERACTIVE_MANIFEST_BYTES = 8 * MB
+INTERACTIVE_SNIFF_BYTES = 8192
+INTERACTIVE_SLUG_LENGTH = 120
+INTERACTIVE_ENTRY_POINTS = 10
+INTERACTIVE_EVIDENCE = 12
+
+
 @dataclass(frozen=True)
 class ArrivalOptions:
     """Which arriving files count, and when they have settled."""
@@ -70,7 +81,9 @@ class ScanOptions:
     """What is read for text facts."""
 
     vendor_globs: tuple[str, ...] = VENDOR_GLOBS
-    max_scan_bytes: int = 2048 * KB
+    max_scan_bytes: int | None = None
+    entry_points: int | None = None
+    evidence: int | None = None
 
 
 @dataclass(frozen=True)
@@ -80,7 +93,7 @@ class CompareOptions:
     hide_vendored: bool = True
     ignore_globs: tuple[str, ...] = IGNORE_GLOBS
     context_lines: int = 3
-    max_compare_bytes: int = 512 * KB
+    max_compare_bytes: int | None = None
     max_diff_lines: int = 2000
     collapse_whitespace: bool = True
     long_line_mean: int = 400

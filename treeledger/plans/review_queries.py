@@ -77,10 +77,10 @@ def json_map_explode(spark, sf):
     return parsed
 
 
-@query("recent_events", "SELECT event_id, ts, user_id AS artifact, event_type AS kind, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 30) LEFT JOIN customer ON c_custkey = user_id")
+@query("recent_events", "SELECT event_id, ts, user_id AS artifact, event_type AS kind, c_name AS name FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 30) LEFT JOIN customer ON c_custkey = user_id")
 def recent_events(spark, sf):
     events = user_events(spark, sf).select("event_id", "ts", F.col("user_id").alias("artifact"), F.col("event_type").alias("kind"))
-    names = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("artifact"), F.col("c_name").alias("name"))
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("artifact"), F.col("c_name").alias("name"))
     return search.recent_events(events, names)
 
 
@@ -99,18 +99,25 @@ def search_facts(spark, sf):
     return search.search_facts(deps, versions, names, "red")
 
 
-_ALIASES = "SELECT p_partkey AS alias_id, p_brand AS artifact, upper(p_name) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' #' || p_partkey END AS pattern FROM part WHERE p_size > 20"
+_ALIASES = """SELECT p_partkey AS alias_id, p_brand AS artifact, p_partkey % 4 = 1 AS is_regex,
+  CASE WHEN p_partkey % 4 = 1 THEN ' #0*' || p_partkey || '[0-9]?\\.zip$' ELSE upper(p_name) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' #' || p_partkey END END AS pattern FROM part"""
+
+
+def _aliases(p):
+    key, regex = F.col("p_partkey"), F.col("p_partkey") % 4 == 1
+    literal = F.concat(F.upper("p_name"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(" #"), key)))
+    return p.select(key.alias("alias_id"), F.col("p_brand").alias("artifact"), regex.alias("is_regex"),
+                    F.when(regex, F.concat(F.lit(" #0*"), key, F.lit(r"[0-9]?\.zip$"))).otherwise(literal).alias("pattern"))
 
 
 @query("alias_match", f"""WITH a AS ({_ALIASES}), n AS (SELECT p_partkey AS id, 'x ' || p_name || ' #' || (p_partkey + p_size) || '.zip' AS name FROM part),
-h AS (SELECT n.id, a.alias_id, a.artifact FROM n JOIN a ON contains(lower(n.name), lower(a.pattern)) UNION ALL SELECT id, -1, 'rule' FROM n WHERE regexp_matches(name, '#[0-9]*77\\.zip$'))
+h AS (SELECT n.id, a.alias_id, a.artifact FROM n JOIN a ON NOT is_regex AND contains(lower(n.name), lower(a.pattern))
+UNION ALL SELECT n.id, a.alias_id, a.artifact FROM n JOIN a ON is_regex AND regexp_matches(n.name, a.pattern) UNION ALL SELECT id, -1, 'rule' FROM n WHERE regexp_matches(name, '#[0-9]*77\\.zip$'))
 SELECT id, alias_id, artifact FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY alias_id) = 1""")
 def alias_match(spark, sf):
     p, key = spread(spark, sf, "part", "p_partkey"), F.col("p_partkey")
-    aliases = p.where(F.col("p_size") > 20).select(
-        key.alias("alias_id"), F.col("p_brand").alias("artifact"), F.concat(F.upper("p_name"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(" #"), key))).alias("pattern"))
     names = p.select(key.alias("id"), F.concat(F.lit("x "), "p_name", F.lit(" #"), (key + F.col("p_size")).cast("string"), F.lit(".zip")).alias("name"))
-    return identity.alias_match(names, aliases, ((-1, r"#[0-9]*77\.zip$", "rule"),))
+    return identity.alias_match(names, _aliases(p), ((-1, r"#[0-9]*77\.zip$", "rule"),))
 
 
 _ASK = "CASE c_custkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, '#', '-') WHEN 2 THEN substr(c_name, 10) WHEN 3 THEN 'omer#0000' ELSE 'nobody' || c_custkey END"
@@ -144,11 +151,13 @@ def _meaningless_sql(c: str) -> str:
 
 
 @query("identify_names", f"""WITH s AS (SELECT *, regexp_replace(file_name, '\\.zip$', '') AS stem FROM ({_IDENTITY_SOURCE})),
-c AS ({_clean_sql('SELECT id, stem AS raw FROM s')}), k AS (SELECT lower(c_name) AS k, min(c_name) AS known FROM customer GROUP BY 1),
-j AS (SELECT s.*, c.s AS clean, k1.known AS k1, k2.known AS k2, CASE WHEN contains(lower(file_name), 'rare77') THEN 'Brand#77' END AS al,
+c AS ({_clean_sql('SELECT id, stem AS raw FROM s')}),
+pa AS (SELECT p_partkey AS alias_id, 'Brand#' || p_partkey AS artifact, p_partkey % 2 = 0 AS is_regex, CASE WHEN p_partkey % 2 = 0 THEN '^has-rare' || p_partkey || '-' ELSE 'rare' || p_partkey || '-' END AS pattern FROM part),
+al AS (SELECT s.id, arg_min(artifact, alias_id) AS artifact FROM s JOIN pa ON contains(s.file_name, '-rare') AND CASE WHEN is_regex THEN regexp_matches(s.file_name, pattern) ELSE contains(lower(s.file_name), pattern) END GROUP BY s.id), k AS (SELECT lower(c_name) AS k, min(c_name) AS known FROM customer GROUP BY 1),
+j AS (SELECT s.*, c.s AS clean, k1.known AS k1, k2.known AS k2, al.artifact AS al,
   CASE WHEN regexp_matches(file_name, 'rule_([0-9]+)') THEN 'ruled-' || regexp_extract(file_name, 'rule_([0-9]+)', 1) END AS ru,
   coalesce(CASE WHEN json_valid(sidecar) THEN sidecar->>'$.Configuration.FunctionName' END, CASE WHEN json_valid(sidecar) THEN sidecar->>'$.FunctionName' END) AS si
-  FROM s JOIN c ON c.id = s.id LEFT JOIN k k1 ON k1.k = lower(c.s) LEFT JOIN k k2 ON k2.k = lower(s.stem)),
+  FROM s JOIN c ON c.id = s.id LEFT JOIN al ON al.id = s.id LEFT JOIN k k1 ON k1.k = lower(c.s) LEFT JOIN k k2 ON k2.k = lower(s.stem)),
 d AS (SELECT *, coalesce(nullif(clean, ''), nullif(stem, ''), 'unknown') AS last FROM j),
 r AS (SELECT id, file_name, coalesce(override, al, ru, si, k1, k2, CASE WHEN clean <> '' AND NOT {_meaningless_sql('clean')} THEN clean END,
     CASE WHEN NOT regexp_matches(top_entry, '\\.(py|js|json|mjs|cjs)$') AND NOT {_meaningless_sql('top_entry')} THEN top_entry END, CASE WHEN {_meaningless_sql('last')} THEN 'unknown-' || substr({_slug_sql('stem')}, 1, 8) ELSE last END) AS name,
@@ -160,8 +169,10 @@ def identify_names(spark, sf):
         F.col("o_orderkey").alias("id"), F.expr(_FILE.replace("CAST(o_custkey AS VARCHAR)", "CAST(o_custkey AS STRING)")).alias("file_name"),
         F.expr(_OVERRIDE).alias("override"), F.expr(_SIDECAR).alias("sidecar"), F.expr(_TOP).alias("top_entry"))
     known = table(spark, sf, "customer").select(F.col("c_name").alias("artifact"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("slug"))
-    aliases = table(spark, sf, "part").where(F.col("p_partkey") == 77).select(
-        F.col("p_partkey").alias("alias_id"), F.lit("Brand#77").alias("artifact"), F.concat(F.lit("rare"), "p_partkey").alias("pattern"))
+    part, regex = F.col("p_partkey"), F.col("p_partkey") % 2 == 0
+    aliases = table(spark, sf, "part").select(
+        part.alias("alias_id"), F.concat(F.lit("Brand#"), part).alias("artifact"), regex.alias("is_regex"),
+        F.concat(F.when(regex, "^has-rare").otherwise("rare"), part, F.lit("-")).alias("pattern"))
     return identity.identify(arrivals, known, aliases, (("rule_([0-9]+)", "ruled-$1"),))
 
 

@@ -98,7 +98,7 @@ SELECT page_id, name, suffix, CASE WHEN starts_with(name, '.') OR starts_with(na
     ELSE 'other' END AS verdict
 FROM (SELECT page_id, name, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS suffix
   FROM (SELECT page_id, (CASE page_id % 7 WHEN 0 THEN '.' WHEN 1 THEN '~$' ELSE '' END)
-    || regexp_extract(url, '^https?://([^/]+)', 1)
+    || replace(url, '/', '_')
     || (CASE page_id % 5 WHEN 0 THEN '.zip' WHEN 1 THEN '.ZIP' WHEN 2 THEN '.zip.crdownload' WHEN 3 THEN '.tar' ELSE '.pdf' END) AS name
     FROM pages))""")
 def candidate_filter(spark, sf):
@@ -108,23 +108,29 @@ def candidate_filter(spark, sf):
     prefix = F.when(key % 7 == 0, ".").when(key % 7 == 1, "~$").otherwise("")
     ending = F.when(key % 5 == 0, ".zip").when(key % 5 == 1, ".ZIP").when(key % 5 == 2, ".zip.crdownload").when(key % 5 == 3, ".tar").otherwise(".pdf")
     pages = table(spark, sf, "pages").select(
-        "page_id", F.concat(prefix, F.regexp_extract("url", "^https?://([^/]+)", 1), ending).alias("name"))
+        "page_id", F.concat(prefix, F.replace("url", F.lit("/"), F.lit("_")), ending).alias("name"))
     return pages.select("page_id", "name", paths.extension(F.col("name")).alias("suffix"),
                         candidate_verdict(F.col("name"), ArrivalOptions()).alias("verdict"))
 
 
 @query("text_sniff", """
-SELECT page_id, page_id % 4 IN (0, 1) OR (page_id % 4 = 3 AND page_id % 8 = 3) AS is_text
-FROM pages""")
+WITH h AS (SELECT page_id, page_id % 5 AS k, html, hex(encode(html)) AS u FROM pages),
+b AS (SELECT page_id, CASE k WHEN 0 THEN u WHEN 1 THEN '' WHEN 2 THEN substr(u, 1, 20) || '00' || substr(u, 21)
+  WHEN 3 THEN array_to_string(list_transform(range(1, length(html) + 1), lambda i: CASE WHEN unicode(html[i]) < 256 THEN lpad(hex(unicode(html[i])), 2, '0') ELSE '3F' END), '')
+  ELSE upper(sha256(html)) || u END AS bytes FROM h),
+p AS (SELECT *, list_transform(range(0, length(bytes) // 2), lambda i: bytes[2 * i + 1:2 * i + 2]) AS pairs FROM b)
+SELECT page_id, CASE WHEN bytes = '' THEN true WHEN list_contains(pairs, '00') THEN false WHEN TRY(decode(unhex(bytes))) IS NOT NULL THEN true
+  ELSE len(list_filter(pairs, lambda x: x IN ('09', '0A', '0D') OR (x >= '20' AND x <= '7E'))) / len(pairs)::DOUBLE > 0.85 END AS is_text
+FROM p""")
 def text_sniff(spark, sf):
-    """HTML as UTF-8, empty, with a NUL, and as Latin-1-like bytes that are not UTF-8."""
+    """Whole pages as UTF-8, emptied, with a NUL, as Latin-1, and behind the bytes of a digest."""
     key = F.col("page_id")
     raw = F.encode("html", "UTF-8")
+    latin = F.encode(F.regexp_replace("html", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
     payload = (
-        F.when(key % 4 == 0, raw).when(key % 4 == 1, F.encode(F.lit(""), "UTF-8"))
-        .when(key % 4 == 2, F.concat(F.substring(raw, 1, 10), F.unhex(F.lit("00")), raw))
-        .when(key % 8 == 3, F.concat(F.encode(F.lit("plain text with one odd byte "), "UTF-8"), F.unhex(F.lit("E9")), F.encode(F.lit(" and more text"), "UTF-8")))
-        .otherwise(F.concat(F.unhex(F.lit("FFFEFDFCFBFAF9")), F.encode(F.lit("abc"), "UTF-8")))
+        F.when(key % 5 == 0, raw).when(key % 5 == 1, F.encode(F.lit(""), "UTF-8"))
+        .when(key % 5 == 2, F.concat(F.substring(raw, 1, 10), F.unhex(F.lit("00")), F.substring(raw, F.lit(11), F.octet_length(raw))))
+        .when(key % 5 == 3, latin).otherwise(F.concat(F.unhex(F.sha2("html", 256)), raw))
     )
     return table(spark, sf, "pages").select("page_id", text.is_probably_text(payload).alias("is_text"))
 
@@ -165,12 +171,12 @@ def _slug_sql(c: str) -> str:
 
 
 _SLUG_CHECK = """
-SELECT kind, id, raw, substr(CASE WHEN regexp_full_match(upper(string_split(slug, '.')[1]), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]')
-  THEN '_' || slug ELSE slug END, 1, 120) AS slug
+SELECT kind, id, raw, CASE WHEN regexp_full_match(upper(string_split(slug, '.')[1]), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]')
+  THEN '_' || slug ELSE slug END AS slug
 FROM (SELECT kind, id, raw, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS slug FROM (
   SELECT *, """ + _slug_sql("raw") + """ AS s FROM (
     SELECT 'part' AS kind, p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN 'con.' || p_name WHEN p_partkey % 50 = 1 THEN '***' ELSE p_name || ' (' || p_brand || ')' END AS raw FROM part
-    UNION ALL SELECT 'document', doc_id, substr(text, 1, 150) FROM documents)))"""
+    UNION ALL SELECT 'document', doc_id, text FROM documents)))"""
 
 
 @query("slugify_names", _SLUG_CHECK)
@@ -180,7 +186,7 @@ def slugify_names(spark, sf):
         F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")))
     parts = table(spark, sf, "part").select(F.lit("part").alias("kind"), key.alias("id"), raw.alias("raw"))
     docs = table(spark, sf, "documents").select(
-        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.substring("text", 1, 150).alias("raw"))
+        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("raw"))
     return parts.unionByName(docs).withColumn("slug", paths.slugify(F.col("raw")))
 
 

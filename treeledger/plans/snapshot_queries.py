@@ -79,13 +79,14 @@ def group_quota_policy(spark, sf):
 
 
 @query("strip_common_root", f"""
-WITH f AS (SELECT * FROM ({FILES}) WHERE starts_with(path, 'src/') OR artifact < 'src2'),
+WITH f AS (SELECT * REPLACE (CASE WHEN artifact < 'src2' THEN path ELSE 'pkg-' || artifact || '/' || path END AS path) FROM ({FILES})),
 r AS (SELECT artifact, seq, min(string_split(path, '/')[1]) AS wrapper FROM f GROUP BY ALL
       HAVING count(DISTINCT string_split(path, '/')[1]) = 1 AND min(length(path) - length(replace(path, '/', ''))) > 0)
 SELECT f.artifact, f.seq, CASE WHEN wrapper IS NOT NULL THEN substr(path, length(wrapper) + 2) ELSE path END AS path, wrapper
 FROM f LEFT JOIN r ON f.artifact = r.artifact AND f.seq = r.seq""")
 def strip_common_root(spark, sf):
-    files = adapters.snapshot_files(spark, sf).where(F.col("path").startswith("src/") | (F.col("artifact") < "src2"))
+    wrapped = F.concat(F.lit("pkg-"), "artifact", F.lit("/"), "path")
+    files = adapters.snapshot_files(spark, sf).withColumn("path", F.when(F.col("artifact") < "src2", F.col("path")).otherwise(wrapped))
     return archives.strip_common_root(files).select("artifact", "seq", "path", "wrapper")
 
 

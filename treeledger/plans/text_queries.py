@@ -95,7 +95,7 @@ c AS (SELECT artifact, seq, path, symbol, pos, replace(regexp_replace(path, '\\.
   base + CASE WHEN lang = 'java' THEN 20 ELSE CASE WHEN (lang = 'python' AND symbol IN ('lambda_handler', 'handler')) OR (lang <> 'python' AND symbol = 'handler') THEN 30 ELSE 0 END - CASE WHEN lang = 'python' AND starts_with(symbol, '_') THEN 15 ELSE 0 END END AS score FROM e),
 u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY artifact, seq, handler ORDER BY score DESC, length(path) - length(replace(path, '/', '')), length(path), path, pos) = 1)
 SELECT artifact, seq, row_number() OVER (PARTITION BY artifact, seq ORDER BY score DESC, length(path) - length(replace(path, '/', '')), length(path), path, pos) AS rank, path, symbol, handler, CAST(score AS BIGINT) AS score
-FROM u QUALIFY rank <= 10""")
+FROM u""")
 def handler_candidates(spark, sf):
     return extract.entry_points(adapters.code_files(spark, sf))
 
@@ -112,7 +112,7 @@ h AS (SELECT artifact, seq, path, {_points_sql(extract.MARKER_FILES, 'name', 0)}
   UNION ALL SELECT artifact, seq, path, 'dotnet', 25, path, 2 FROM f WHERE ends_with(path, '.runtimeconfig.json') OR ends_with(path, '.deps.json')),
 c AS (SELECT artifact, seq, class, sum(points) AS score, min((step = 2, path, step)) AS seen FROM h GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY artifact, seq ORDER BY score DESC, seen) AS rn, coalesce(lead(score) OVER (PARTITION BY artifact, seq ORDER BY score DESC, seen), 0) AS second FROM c),
-w AS (SELECT artifact, seq, why, min((step = 2, path, step)) AS seen FROM h GROUP BY artifact, seq, why QUALIFY row_number() OVER (PARTITION BY artifact, seq ORDER BY min((step = 2, path, step))) <= 12),
+w AS (SELECT artifact, seq, why, min((step = 2, path, step)) AS seen FROM h GROUP BY artifact, seq, why),
 e AS (SELECT artifact, seq, string_agg(why, ' ' ORDER BY seen) AS evidence FROM w GROUP BY ALL)
 SELECT a.artifact, a.seq, coalesce(class, 'unknown') AS runtime, CASE WHEN score >= 30 AND score >= second * 2 THEN 'high' WHEN score >= 10 THEN 'medium' ELSE 'low' END AS confidence,
   CAST(coalesce(score, 0) AS BIGINT) AS score, CAST(coalesce(second, 0) AS BIGINT) AS runner_up, coalesce(evidence, '') AS evidence
@@ -232,7 +232,7 @@ def _redact_sql(source: str, keys: str) -> str:
   CAST(n + len(list_filter(runs, lambda e: e.r)) AS BIGINT) AS redactions FROM ({runs})"""
 
 
-@query("redact_text", _redact_sql(f"SELECT doc_id, {_WITH_RUNS} AS content FROM documents", "doc_id").replace("AS redacted,", "AS redacted,", 1))
+@query("redact_text", _redact_sql(f"SELECT doc_id, {_WITH_RUNS} AS content FROM documents", "doc_id"))
 def redact_text(spark, sf):
     return findings.redact(with_runs(spark, sf), "content").select("doc_id", "redacted", "redactions")
 

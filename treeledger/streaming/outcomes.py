@@ -8,7 +8,6 @@ counted twice, whatever executor or driver was lost.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +18,7 @@ SEEN = "archive_key string, first_seen timestamp, last_seen timestamp, times_see
 VERSIONS = "artifact {artifact}, tree_key string, seq bigint, ts timestamp, batch_id bigint"
 
 
-def file_arrivals(spark: SparkSession, folder: str, max_age: str | None = None, glob: str = "*.zip") -> DataFrame:
+def file_arrivals(spark: SparkSession, folder: str, max_age: str | None = None, glob: str = "*.[zZ][iI][pP]") -> DataFrame:
     """Files appearing in a folder, oldest first, the backlog included."""
     reader = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("latestFirst", False)
@@ -34,10 +33,10 @@ def table_arrivals(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
-    except AnalysisException:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
 
 
 def _store(df: DataFrame, path: str, batch_id: int) -> None:
