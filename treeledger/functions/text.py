@@ -61,13 +61,16 @@ def shannon_entropy(token: Column) -> Column:
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
-    """How many leading characters two texts share."""
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
-    first = F.array_position(same, False)
+    """Characters two texts share from the start, by bisection over equal prefixes."""
     shorter = F.least(F.length(a), F.length(b))
-    return F.when(shorter == 0, F.lit(0)).otherwise(
-        F.when(first == 0, shorter).otherwise(F.least(first - 1, shorter))
-    ).cast("int")
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
+        return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(mid - 1).alias("hi"))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(shorter + 1.0)).cast("int") + 1))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), shorter.alias("hi")), halve, lambda acc: acc["lo"])
 
 
 def printable_share(payload: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths, text
 from ..options import CompareOptions
+from .alignment import matched
 from .durable import durable, fetch
 from .ordered import ordered
 from .snapshot import STEP
@@ -113,26 +113,22 @@ def similar_contents(contents: DataFrame, threshold: float) -> DataFrame:
     return scores.join(old, [*STEP, "old_class"]).join(new, [*STEP, "new_class"])
 
 
-def _ordered_ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ratios = [
-            difflib.SequenceMatcher(None, list(old), list(new), autojunk=False).ratio()
-            for old, new in zip(batch["old_text"], batch["new_text"])
-        ]
-        yield batch.drop(columns=["old_text", "new_text"]).assign(ratio=ratios)
-
-
 def with_ordered_ratio(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    """Replace the bag ratio by the ordered line ratio, for pairs that passed the bag gate.
+    """Replace the bag ratio by the ordered one, 2 matched / (old + new lines), for pairs that passed the bag gate.
 
-    Classes are contents here; each row carries two bounded texts.
+    Classes are contents here; lines are matched by ``alignment.matched``.
     """
-    lines = text.lines_of(F.col("content"))
-    old = contents.where(~F.col("is_new")).select(*STEP, F.col("sha256").alias("old_class"), lines.alias("old_text"))
-    new = contents.where(F.col("is_new")).select(*STEP, F.col("sha256").alias("new_class"), lines.alias("new_text"))
-    joined = pairs.select(*STEP, "old_class", "new_class").join(old, [*STEP, "old_class"]).join(new, [*STEP, "new_class"])
-    schema = ", ".join(f"{n} {t}" for n, t in joined.dtypes if n not in ("old_text", "new_text")) + ", ratio double"
-    return joined.mapInPandas(_ordered_ratio, schema).where(F.col("ratio") >= threshold)
+    pair = [*STEP, "old_class", "new_class"]
+
+    def side(is_new: bool, name: str) -> DataFrame:
+        mine = contents.where(F.col("is_new") == is_new).select(*STEP, F.col("sha256").alias(name), F.posexplode(text.lines_of(F.col("content"))).alias("no", "item"))
+        return pairs.select(*pair).join(mine, [*STEP, name]).select(*pair, F.lit(is_new).alias("is_new"), (F.col("no") + 1).cast("long").alias("no"), "item")
+
+    items = side(False, "old_class").unionByName(side(True, "new_class"))
+    sizes = items.groupBy(*pair).agg(F.count(F.lit(1)).alias("_all"))
+    hits = matched(items, pair).groupBy(*pair).agg(F.count(F.lit(1)).alias("_hits"))
+    scored = sizes.join(hits, pair, "left").select(*pair, (2.0 * F.coalesce("_hits", F.lit(0)) / F.col("_all")).alias("ratio"))
+    return scored.where(F.col("ratio") >= threshold)
 
 
 def _assign(keys: list[str], left: str, right: str, score: str):

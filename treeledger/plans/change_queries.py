@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import similar, snapshot
+from ..operators.alignment import sql_matched
 from ..sources import adapters
 from .registry import query
 from .scalar_queries import sql_basename, sql_lines
@@ -92,6 +93,17 @@ e2 AS (SELECT artifact, new_path, old_path, ratio FROM pr WHERE same_key OR ((ar
 {greedy_sql('e2', 'g2')},
 s AS (SELECT artifact, old_path, new_path, ratio FROM g2 WHERE hit)"""
 WITH_SIMILAR = f"WITH RECURSIVE {WITH_EXACT[5:]}, {SIMILAR_SQL}"
+_PAIR = "artifact, old_path, new_path"
+ORDERED_SQL = SIMILAR_SQL.replace("sc AS (", "sb AS (", 1).replace("pr AS (", f"""
+sx AS (SELECT * FROM sb WHERE base >= 0.55 - 1e-9),
+it AS (SELECT {_PAIR}, is_new, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS item FROM (
+    SELECT {_PAIR}, false AS is_new, {sql_lines('content')} AS l FROM sx JOIN files f ON f.artifact = sx.artifact AND f.seq = 1 AND f.path = old_path
+    UNION ALL SELECT {_PAIR}, true, {sql_lines('content')} FROM sx JOIN files f ON f.artifact = sx.artifact AND f.seq = 2 AND f.path = new_path)),
+{sql_matched('it', _PAIR)},
+sc AS (SELECT sx.artifact, sx.old_path, sx.new_path, os, ns, 2.0::DOUBLE * coalesce(h, 0) / n AS base FROM sx JOIN (SELECT {_PAIR}, count(*) AS n FROM it GROUP BY ALL) z USING ({_PAIR})
+  LEFT JOIN (SELECT {_PAIR}, count(*) AS h FROM matched GROUP BY ALL) y USING ({_PAIR})),
+pr AS (""".replace("SELECT artifact, old_path, new_path, false", "SELECT sx.artifact, old_path, new_path, false").replace("SELECT artifact, old_path, new_path, true", "SELECT sx.artifact, old_path, new_path, true"), 1)
+WITH_ORDERED = f"WITH RECURSIVE {WITH_EXACT[5:]}, {ORDERED_SQL}"
 
 
 def leftovers(spark, sf):
@@ -105,9 +117,9 @@ def similar_renames(spark, sf):
     return found.select("artifact", "old_path", "new_path", "ratio")
 
 
-@query("similar_renames_ordered")
+@query("similar_renames_ordered", f"{WITH_ORDERED} SELECT artifact, old_path, new_path, round(ratio, 6) AS ratio FROM s")
 def similar_renames_ordered(spark, sf):
-    """As similar_renames, scored by ordered line matching; tested against difflib."""
+    """As similar_renames, scored by ordered line matching."""
     found = similar.similar_renames(leftovers(spark, sf), adapters.snapshot_files(spark, sf), ordered_ratio=True)
     return found.select("artifact", "old_path", "new_path", F.round("ratio", 6).alias("ratio"))
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, facts, findings, lines, sets, similar
 from ..operators import dependencies as dependency_ops
+from ..operators.alignment import sql_script
 from ..sources import adapters
 from .change_queries import LINES_SQL, PAIR_LINES_SQL, modified_sides
 from .registry import query
-from .scalar_queries import sql_basename, sql_dirname, sql_extension, sql_language, sql_lines, sql_shared_prefix, sql_text, sql_vendored, sql_whitespace_key
+from .scalar_queries import sql_basename, sql_dirname, sql_extension, sql_language, sql_line_count, sql_lines, sql_shared_prefix, sql_text, sql_vendored, sql_whitespace_key
 
 table, spread = adapters.table, adapters.spread_table
 FILES, CODE, TURNS = adapters.SNAPSHOT_FILES_SQL, adapters.CODE_FILES_SQL, adapters.TURNS_SQL
@@ -250,23 +251,60 @@ def whitespace_only_changes(spark, sf):
     return pairs.where(lines.is_whitespace_only(F.col("old_content"), F.col("new_content"))).select("artifact", "path")
 
 
-@query("line_ops")
+KEYS = "artifact, path"
+EDITED_SQL = f"""files AS ({FILES}), ed AS (SELECT o.artifact, o.path, o.content AS oc, n.content AS nc,
+  o.content <> '' AND n.content <> '' AND {sql_whitespace_key('o.content')} = {sql_whitespace_key('n.content')} AS ws,
+  greatest(length(replace(o.content, chr(10), '')) / nullif({sql_line_count('o.content')}, 0), length(replace(n.content, chr(10), '')) / nullif({sql_line_count('n.content')}, 0)) > 400 AS wide
+  FROM files o JOIN files n ON o.artifact = n.artifact AND o.path = n.path AND o.seq = 1 AND n.seq = 2 WHERE o.content <> n.content)"""
+SCRIPT_SQL = f"""{EDITED_SQL}, it AS (SELECT {KEYS}, is_new, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS item FROM (
+    SELECT {KEYS}, false AS is_new, {sql_lines('oc')} AS l FROM ed WHERE NOT ws AND NOT coalesce(wide, false) UNION ALL SELECT {KEYS}, true, {sql_lines('nc')} FROM ed WHERE NOT ws AND NOT coalesce(wide, false))),
+{sql_script('it', KEYS)}"""
+_TOKENS = "regexp_extract_all({}, '([\\p{{L}}\\p{{N}}_]+|\\s+|.)', 1)"
+
+
+def edited_texts(spark, sf):
+    return lines.paired_texts(modified_sides(spark, sf), ["artifact", "path"])
+
+
+@query("line_ops", f"""WITH {SCRIPT_SQL},
+pl AS (SELECT *, CASE WHEN op = 'add' THEN coalesce(max(CASE WHEN op = 'del' THEN old_no END) OVER (PARTITION BY {KEYS}, gap), gap) ELSE old_no END AS a, CASE WHEN op = 'add' THEN new_no ELSE 0 END AS b FROM script),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY a, b) AS r FROM pl),
+nr AS (SELECT *, max(CASE WHEN op <> 'keep' THEN r END) OVER (PARTITION BY {KEYS} ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up,
+  min(CASE WHEN op <> 'keep' THEN r END) OVER (PARTITION BY {KEYS} ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS down FROM rk),
+sh AS (SELECT *, CASE WHEN r - coalesce(lag(r) OVER (PARTITION BY {KEYS} ORDER BY r), -1) > 1 THEN 1 ELSE 0 END AS fresh FROM nr WHERE coalesce(r - up <= 3, false) OR coalesce(down - r <= 3, false))
+SELECT {KEYS}, CAST(sum(fresh) OVER (PARTITION BY {KEYS} ORDER BY r) AS INTEGER) AS hunk, op, old_no, new_no, item AS line FROM sh""")
 def line_ops(spark, sf):
-    """Ordered line operations of every edited file; tested against difflib."""
-    return lines.line_ops(lines.paired_texts(modified_sides(spark, sf), ["artifact", "path"]), ["artifact", "path"])
+    """Ordered line operations of every edited file, three lines around each change."""
+    return lines.line_ops(edited_texts(spark, sf), ["artifact", "path"])
 
 
-@query("pair_lines")
-def pair_lines(spark, sf):
-    """Rewritten lines paired inside each run of changes."""
-    ops = lines.line_ops(lines.paired_texts(modified_sides(spark, sf), ["artifact", "path"]), ["artifact", "path"])
-    return lines.pair_lines(ops, ["artifact", "path"])
+_WORDS_A, _WORDS_B = (f"list_distinct({_TOKENS.format(c)})" for c in ("d.item", "a.item"))
 
 
-@query("long_line_edits")
+@query("pair_lines", f"""WITH {SCRIPT_SQL},
+sd AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, gap, op ORDER BY coalesce(old_no, new_no)) AS n FROM script WHERE op <> 'keep'),
+bo AS (SELECT d.artifact, d.path, d.old_no, a.new_no, d.item AS before, a.item AS after, CASE WHEN len({_WORDS_A}) + len({_WORDS_B}) = 0 THEN 1.0::DOUBLE
+  ELSE round(2.0::DOUBLE * len(list_intersect({_WORDS_A}, {_WORDS_B})) / (len({_WORDS_A}) + len({_WORDS_B})), 6) END AS ratio
+  FROM sd d JOIN sd a ON a.artifact = d.artifact AND a.path = d.path AND a.gap = d.gap AND a.n = d.n AND d.op = 'del' AND a.op = 'add')
+SELECT {KEYS}, old_no, new_no, ratio, before, after FROM bo WHERE ratio >= 0.5""")
+def pair_lines(spark, sf):
+    """Rewritten lines of every edited file, paired inside each gap of kept lines."""
+    return lines.pair_lines(lines.line_script(edited_texts(spark, sf), ["artifact", "path"]), ["artifact", "path"])
+
+
+@query("long_line_edits", f"""WITH {EDITED_SQL}, wd AS (SELECT *, {sql_shared_prefix('oc', 'nc')} AS head FROM ed WHERE wide),
+wt AS (SELECT *, least({sql_shared_prefix('reverse(oc)', 'reverse(nc)')}, least(length(oc), length(nc)) - head) AS tail FROM wd),
+mi AS (SELECT {KEYS}, nc, head, substr(oc, head + 1, length(oc) - head - tail) AS was, substr(nc, head + 1, length(nc) - head - tail) AS now FROM wt),
+it AS (SELECT {KEYS}, is_new, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS item FROM (SELECT {KEYS}, false AS is_new, {_TOKENS.format('was')} AS l FROM mi UNION ALL SELECT {KEYS}, true, {_TOKENS.format('now')} FROM mi)),
+{sql_script('it', KEYS)},
+po AS (SELECT *, CAST(coalesce(sum(length(item)) OVER (PARTITION BY {KEYS} ORDER BY new_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM script WHERE new_no IS NOT NULL),
+ga AS (SELECT {KEYS}, gap, coalesce(string_agg(item, '' ORDER BY old_no) FILTER (op = 'del'), '') AS before, coalesce(string_agg(item, '' ORDER BY new_no) FILTER (op = 'add'), '') AS after FROM script WHERE op <> 'keep' GROUP BY ALL),
+ad AS (SELECT {KEYS}, gap, min(start) AS s FROM po WHERE op = 'add' GROUP BY ALL), ke AS (SELECT {KEYS}, old_no AS gap, start + length(item) AS s FROM po WHERE op = 'keep'),
+el AS (SELECT {KEYS}, CAST(head + coalesce(ad.s, ke.s, 0) AS BIGINT) AS spot, before, after, nc FROM ga LEFT JOIN ad USING ({KEYS}, gap) LEFT JOIN ke USING ({KEYS}, gap) JOIN mi USING ({KEYS}))
+SELECT {KEYS}, spot AS at, before, after, substr(nc, greatest(spot - 24, 0) + 1, spot - greatest(spot - 24, 0)) AS lead, substr(nc, spot + length(after) + 1, 24) AS trail FROM el""")
 def long_line_edits(spark, sf):
-    """Separate word edits inside the changed span of every edited file."""
-    pairs = lines.paired_texts(modified_sides(spark, sf), ["artifact", "path"])
+    """Separate word edits of every edited file with long lines."""
+    pairs = edited_texts(spark, sf).where(lines.is_wide(F.col("old_content"), F.col("new_content")))
     return lines.long_line_edits(pairs, ["artifact", "path"])
 
 
@@ -299,7 +337,7 @@ def changed_span(spark, sf):
 
 @query("span_excerpt", f"""WITH {SPAN_SQL} SELECT artifact, old_seq, new_seq, reason, CASE WHEN reason IS NULL THEN head END AS at, CASE WHEN reason IS NULL THEN was END AS before, CASE WHEN reason IS NULL THEN now END AS after,
 CASE WHEN reason IS NULL THEN substr(new_content, greatest(head - 24, 0) + 1, head - greatest(head - 24, 0)) END AS lead, CASE WHEN reason IS NULL THEN substr(new_content, head + length(now) + 1, 24) END AS trail
-FROM (SELECT *, CASE WHEN old_content = new_content THEN 'no textual change' WHEN greatest(length(was), length(now)) > 4000 THEN 'changes span ' || format('{{:,}}', greatest(length(was), length(now))) || ' characters' END AS reason FROM sr)""")
+FROM (SELECT *, CASE WHEN old_content = new_content THEN 'no textual change' END AS reason FROM sr)""")
 def span_excerpt(spark, sf):
     return lines.span_excerpt(steps(spark, sf)).drop("old_content", "new_content")
 

@@ -29,7 +29,8 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a file tree per document source.
 
     The second version drops and adds files, moves some, appends a line to some,
-    doubles the spaces of some and marks some executable.
+    doubles the spaces of some, edits the middle of some and marks some executable. Two
+    files are large: an edited one over 2 MB, and one over 512 KB that is moved and edited.
     """
     docs = spread_table(spark, sf_dir, "documents", "doc_id")
     d, seq = F.col("doc_id"), F.col("seq")
@@ -39,10 +40,14 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((seq == 2) & (d % 17 == 0), F.lit("moved/")).otherwise(F.lit("")),
         F.lit("d"), (d % 4).cast("string"), F.lit("/"), d.cast("string"), F.lit(".txt"),
     )
+    size = F.when(d == 70, 2_200_000).when(d == 85, 600_000)
+    whole = F.when(size.isNotNull(), F.repeat(F.concat("text", F.lit("\n")), (F.lit(1) + F.floor(size / (F.length("text") + 1))).cast("int"))).otherwise(F.col("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
     content = (
-        F.when(seq == 1, F.col("text"))
-        .when(d % 5 == 0, F.concat(F.col("text"), F.lit("\nTAIL = "), d.cast("string")))
+        F.when(seq == 1, whole)
+        .when(d % 5 == 0, F.concat(whole, F.lit("\nTAIL = "), d.cast("string")))
         .when(d % 19 == 0, F.replace(F.col("text"), F.lit(" "), F.lit("  ")))
+        .when(d % 7 == 3, F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit(" edited "), F.substring(F.col("text"), half + 1, F.length("text"))))
         .otherwise(F.col("text"))
     )
     return (
@@ -60,13 +65,15 @@ SELECT source AS artifact, CAST(seq AS INTEGER) AS seq,
   (CASE WHEN lang = 'en' THEN 'src/' ELSE 'vendor/' || lang || '/' END)
   || (CASE WHEN seq = 2 AND doc_id % 17 = 0 THEN 'moved/' ELSE '' END)
   || 'd' || (doc_id % 4) || '/' || doc_id || '.txt' AS path,
-  CASE WHEN seq = 1 THEN text
-       WHEN doc_id % 5 = 0 THEN text || chr(10) || 'TAIL = ' || doc_id
+  CASE WHEN seq = 1 THEN whole
+       WHEN doc_id % 5 = 0 THEN whole || chr(10) || 'TAIL = ' || doc_id
        WHEN doc_id % 19 = 0 THEN replace(text, ' ', '  ')
+       WHEN doc_id % 7 = 3 THEN left(text, length(text) // 2) || ' edited ' || substr(text, length(text) // 2 + 1)
        ELSE text END AS content,
   CAST(CASE WHEN seq = 2 AND doc_id % 29 = 0 THEN 493 ELSE 420 END AS INTEGER) AS mode,
   doc_id
-FROM documents, (VALUES (1), (2)) AS s(seq)
+FROM (SELECT *, CASE doc_id WHEN 70 THEN repeat(text || chr(10), CAST(1 + 2200000 // (length(text) + 1) AS BIGINT))
+  WHEN 85 THEN repeat(text || chr(10), CAST(1 + 600000 // (length(text) + 1) AS BIGINT)) ELSE text END AS whole FROM documents), (VALUES (1), (2)) AS s(seq)
 WHERE (seq = 1 AND doc_id % 11 <> 0) OR (seq = 2 AND doc_id % 13 <> 0)
 """
 
