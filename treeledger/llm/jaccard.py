@@ -6,16 +6,22 @@ of these into three parts of second level, of which two are then equal: one sign
 every two of the three. Similar sets share a signature; a set that may reach into the next
 band also signs there.
 
-1. Documents become (size, set digest, signatures, parity sketch); equal sets become one class.
-2. Chunks send their distinct signatures to buckets, which answer those that occur twice.
-   Only shared signatures become rows.
-3. Each shared signature pairs its members with its least member; pairs are checked exactly.
-4. Signatures that still join several components get all their pairs across components
-   tested by the sketches, in blocks of bounded size, and the survivors are checked exactly.
-   A group of near copies is one component by then, so its pairs are never written out.
-
-The sketch keeps the parity of the elements in each of its bits: its differing bits are
-never more than the differing elements, so it only rejects pairs that cannot link.
+1. Documents become (size, set digest, sketch); equal sets become one class, and only its
+   least document takes part further.
+2. Chunks send their distinct signatures to buckets, which answer those that occur twice,
+   with the count of frequent ones.
+3. Documents that share a signature meet in a bucket, those of a frequent signature in tiles
+   of bounded size. Sizes and folded sketches leave candidate pairs, of which a bucket returns
+   a forest: documents that may link end up in one candidate group.
+4. Groups are cut into tiles of bounded size and compared by whole sketches. A spanning forest of the
+   closest pairs is checked exactly on the sets, and then every pair the sketches allow whose ends
+   are not yet connected. So all links between components are found, and the pairs inside
+   a component of near copies are never written out.
+
+A sketch keeps the parity of the elements in each of its bits, two bits or more for an element. Its
+differing bits are never more than the differing elements, so it only rejects pairs that
+cannot link. Signatures travel in five bytes and sets in six-byte hashes: chance equality of
+signatures costs a comparison, of element hashes (2 ** -48 a pair) an element.
 
 Null and wordless texts have empty sets and no links; a null doc_id never is a component's
 id; rows that share a doc_id count as one document; an empty table gives no rows; extra
@@ -35,6 +41,7 @@ from pyspark.sql import functions as F
 
 from treeledger.llm.bytesets import LOWER, MULTIPLIER, WEIGHTS, binary_parts, by_bucket, joined, mixed, packed
 from treeledger.llm.components import components
+from treeledger.llm.neardup import forest
 from treeledger.llm.registry import query
 from treeledger.operators.durable import durable, fetch
 from treeledger.sources.adapters import table
@@ -44,11 +51,16 @@ CHUNK_ROWS = 4096
 LEAST_CHUNKS = 64
 BLOCK = 1024
 PIECE = 1 << 18
-SKETCH_WORDS = 8
+FOLD_WORDS = 8
+AT_ONCE = 1 << 22
 BAND_GROWTH = 1.3
 SECOND, MISSED = 3, 1
 
-DESCRIBED = "doc long, n long, a long, b long, signs binary, sketch binary"
+DESCRIBED = "doc long, n long, a long, b long, sketch binary"
+SIGNED = "chunk int, doc long, a long, n long, fold binary, signs binary"
+SENT = "bucket int, chunk int, once binary, many binary, counts binary"
+ANSWERS = "chunk int, names binary, frequent binary, totals binary"
+MEETING = "bucket int, keys binary, places binary, docs binary, sizes binary, folds binary"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SALTS = mixed(np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
@@ -131,104 +143,272 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_sketch(elements: np.ndarray) -> np.ndarray:
-    bits = np.bincount((elements >> np.uint64(7)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(bool)).view(np.uint64)
+    """Parity of the elements by hash, in the power of two of bits next above two for each."""
+    bits = max(64 * FOLD_WORDS, 1 << int(2 * len(elements) - 1).bit_length())
+    parity = np.bincount(((elements >> np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(bool)).view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch with fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def five_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def from_five_bytes(parts: list[bytes]) -> np.ndarray:
+    raw = joined(parts, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view(np.uint64).ravel()
 
 
 def described(batches, rule: Rule):
     """Phase 1: one row per document."""
+    for doc, elements in document_sets(batches, rule.words):
+        n = len(elements)
+        digest = np.array([mixed(elements).sum(), (mixed(elements ^ SALTS[0]) * SALTS[1]).sum()], np.uint64).view(np.int64).tolist() if n else [0, 0]
+        yield doc, n, *digest, parity_sketch(elements).tobytes() if n else b""
+
+
+def signed(batches, rule: Rule, chunks: int):
+    """Phase 2: signatures of one document per row."""
+    low = np.uint64((1 << 40) - 1)
+    for doc, elements in document_sets(batches, rule.words):
+        if len(elements):
+            a = int(mixed(elements).sum().view(np.int64))
+            fold = folded(parity_sketch(elements), FOLD_WORDS).tobytes()
+            chunk = int(mixed(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(chunks))
+            yield chunk, doc, a, len(elements), fold, five_bytes(np.unique(signatures(elements, rule.percent) & low))
+
+
+def document_sets(batches, words: int):
+    """(doc, set) of every document."""
     import pyarrow as pa
 
     for batch in batches:
         group = pa.Table.from_batches([batch])
         data, offsets = binary_parts(group, "text")
-        out = []
         for r, doc in enumerate(group.column("doc").to_pylist()):
-            elements = shingle_set(data[offsets[r]:offsets[r + 1]], rule.words)
-            n = len(elements)
-            digest = np.array([mixed(elements).sum(), (mixed(elements ^ SALTS[0]) * SALTS[1]).sum()], np.uint64).view(np.int64).tolist() if n else [0, 0]
-            out.append((doc, n, *digest, signatures(elements, rule.percent).tobytes(), parity_sketch(elements).tobytes() if n else b""))
-        if out:
-            yield from packed(out, DESCRIBED).to_batches()
+            yield doc, shingle_set(data[offsets[r]:offsets[r + 1]], words)
 
 
-def sent_signs(group, buckets: int):
-    """Phase 2, chunk side: the chunk's distinct signatures by bucket, apart for those it has once and more often."""
-    signs, counts = np.unique(joined(group.column("signs").to_pylist(), np.uint64), return_counts=True)
-    order, cuts = by_bucket((mixed(signs) % np.uint64(buckets)).astype(np.int64), buckets)
-    signs, many = signs[order], counts[order] > 1
-    chunk = group.column("chunk")[0].as_py()
-    return packed([(b, chunk, signs[i:j][~many[i:j]].tobytes(), signs[i:j][many[i:j]].tobytes()) for b, i, j in cuts], "bucket int, chunk int, once binary, many binary")
+def batched(rows, schema: str, at_once: int = 2000):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == at_once:
+            yield from packed(held, schema).to_batches()
+            held = []
+    if held:
+        yield from packed(held, schema).to_batches()
 
 
-def shared_signs(group):
-    """Phase 2, bucket side: to each chunk its signatures that occur twice."""
-    from treeledger.llm.suffixes import shared_names
+def chunk_signs(group):
+    """Of the classes' least documents in a chunk: ids, sizes, folds, all signatures and the document each is of."""
+    marks = {(d, a) for d, a, m in zip(*(group.column(c).to_pylist() for c in ("doc", "a", "mark"))) if m}
+    rows = [r for r in zip(*(group.column(c).to_pylist() for c in ("doc", "a", "n", "fold", "signs", "mark"))) if not r[5] and (r[0], r[1]) not in marks]
+    signs = from_five_bytes([r[4] for r in rows])
+    place = np.repeat(np.arange(len(rows)), [len(r[4]) // 5 for r in rows])
+    return np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), joined([r[3] for r in rows], np.uint64).reshape(-1, FOLD_WORDS), signs, place
 
-    return shared_names(group)
 
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(x) % np.uint64(buckets)).astype(np.int64)
 
-def members(group, answers):
-    """Phase 2, chunk side again: (sign, doc) rows of shared signatures."""
-    import pyarrow as pa
 
-    shared = np.sort(joined(answers.column("names").to_pylist(), np.uint64))
-    lists = group.column("signs").to_pylist()
-    signs = joined(lists, np.uint64)
-    docs = np.repeat(group.column("doc").to_numpy(), [len(x) // 8 for x in lists])
-    keep = shared[np.minimum(np.searchsorted(shared, signs), len(shared) - 1)] == signs if len(shared) else np.zeros(len(signs), bool)
-    return pa.table({"sign": signs[keep].view(np.int64), "doc": docs[keep]})
+def sent_signs(group, buckets: int):
+    """Phase 2, chunk side: the chunk's distinct signatures by bucket, with counts of those it has more often than once."""
+    *_, signs, _ = chunk_signs(group)
+    signs, counts = np.unique(signs, return_counts=True)
+    order, cuts = by_bucket(bucket_of(signs, buckets), buckets)
+    signs, counts = signs[order], counts[order].astype(np.int32)
+    chunk = group.column("chunk")[0].as_py()
+    out = []
+    for b, i, j in cuts:
+        many = counts[i:j] > 1
+        out.append((b, chunk, five_bytes(signs[i:j][~many]), five_bytes(signs[i:j][many]), counts[i:j][many].tobytes()))
+    return packed(out, SENT)
+
+
+def shared_signs(group):
+    """Phase 2, bucket side: to each chunk its signatures that occur twice, and the totals of frequent ones."""
+    once, many, counts = (group.column(c).to_pylist() for c in ("once", "many", "counts"))
+    lists = [from_five_bytes([a, b]) for a, b in zip(once, many)]
+    weight = np.concatenate([np.append(np.ones(len(a) // 5, np.int64), np.frombuffer(c, np.int32)) for a, c in zip(once, counts)])
+    kinds, place = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.bincount(place, weight, len(kinds)).astype(np.int64)[place]
+    out, end = [], 0
+    for chunk, names in zip(group.column("chunk").to_pylist(), lists):
+        mine = total[end:end + len(names)]
+        end += len(names)
+        frequent = mine > BLOCK
+        if (mine > 1).any():
+            out.append((chunk, five_bytes(names[mine > 1]), five_bytes(names[frequent]), mine[frequent].tobytes()))
+    return packed(out, ANSWERS)
+
+
+def meetings(group, answers, buckets: int):
+    """Phase 3, chunk side: (key, document) of shared signatures by bucket; a frequent signature has a key for each two of its blocks."""
+    if not answers.num_rows:
+        return packed([], MEETING)
+    docs, sizes, folds, signs, place = chunk_signs(group)
+    shared = np.sort(from_five_bytes(answers.column("names").to_pylist()))
+    keep = shared[np.minimum(np.searchsorted(shared, signs), len(shared) - 1)] == signs
+    signs, place = signs[keep], place[keep]
+    hot = from_five_bytes(answers.column("frequent").to_pylist())
+    if len(hot):
+        totals, order = joined(answers.column("totals").to_pylist(), np.int64), np.argsort(hot)
+        hot, totals = hot[order], totals[order]
+        at = np.minimum(np.searchsorted(hot, signs), len(hot) - 1)
+        is_hot = hot[at] == signs
+        more_signs, more_place = [signs[~is_hot]], [place[~is_hot]]
+        for sign, p, width in zip(signs[is_hot], place[is_hot], -(-totals[at[is_hot]] // BLOCK)):
+            block = int(mixed(docs[p:p + 1].view(np.uint64))[0] % np.uint64(width))
+            other = np.arange(width)
+            tile = (np.minimum(other, block) * width + np.maximum(other, block)).astype(np.uint64)
+            more_signs.append(mixed(sign + (tile + np.uint64(1)) * SALTS[3]))
+            more_place.append(np.full(width, p))
+        signs, place = np.concatenate(more_signs), np.concatenate(more_place)
+    out = []
+    order, cuts = by_bucket(bucket_of(signs, buckets), buckets)
+    for b, i, j in cuts:
+        mine, at = np.unique(place[order[i:j]], return_inverse=True)
+        out.append((b, signs[order[i:j]].tobytes(), at.astype(np.int32).tobytes(), docs[mine].tobytes(), sizes[mine].tobytes(), folds[mine].tobytes()))
+    return packed(out, MEETING)
 
 
-def may_link(a, b, na, nb, percent: int):
-    """Whether sizes and sketches allow the similarity (arrays)."""
-    total = na + nb
-    return (np.bitwise_count(a ^ b).sum(axis=-1) * (100 + percent) <= total * (100 - percent)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+def may_link(differing, na, nb, percent: int):
+    """Whether sizes and differing bits allow the similarity (arrays)."""
+    return (differing * (100 + percent) <= (na + nb) * (100 - percent)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
 
 
-def across(group, percent: int):
-    """Phase 4: pairs of one signature block and of different components that the sketches allow."""
+def candidate_forest(group, percent: int):
+    """Phase 3, bucket side: a forest of the pairs that share a key and may link."""
+    import pyarrow as pa
+
+    counts = [len(x) // 8 for x in group.column("docs").to_pylist()]
+    base = np.cumsum(counts) - counts
+    keys = joined(group.column("keys").to_pylist(), np.uint64)
+    lists = [np.frombuffer(x, np.int32) + b for x, b in zip(group.column("places").to_pylist(), base)]
+    place = np.concatenate(lists)
+    docs, sizes = (joined(group.column(c).to_pylist(), np.int64) for c in ("docs", "sizes"))
+    folds = joined(group.column("folds").to_pylist(), np.uint64).reshape(-1, FOLD_WORDS)
+    order = np.lexsort((docs[place], keys))
+    keys, place = keys[order], place[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(first, len(keys)))
+    two = first[size == 2]
+    left, right = [place[two]], [place[two + 1]]
+    seen = set()
+    for k, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+        mine = place[k:k + n]
+        if (name := mine.tobytes()) not in seen:
+            seen.add(name)
+            i, j = np.triu_indices(n, 1)
+            left.append(mine[i])
+            right.append(mine[j])
+            if n > 200:
+                left[-1], right[-1] = tested(left[-1], right[-1], folds, sizes, percent)
+    left, right = tested(np.concatenate(left), np.concatenate(right), folds, sizes, percent)
+    nodes, roots = forest(docs[left], docs[right])
+    apart = nodes != roots
+    return pa.table({"a": roots[apart], "b": nodes[apart]})
+
+
+def tested(left, right, folds, sizes, percent):
+    """The pairs that folded sketches and sizes allow."""
+    keep = []
+    for k in range(0, len(left), 1 << 18):
+        i, j = left[k:k + (1 << 18)], right[k:k + (1 << 18)]
+        keep.append(may_link(np.bitwise_count(folds[i] ^ folds[j]).sum(axis=1, dtype=np.int64), sizes[i], sizes[j], percent))
+    ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return left[ok], right[ok]
+
+
+def tile_distances(sketches: list[np.ndarray], sizes: np.ndarray, percent: int):
+    """Yields (rows, columns, differing bits) blocks of all pairs whose sizes allow a link; every pair in one block at least."""
+    words = np.array([len(s) for s in sketches])
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        others = np.flatnonzero((words == w) | (words == 2 * w))
+        x = np.array([sketches[k] for k in own])
+        y = np.array([folded(sketches[k], w) for k in others])
+        step = max(1, AT_ONCE // (len(others) * w))
+        for k in range(0, len(own), step):
+            yield own[k:k + step], others, np.bitwise_count(x[k:k + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+
+
+def tile_pairs(group, percent: int, every: bool):
+    """Phase 4: of each tile the spanning forest of closest pairs that may link, or every such pair across components."""
     import pyarrow as pa
 
-    keys = np.column_stack([group.column(c).to_numpy() for c in ("sign", "left_block", "right_block")])
-    doc, part, n, block = (group.column(c).to_numpy() for c in ("doc", "component", "n", "block"))
-    sketch = joined(group.column("sketch").to_pylist(), np.uint64).reshape(-1, SKETCH_WORDS)
-    order = np.lexsort(keys.T)
-    keys = keys[order]
-    edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    tiles = list(zip(*(group.column(c).to_pylist() for c in ("group", "low", "high"))))
+    docs, sizes, parts = (group.column(c).to_numpy() for c in ("doc", "n", "component"))
+    sketches = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
+    members: dict[tuple, list[int]] = {}
+    for k, tile in enumerate(tiles):
+        members.setdefault(tile, []).append(k)
     found = []
-    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
-        mine = order[lo:hi]
-        left, right = mine[block[mine] == keys[lo, 1]], mine[block[mine] == keys[lo, 2]]
-        for k in range(0, len(left), 64):
-            some = left[k:k + 64]
-            ok = may_link(sketch[some][:, None], sketch[right][None], n[some][:, None], n[right][None], percent) & (part[some][:, None] != part[right][None])
-            i, j = np.nonzero(ok)
-            x, y = doc[some[i]], doc[right[j]]
-            found.append(np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0))
+    for mine in map(np.array, members.values()):
+        rows, columns, weights = [], [], []
+        for i, j, differing in tile_distances([sketches[k] for k in mine], sizes[mine], percent):
+            a, b = mine[i], mine[j]
+            ok = may_link(differing, sizes[a][:, None], sizes[b][None], percent) & (docs[a][:, None] != docs[b][None])
+            if every:
+                ok &= parts[a][:, None] != parts[b][None]
+            p, q = np.nonzero(ok)
+            rows.append(a[p])
+            columns.append(b[q])
+            weights.append(differing[p, q])
+        a, b = np.concatenate(rows), np.concatenate(columns)
+        if not every:
+            keep = spanning(a, b, np.concatenate(weights))
+            a, b = a[keep], b[keep]
+        found.append(np.column_stack([np.minimum(docs[a], docs[b]), np.maximum(docs[a], docs[b])]))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def allowed(batches, percent: int):
-    import pyarrow as pa
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        x, y = (joined(t.column(c).to_pylist(), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("sketch", "sketch_b"))
-        ok = may_link(x, y, t.column("n").to_numpy(), t.column("n_b").to_numpy(), percent)
-        yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges of a least spanning forest: each component takes its lightest way out, until none is left."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[:len(a)], at[len(a):]
+    label, taken = np.arange(len(nodes)), []
+    order = np.lexsort((j, i, weight))  # one order of all edges, so equal weights make no cycles
+    i, j = i[order], j[order]
+    alive = np.arange(len(i))
+    while True:
+        alive = alive[label[i[alive]] != label[j[alive]]]
+        if not len(alive):
+            return order[np.unique(taken).astype(np.int64)] if taken else np.zeros(0, np.int64)
+        out = np.full(len(nodes), len(i))
+        np.minimum.at(out, label[i[alive]], alive)
+        np.minimum.at(out, label[j[alive]], alive)
+        best = np.unique(out[out < len(i)])
+        taken = [*taken, *best.tolist()]
+        while True:  # joins the labels over the edges just taken
+            low = np.minimum(label[i[best]], label[j[best]])
+            new = label.copy()
+            np.minimum.at(new, label[i[best]], low)
+            np.minimum.at(new, label[j[best]], low)
+            new = new[label]
+            if (new == label).all():
+                break
+            label = new
 
 
 def sets_of(batches, words: int):
-    import pyarrow as pa
+    for doc, elements in document_sets(batches, words):
+        yield doc, np.ascontiguousarray((elements >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    for batch in batches:
-        group = pa.Table.from_batches([batch])
-        data, offsets = binary_parts(group, "text")
-        rows = [(doc, shingle_set(data[offsets[r]:offsets[r + 1]], words).tobytes()) for r, doc in enumerate(group.column("doc").to_pylist())]
-        if rows:
-            yield from packed(rows, "doc long, elements binary").to_batches()
+
+def from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def linked(batches, percent: int):
@@ -239,57 +419,72 @@ def linked(batches, percent: int):
         t = pa.Table.from_batches([batch])
         ok = []
         for x, y in zip(t.column("elements").to_pylist(), t.column("elements_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = from_six_bytes(x), from_six_bytes(y)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
         yield from t.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
 
 
-def checked(pairs: DataFrame, docs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, stored."""
-    brief = known.select("doc", "n", "sketch").dropDuplicates(["doc", "n", "sketch"])
-    wide = pairs.join(brief.withColumnRenamed("doc", "a"), "a").join(brief.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-    likely = durable(wide.mapInArrow(lambda it: allowed(it, rule.percent), "a long, b long").distinct())
-    needed = durable(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    sets = durable(fetch(docs, needed, ["doc"]).select("doc", "text").mapInArrow(lambda it: sets_of(it, rule.words), "doc long, elements binary"))
-    both = likely.join(sets.select(F.col("doc").alias("a"), "elements"), "a").join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("elements_b")), "b")
+def checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The stored pairs (a, b) whose sets are similar enough, stored."""
+    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    sets = fetch(texts, needed, ["doc"]).select("doc", "text").mapInArrow(lambda it: batched(sets_of(it, rule.words), "doc long, elements binary", 200), "doc long, elements binary")
+    both = pairs.join(sets.select(F.col("doc").alias("a"), "elements"), "a").join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("elements_b")), "b")
     return durable(both.mapInArrow(lambda it: linked(it, rule.percent), "a long, b long").distinct())
 
 
 def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    known = durable(texts.mapInArrow(lambda it: described(it, rule), DESCRIBED))
-    classes = durable(known.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("doc")))
+    known = durable(texts.mapInArrow(lambda it: batched(described(it, rule), DESCRIBED), DESCRIBED))
+    classes = durable(known.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("least")))
     chunks = max(LEAST_CHUNKS, -(-classes.count() // CHUNK_ROWS))
-    chunk = F.pmod(F.xxhash64("doc"), F.lit(chunks)).cast("int")
-    dealt = known.select("doc", "n", "a", "b", "signs").join(classes, ["doc", "n", "a", "b"], "left_semi").select(chunk.alias("chunk"), "doc", "signs")
-    sent = dealt.groupBy("chunk").applyInArrow(lambda g: sent_signs(g, chunks), "bucket int, chunk int, once binary, many binary")
-    answers = sent.groupBy("bucket").applyInArrow(shared_signs, "chunk int, names binary")
-    entries = durable(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(members, "sign long, doc long"))
-
-    least = entries.groupBy("sign").agg(F.min("doc").alias("a"))
-    stars = durable(entries.withColumnRenamed("doc", "b").join(least, "sign").where("a <> b").select("a", "b").distinct())
-    reps = known.join(classes, ["doc", "n", "a", "b"], "left_semi").select("doc", "n", "sketch")
-    links = checked(stars, texts, reps, rule)
-    parts = components(links)
-
-    placed = entries.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = placed.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo <> hi")
+    own = texts.mapInArrow(lambda it: batched(signed(it, rule, chunks), SIGNED), SIGNED).withColumn("mark", F.lit(False))
+    copies = known.select("doc", "n", "a", "b").join(classes, ["n", "a", "b"]).where("doc > least").select("doc", "a", F.lit(True).alias("mark")).distinct()
+    copies = copies.mapInArrow(lambda it: placed_marks(it, chunks), "chunk int, doc long, a long, mark boolean")
+    dealt = own.unionByName(copies, allowMissingColumns=True)
+    sent = dealt.groupBy("chunk").applyInArrow(lambda g: sent_signs(g, chunks), SENT)
+    answers = sent.groupBy("bucket").applyInArrow(shared_signs, ANSWERS)
+    met = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda g, a: meetings(g, a, chunks), MEETING)
+    near = met.groupBy("bucket").applyInArrow(lambda g: candidate_forest(g, rule.percent), "a long, b long")
+    groups = components(near)
+
+    reps = known.select("doc", "n", "a", "b", "sketch").join(classes, ["n", "a", "b"]).where("doc = least").select("doc", "n", "sketch").distinct()
+    grouped = durable(reps.join(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), "doc"))
     width = F.ceil(F.col("many") / BLOCK).cast("int")
-    cut = placed.join(open_, "sign").join(reps, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), width).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
-    tiles = cut.withColumns({"left_block": F.least("block", "other"), "right_block": F.greatest("block", "other")})
-    bucket = F.pmod(F.xxhash64("sign", "left_block", "right_block"), F.lit(chunks)).cast("int")
-    pairs = tiles.select(bucket.alias("bucket"), "sign", "left_block", "right_block", "block", "doc", "component", "n", "sketch").groupBy("bucket").applyInArrow(lambda g: across(g, rule.percent), "a long, b long")
-    more = checked(pairs.distinct().join(stars, ["a", "b"], "left_anti"), texts, reps, rule)
-    found = components(links.unionByName(more))
-
-    owned = known.select("doc", "n", "a", "b").join(classes.withColumnRenamed("doc", "node"), ["n", "a", "b"], "left").join(found, "node", "left")
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
+    block = F.pmod(F.xxhash64("doc"), width).cast("int")
+    cut = grouped.join(sizes, "group").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
+    tiles = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    bucket = F.pmod(F.xxhash64("group", "low", "high"), F.lit(chunks)).cast("int")
+
+    def pairs(parts: DataFrame | None, every: bool) -> DataFrame:
+        rows = tiles.withColumn("component", F.col("doc"))
+        if parts is not None:
+            rows = tiles.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        rows = rows.select(bucket.alias("bucket"), "group", "low", "high", "doc", "component", "n", "sketch")
+        return rows.groupBy("bucket").applyInArrow(lambda g: tile_pairs(g, rule.percent, every), "a long, b long").distinct()
+
+    closest = durable(pairs(None, False))
+    links = checked(closest, texts, rule)
+    rest = durable(pairs(components(links), True).join(closest, ["a", "b"], "left_anti"))
+    found = components(links.unionByName(checked(rest, texts, rule)))
+
+    owned = known.select("doc", "n", "a", "b").join(classes.withColumnRenamed("least", "node"), ["n", "a", "b"], "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "doc")
     return owned.select(
         F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"))
 
 
+def placed_marks(batches, chunks: int):
+    import pyarrow as pa
+
+    for batch in batches:
+        docs = batch.column("doc").to_numpy(zero_copy_only=False)
+        chunk = (mixed(docs.view(np.uint64)) % np.uint64(chunks)).astype(np.int32)
+        yield from pa.table({"chunk": chunk, "doc": batch.column("doc"), "a": batch.column("a"), "mark": batch.column("mark")}).to_batches()
+
+
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` without those that are linked to a smaller doc_id, over any number of links."""
     gone = durable(similar_documents(docs, rule).where("doc_id <> component_id").select("doc_id").distinct())

@@ -3,6 +3,8 @@
 A byte goes when a string of ``least`` bytes over it also starts in a document with a
 smaller doc_id. The suffix order is sharded so that nothing is ever sorted as a whole:
 
+0. A text that a smaller document holds whole goes whole, found by digest; such copies take no
+   further part.
 1. Every window of ``least`` bytes is named by the least hash of the ``GRAM``-byte strings
    inside it. Equal windows have equal names, and neighbours mostly share one, so a run of
    windows with one name is handled as one string.
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 from treeledger.llm.bytesets import binary_parts, by_bucket, gram_hashes, joined, mixed, packed, sliding_min
 from treeledger.llm.columns import veiled
 from treeledger.llm.registry import query
+from treeledger.operators.durable import durable
 from treeledger.sources.adapters import table
 
 LEAST = 50
 GRAM = 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 LEAST_CHUNKS = 64
 PIECE_BYTES = 256 << 10
 NULL_ID = -(2**63)
@@ -49,7 +52,21 @@ SPANS = "chunk int, spans binary"
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def chunk_rows(group):
+    """The documents of a chunk in their fixed order, their ids, bytes and offsets, and which are copies of smaller ones."""
+    import pyarrow.compute as pc
+
+    marked = group.filter(group.column("mark__"))
+    rows = group.filter(pc.invert(group.column("mark__"))).sort_by([("order__", "ascending"), ("text", "ascending")])
+    marks = set(zip(marked.column("order__").to_pylist(), marked.column("same__").to_pylist()))
+    ids = rows.column("order__").to_numpy()
+    copies = np.zeros(len(ids), bool)
+    if marks:
+        copies[:] = [key in marks for key in zip(ids.tolist(), rows.column("same__").to_pylist())]
+    return rows, ids, *binary_parts(rows, "text"), copies
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, least: int, skipped: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, starts in them, rows and starts in the rows of documents cut into pieces.
 
     Pieces of a long document overlap by ``least`` - 1 bytes: every window is in one piece.
@@ -60,7 +77,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tuple[
         sizes = np.array([len(p) for p in parts])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), np.array(rows), np.array(at)
 
-    for row in np.flatnonzero(np.diff(offsets) >= least).tolist():
+    wanted = np.diff(offsets) >= least
+    if skipped is not None:
+        wanted &= ~skipped
+    for row in np.flatnonzero(wanted).tolist():
         lo, hi = int(offsets[row]), int(offsets[row + 1])
         for start in range(lo, hi - least + 1, PIECE_BYTES):
             parts.append(data[start:min(hi, start + PIECE_BYTES + least - 1)])
@@ -94,9 +114,9 @@ def runs(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray,
 def sent_names(group, buckets: int, least: int):
     """Phase 2, chunk side: the distinct names of a chunk by bucket, apart for those of one and of more documents."""
     chunk = group.column("chunk__")[0].as_py()
-    data, offsets = binary_parts(group, "text")
+    _, _, data, offsets, copies = chunk_rows(group)
     found = []
-    for text, starts, rows, _ in pieces(data, offsets, least):
+    for text, starts, rows, _ in pieces(data, offsets, least, copies):
         _, _, names, piece = runs(text, starts, least)
         row = rows[piece]
         order = np.lexsort((names, row))
@@ -128,13 +148,11 @@ def sent_strings(group, answers, buckets: int, least: int):
     if not answers.num_rows:
         return packed([], STRINGS)
     chunk = group.column("chunk__")[0].as_py()
-    group = group.sort_by([("order__", "ascending"), ("text", "ascending")])
-    ids = group.column("order__").to_numpy()
-    data, offsets = binary_parts(group, "text")
+    _, ids, data, offsets, copies = chunk_rows(group)
     shared = np.sort(joined(answers.column("names").to_pylist(), np.uint64))
     seen: dict[bytes, int] = {}
     names, owners, texts, places, spans = [], [], [], [], []
-    for text, starts, rows, at in pieces(data, offsets, least):
+    for text, starts, rows, at in pieces(data, offsets, least, copies):
         first, end, name, piece = runs(text, starts, least)
         hit = np.minimum(np.searchsorted(shared, name), len(shared) - 1)
         keep = shared[hit] == name
@@ -267,15 +285,16 @@ def found_spans(group, least: int):
 
 
 def removed_spans(group, answers):
-    """The chunk's rows in their fixed order and the spans (row, from, to) to take out of each."""
-    group = group.sort_by([("order__", "ascending"), ("text", "ascending")])
-    spans = united(joined(answers.column("spans").to_pylist(), np.int32).reshape(-1, 3))
-    return group, spans, np.searchsorted(spans[:, 0], np.arange(group.num_rows + 1)) if len(spans) else np.zeros(group.num_rows + 1, int)
+    """The chunk's rows, bytes and offsets, the spans (row, from, to) to take out, and where each row's spans begin."""
+    rows, _, data, offsets, copies = chunk_rows(group)
+    spans = joined(answers.column("spans").to_pylist(), np.int32).reshape(-1, 3)
+    whole = np.flatnonzero(copies)
+    spans = united(np.concatenate([spans, np.column_stack([whole, np.zeros_like(whole), np.diff(offsets)[whole]])]).astype(np.int64))
+    return rows, data, offsets, spans, np.searchsorted(spans[:, 0], np.arange(rows.num_rows + 1))
 
 
 def digests(group, answers):
-    group, spans, edges = removed_spans(group, answers)
-    data, offsets = binary_parts(group, "text")
+    group, data, offsets, spans, edges = removed_spans(group, answers)
     out = []
     for r, doc in enumerate(group.column("doc_id").to_pylist()):
         body, mine = data[offsets[r]:offsets[r + 1]], spans[edges[r]:edges[r + 1]]
@@ -292,8 +311,7 @@ def kept_rows(group, answers, columns: list[str]):
     """The rows with their text shortened; only whole characters are taken out."""
     import pyarrow as pa
 
-    group, spans, edges = removed_spans(group, answers)
-    data, offsets = binary_parts(group, "text")
+    group, data, offsets, spans, edges = removed_spans(group, answers)
     texts = group.column("text").to_pylist()
     for r in np.flatnonzero(np.diff(edges)).tolist():
         body = data[offsets[r]:offsets[r + 1]]
@@ -313,14 +331,18 @@ def kept_rows(group, answers, columns: list[str]):
 
 
 def removal_plan(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Documents by chunk, and the spans to remove by chunk."""
+    """Documents by chunk, with a marked row beside each that copies a smaller one whole, and the spans to remove by chunk."""
     if least < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes are needed")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     chunks = max(LEAST_CHUNKS, -(-total // CHUNK_BYTES))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     chunk = F.pmod(F.xxhash64(order), F.lit(chunks)).cast("int")
-    dealt = docs.withColumns({"order__": order, "chunk__": chunk})
+    dealt = docs.withColumns({"order__": order, "chunk__": chunk, "same__": F.unhex(F.md5(F.coalesce("text", F.lit("")))), "mark__": F.lit(False)})
+    brief = dealt.where(F.octet_length("text") >= least).select("same__", "order__", "chunk__")
+    repeated = brief.groupBy("same__").agg(F.min("order__").alias("least__"), F.max("order__").alias("most__")).where("least__ < most__")
+    marks = durable(brief.join(repeated, "same__").where("order__ > least__").select("same__", "order__", "chunk__", F.lit(True).alias("mark__")).distinct())
+    dealt = dealt.unionByName(marks, allowMissingColumns=True)
     names = dealt.groupBy("chunk__").applyInArrow(lambda g: sent_names(g, chunks, least), SENT)
     shared = names.groupBy("bucket").applyInArrow(shared_names, ANSWER)
     strings = dealt.groupBy("chunk__").cogroup(shared.groupBy("chunk")).applyInArrow(lambda g, a: sent_strings(g, a, chunks, least), STRINGS)
