@@ -47,8 +47,9 @@ def test_globs(spark):
 
 
 def test_slug(spark):
-    cases = {"Café Münster": "Cafe-Munster", "  a//b  ": "a-b", "con": "_con", "COM1.zip": "_COM1.zip", "***": "unnamed", "a--b": "a-b", "x" * 200: "x" * 120}
+    cases = {"Café Münster": "Cafe-Munster", "  a//b  ": "a-b", "con": "_con", "COM1.zip": "_COM1.zip", "***": "unnamed", "a--b": "a-b", "x" * 200: "x" * 200}
     assert dict(zip(cases, column(spark, list(cases), paths.slugify))) == cases
+    assert column(spark, ["x" * 200], lambda c: paths.slugify(c, longest=120)) == ["x" * 120]
 
 
 def test_ref_and_module(spark):

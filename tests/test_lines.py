@@ -1,47 +1,81 @@
-"""Content differences against the standard library."""
+"""Content differences beside plain versions."""
 
-import difflib
 import random
 
 from conftest import rows
 
-from treeledger.operators import lines
+from treeledger.operators import alignment, lines
+from treeledger.options import CompareOptions
 
 
 def pairs(spark, data):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(data)], "id int, old_content string, new_content string")
 
 
-def test_line_ops_rebuild_both_sides(spark):
-    rng = random.Random(4)
-    data = []
-    for _ in range(12):
+def edits(seed, n=14):
+    rng, data = random.Random(seed), []
+    for _ in range(n):
         old = [f"line {rng.randrange(12)}" for _ in range(rng.randrange(0, 25))]
         new = [x for x in old if rng.random() > .2] + [f"new {rng.randrange(5)}" for _ in range(rng.randrange(0, 4))]
         data.append(("\n".join(old), "\n".join(new)))
-    ops = lines.line_ops(pairs(spark, data), ["id"]).collect()
-    for i, (a, b) in enumerate(data):
-        old, new = (a.split("\n") if a else []), (b.split("\n") if b else [])
-        want = [x for x in difflib.unified_diff(old, new, lineterm="", n=3) if x[:3] not in ("---", "+++", "@@ ")]
-        mine = [{"keep": " ", "del": "-", "add": "+"}[o["op"]] + o["line"] for o in ops if o["id"] == i]
-        assert sorted(mine) == sorted(want)
-        for o in ops:
-            if o["id"] == i and o["old_no"]:
-                assert old[o["old_no"] - 1] == o["line"]
-            if o["id"] == i and o["new_no"]:
-                assert new[o["new_no"] - 1] == o["line"]
-
-
-def test_gates_come_before_python(spark):
+    return [*data, ("", "a\nb"), ("a\nb", ""), ("a\nb\nc\nd", "c\nd\na\nb"), ("x\n" * 5 + "y", "x\n" * 7 + "y")]
+
+
+def plain_match(old, new):
+    """The same rule stated item by item."""
+    unique = [(old.index(x), new.index(x)) for x in old if old.count(x) == 1 and new.count(x) == 1]
+    steady = [(i, j) for i, j in unique if all((i < p) == (j < q) for p, q in unique if (p, q) != (i, j))]
+    out = list(steady)
+    for (i, j), (p, q) in zip([(-1, -1), *steady], [*steady, (len(old), len(new))]):
+        k = 1
+        while i + k < p and j + k < q and old[i + k] == new[j + k]:
+            out.append((i + k, j + k))
+            k += 1
+        m = 1
+        while p - m >= i + k and q - m >= j + k and old[p - m] == new[q - m]:
+            out.append((p - m, q - m))
+            m += 1
+    return sorted(out)
+
+
+def test_matching_equals_plain_rule(spark):
+    data = edits(4)
+    split = [[t.split("\n") if t else [] for t in pair] for pair in data]
+    items = spark.createDataFrame([(k, side == 1, n + 1, x) for k, pair in enumerate(split) for side, seq in enumerate(pair) for n, x in enumerate(seq)], "id int, is_new boolean, no long, item string")
+    got = rows(alignment.matched(items, ["id"]), "id", "old_no", "new_no")
+    assert got == sorted(((k, i + 1, j + 1) for k, (old, new) in enumerate(split) for i, j in plain_match(old, new)), key=repr)
+
+
+def test_line_ops_rebuild_both_sides(spark):
+    data = edits(5)
+    whole = lines.line_ops(pairs(spark, data), ["id"], CompareOptions(context_lines=1000)).collect()
+    near = lines.line_ops(pairs(spark, data), ["id"]).collect()
+    for k, (a, b) in enumerate(data):
+        mine = [o for o in whole if o["id"] == k]
+        if a != b:
+            assert [o["line"] for o in sorted((o for o in mine if o["old_no"]), key=lambda o: o["old_no"])] == (a.split("\n") if a else [])
+            assert [o["line"] for o in sorted((o for o in mine if o["new_no"]), key=lambda o: o["new_no"])] == (b.split("\n") if b else [])
+        assert sum(o["op"] != "keep" for o in mine) == sum(o["op"] != "keep" for o in near if o["id"] == k)
+
+
+def test_hunks_hold_three_lines_of_context(spark):
+    old = [f"l{k}" for k in range(40)]
+    new = [*old[:10], "x", *old[10:30], *old[31:]]
+    got = rows(lines.line_ops(pairs(spark, [("\n".join(old), "\n".join(new))]), ["id"]), "hunk", "op")
+    assert got == sorted([(1, "keep")] * 6 + [(1, "add")] + [(2, "keep")] * 6 + [(2, "del")], key=repr)
+
+
+def test_gates_come_first(spark):
     data = [("a\n\tb\n", "a\n  b\n"), ("x" * 900, "x" * 900 + "1"), ("same", "same")]
     assert lines.line_ops(pairs(spark, data), ["id"]).count() == 0
+    assert lines.line_ops(pairs(spark, [("a", "bb")]), ["id"], CompareOptions(max_compare_bytes=1)).count() == 0
 
 
 def test_pair_lines(spark):
     old = "keep\nvalue = compute(alpha, 1)\nzzzz qqqq\nmid\nlast = 1\nend\n"
     new = "keep\nvalue = compute(alpha, 2)\nmid\nlast = 2\nend\n"
-    ops = lines.line_ops(pairs(spark, [(old, new)]), ["id"])
-    assert rows(lines.pair_lines(ops, ["id"]), "old_no", "new_no") == [(2, 2), (5, 4)]
+    script = lines.line_script(pairs(spark, [(old, new)]), ["id"])
+    assert rows(lines.pair_lines(script, ["id"]), "old_no", "new_no") == [(2, 2), (5, 4)]
 
 
 def test_changed_span_does_not_overlap(spark):
@@ -51,10 +85,11 @@ def test_changed_span_does_not_overlap(spark):
 
 def test_long_line_edits(spark):
     base = "e){var t=" + "a=1;" * 300
-    old, new = base + "const n=1;tail", base + "const n=22;tail"
-    got = lines.long_line_edits(pairs(spark, [(old, new), ("x" * 5000, "y" * 5000)]), ["id"]).orderBy("id").collect()
-    assert (got[0]["before"], got[0]["after"]) == ("1", "22") and new[got[0]["at"]:].startswith("22") and got[0]["trail"].startswith(";tail")
-    assert got[1]["reason"] == "changes span 5,000 characters" and got[1]["before"] is None
+    old, new = base + "const n=1;mid m=3;tail", base + "const n=22;mid m=4;tail"
+    got = lines.long_line_edits(pairs(spark, [(old, new), ("x" * 5000, "y" * 5000)]), ["id"]).orderBy("id", "at").collect()
+    assert [(r["before"], r["after"]) for r in got[:2]] == [("1", "22"), ("3", "4")]
+    assert new[got[0]["at"]:].startswith("22") and got[0]["trail"].startswith(";mid") and new[got[1]["at"]:].startswith("4;tail")
+    assert (got[2]["before"], got[2]["after"]) == ("x" * 5000, "y" * 5000)
 
 
 def test_word_spans(spark):

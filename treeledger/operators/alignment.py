@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 def matched(items: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, old_no, new_no) of matched items. ``items``: keys, is_new, no (from 1 without gaps), item."""
@@ -57,9 +59,10 @@ def matched(items: DataFrame, keys: list[str]) -> DataFrame:
     return steady.unionByName(runs.select(*keys, F.explode(steps).alias("s")).select(*keys, "s.old_no", "s.new_no"))
 
 
-def edit_script(items: DataFrame, keys: list[str], pairs: DataFrame | None = None) -> DataFrame:
+def edit_script(items: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, gap, op, old_no, new_no, item): kept, deleted and added items; ``gap`` is the old number of the last kept item before, 0 at the start."""
-    pairs = matched(items, keys) if pairs is None else pairs
+    items = durable(items)
+    pairs = matched(items, keys)
     old = items.where("not is_new").select(*keys, F.col("no").alias("old_no"), "item").join(pairs, [*keys, "old_no"], "left")
     new = items.where("is_new").select(*keys, F.col("no").alias("new_no"), "item").join(pairs, [*keys, "new_no"], "left").where("old_no is null")
     op = F.when(F.col("new_no").isNull(), "del").otherwise("keep")

@@ -136,14 +136,14 @@ def change_counts(changes: DataFrame) -> DataFrame:
 
 
 def comparison_totals(changes: DataFrame) -> DataFrame:
-    """Counts per kind with line totals, uncounted files and emptiness of the file layer."""
+    """Counts per kind with line totals, uncounted files."""
     listed = ~F.col("is_hidden")
     kinds = [count_if(listed & (F.col("kind") == k)).alias(k.replace("-", "_")) for k in KIND_ORDER]
     return changes.groupBy(*STEP).agg(
         *kinds, count_if(F.col("is_hidden")).alias("vendored_hidden"),
         sum_if(listed, F.col("added_lines")).alias("added_lines"), sum_if(listed, F.col("removed_lines")).alias("removed_lines"),
         count_if(listed & (F.col("whitespace_only") | F.col("long_lines"))).alias("uncounted_files"),
-    ).withColumn("is_empty", F.lit(False))
+    )
 
 
 def comparison_layers(steps: DataFrame, totals: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
@@ -152,7 +152,7 @@ def comparison_layers(steps: DataFrame, totals: DataFrame, layers: dict[str, Dat
     ``layers`` maps a name to rows keyed by step (dependency, name, finding or
     attribute changes); each is counted per step before it is joined.
     """
-    out = steps.select(*STEP).join(totals.drop("is_empty"), STEP, "left")
+    out = steps.select(*STEP).join(totals, STEP, "left")
     for name, rows in layers.items():
         out = out.join(rows.groupBy(*STEP).agg(F.count(F.lit(1)).alias(name)), STEP, "left")
     numbers = [c for c in out.columns if c not in STEP]

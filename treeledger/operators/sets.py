@@ -12,17 +12,24 @@ CHANGE_ORDER = ("added", "changed", "removed")
 def keyed_diff(old: DataFrame, new: DataFrame, artifact: list[str], name: str = "name", version: str = "version") -> DataFrame:
     """Added, changed and removed facts under (manager, lower name, is_declared).
 
-    Both sides meet in one aggregation on the full key: one shuffle, combined
-    before it, and no key larger than its duplicates. A missing version counts as
-    the empty one. Of repeated keys the greatest row stands.
+    A missing version counts as the empty one. Of repeated keys the greatest row stands.
     """
-    key = [*artifact, "manager", "_key", "is_declared"]
+    facts = [*artifact, "manager", name, version, "is_declared"]
+    sides = old.select(*facts, F.lit(False).alias("is_new")).unionByName(new.select(*facts, F.lit(True).alias("is_new")))
+    return keyed_diff_of(sides, artifact, name, version)
+
 
-    def side(df: DataFrame, is_new: bool) -> DataFrame:
-        return df.select(*artifact, "manager", F.lower(name).alias("_key"), "is_declared",
-                         F.struct(F.lit(True).alias("there"), F.col(name).alias("name"), F.col(version).alias("version")).alias("fact"), F.lit(is_new).alias("is_new"))
+def keyed_diff_of(sides: DataFrame, artifact: list[str], name: str = "name", version: str = "version") -> DataFrame:
+    """``keyed_diff`` of one relation that holds both sides, told apart by ``is_new``.
 
-    both = side(old, False).unionByName(side(new, True)).groupBy(*key).agg(
+    Rows are dealt by the full key first and meet in one aggregation behind that one
+    shuffle: keys hardly repeat, so combining before it would only sort every row.
+    """
+    key = [*artifact, "manager", "_key", "is_declared"]
+    dealt = sides.select(
+        *artifact, "manager", F.lower(name).alias("_key"), "is_declared",
+        F.struct(F.lit(True).alias("there"), F.col(name).alias("name"), F.col(version).alias("version")).alias("fact"), "is_new").repartition(*key)
+    both = dealt.groupBy(*key).agg(
         F.max(F.when(~F.col("is_new"), F.col("fact"))).alias("old"), F.max(F.when(F.col("is_new"), F.col("fact"))).alias("new"))
     changed = F.coalesce("old.version", F.lit("")) != F.coalesce("new.version", F.lit(""))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(changed, "changed")

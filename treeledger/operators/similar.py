@@ -124,7 +124,7 @@ def with_ordered_ratio(pairs: DataFrame, contents: DataFrame, threshold: float)
         mine = contents.where(F.col("is_new") == is_new).select(*STEP, F.col("sha256").alias(name), F.posexplode(text.lines_of(F.col("content"))).alias("no", "item"))
         return pairs.select(*pair).join(mine, [*STEP, name]).select(*pair, F.lit(is_new).alias("is_new"), (F.col("no") + 1).cast("long").alias("no"), "item")
 
-    items = side(False, "old_class").unionByName(side(True, "new_class"))
+    items = durable(side(False, "old_class").unionByName(side(True, "new_class")))
     sizes = items.groupBy(*pair).agg(F.count(F.lit(1)).alias("_all"))
     hits = matched(items, pair).groupBy(*pair).agg(F.count(F.lit(1)).alias("_hits"))
     scored = sizes.join(hits, pair, "left").select(*pair, (2.0 * F.coalesce("_hits", F.lit(0)) / F.col("_all")).alias("ratio"))

@@ -190,7 +190,8 @@ KINDS_SQL = ", ".join(f"{LISTED.format(kind=k)} AS {k.replace('-', '_')}" for k
 TOTALS_SQL = f"""
 tt AS (SELECT artifact, 1 AS old_seq, 2 AS new_seq, {KINDS_SQL}, count(*) FILTER (is_hidden) AS vendored_hidden,
   CAST(coalesce(sum(added_lines) FILTER (NOT is_hidden), 0) AS BIGINT) AS added_lines, CAST(coalesce(sum(removed_lines) FILTER (NOT is_hidden), 0) AS BIGINT) AS removed_lines,
-  count(*) FILTER (NOT is_hidden AND (whitespace_only OR long_lines)) AS uncounted_files, false AS is_empty FROM fc GROUP BY artifact)"""
+  count(*) FILTER (NOT is_hidden AND (whitespace_only OR long_lines)) AS uncounted_files, count(kind) FILTER (is_hidden OR kind IN ({', '.join(repr(k) for k in change_ops.KIND_ORDER)})) = 0 AS is_empty
+  FROM (SELECT DISTINCT artifact FROM files) LEFT JOIN fc USING (artifact) GROUP BY artifact)"""
 
 
 def changed(spark, sf):
@@ -199,6 +200,15 @@ def changed(spark, sf):
     return change_ops.file_changes(records, files)
 
 
+def asked(spark, sf):
+    """Every comparison asked for, whether or not it found a change."""
+    return adapters.snapshot_files(spark, sf).select("artifact", F.lit(1).alias("old_seq"), F.lit(2).alias("new_seq")).distinct()
+
+
+def totals_of(spark, sf, changes):
+    return change_ops.comparison_layers(asked(spark, sf), change_ops.comparison_totals(changes), {})
+
+
 def moves_of(spark, sf, changes):
     old_files = adapters.snapshot_files(spark, sf).where(F.col("seq") == 1).select(
         "artifact", F.lit(1).alias("old_seq"), F.lit(2).alias("new_seq"), "path")
@@ -210,12 +220,12 @@ def file_changes(spark, sf):
     return changed(spark, sf)
 
 
-@query("change_counts", f"{WITH_CHANGES} SELECT artifact, 1 AS old_seq, 2 AS new_seq, {KINDS_SQL}, count(*) FILTER (is_hidden) AS vendored_hidden FROM fc GROUP BY artifact")
+@query("change_counts", f"{WITH_CHANGES} SELECT artifact, 1 AS old_seq, 2 AS new_seq, {KINDS_SQL}, count(*) FILTER (is_hidden) AS vendored_hidden FROM (SELECT DISTINCT artifact FROM files) LEFT JOIN fc USING (artifact) GROUP BY artifact")
 def change_counts(spark, sf):
     """Counts need no text: kinds and vendored flags only."""
     records = change_ops.renamed_and_changed(adapters.snapshot_files(spark, sf), 1, 2)
     flags = records.select(*STEP, "kind", snapshot.is_hidden_change().alias("is_hidden"))
-    return change_ops.change_counts(flags)
+    return asked(spark, sf).join(change_ops.change_counts(flags), STEP, "left").na.fill(0)
 
 
 @query("change_order", f"""{WITH_CHANGES} SELECT artifact, path, kind, CAST(row_number() OVER (PARTITION BY artifact ORDER BY is_vendor,
@@ -280,7 +290,7 @@ def folder_rollup_compact(spark, sf):
 
 @query("comparison_totals", f"{WITH_CHANGES}, {TOTALS_SQL} SELECT * FROM tt")
 def comparison_totals(spark, sf):
-    return change_ops.comparison_totals(changed(spark, sf))
+    return totals_of(spark, sf, changed(spark, sf))
 
 
 HEADLINE_SQL = """concat_ws(', ', CASE WHEN added > 0 THEN added || ' added' END, CASE WHEN removed > 0 THEN removed || ' removed' END,
@@ -299,7 +309,7 @@ hl AS (SELECT artifact, old_seq, new_seq, CASE WHEN {HEADLINE_SQL} = '' THEN 'no
   CASE WHEN added_lines > 0 OR removed_lines > 0 THEN '+' || added_lines || '/-' || removed_lines || ' lines' ELSE '' END AS impact FROM tt)
 SELECT artifact, old_seq, new_seq, headline, impact, CASE WHEN impact <> '' THEN headline || ' · ' || impact ELSE headline END AS summary FROM hl""")
 def change_headlines(spark, sf):
-    totals = change_ops.comparison_totals(changed(spark, sf))
+    totals = totals_of(spark, sf, changed(spark, sf))
     return with_headlines(totals).select(*STEP, "headline", "impact", "summary")
 
 
@@ -311,7 +321,7 @@ def diff_document_counts(spark, sf):
     """The machine-readable summary of each comparison as one JSON document."""
     changes = change_ops.durable(changed(spark, sf))
     moves = moves_of(spark, sf, changes).groupBy(*STEP).agg(F.count(F.lit(1)).alias("moves"))
-    totals = change_ops.comparison_totals(changes).join(moves, STEP, "left")
+    totals = totals_of(spark, sf, changes).join(moves, STEP, "left")
     return totals.select("artifact", F.to_json(F.struct(
         F.col("old_seq").alias("from"), F.col("new_seq").alias("to"), F.struct("added", "removed", "modified", "renamed", "mode_changed").alias("counts"),
         F.struct(F.col("added_lines").alias("added"), F.col("removed_lines").alias("removed"), "uncounted_files").alias("lines"),

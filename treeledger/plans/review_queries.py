@@ -11,7 +11,7 @@ from ..operators import dependencies as dependency_ops
 from ..operators import extract, facts, findings, identity, review, search, sets
 from ..options import ArrivalOptions
 from ..sources import adapters, manifest
-from .change_queries import TOTALS_SQL, WITH_CHANGES, WITH_MOVES, changed, moves_of
+from .change_queries import TOTALS_SQL, WITH_CHANGES, WITH_MOVES, changed, moves_of, totals_of
 from .history_queries import _ORDERS, order_versions
 from .registry import query
 from .scalar_queries import _clean_sql, _slug_sql, sql_basename, sql_dirname, sql_text
@@ -280,7 +280,7 @@ SELECT o.artifact, t || coalesce(chr(10) || chr(10) || '## Directory moves' || c
 FROM o LEFT JOIN m ON m.artifact = o.artifact LEFT JOIN e ON e.artifact = o.artifact LEFT JOIN s3 ON s3.artifact = o.artifact""")
 def comparison_brief(spark, sf):
     changes = change_ops.durable(changed(spark, sf))
-    t = change_ops.comparison_totals(changes)
+    t = totals_of(spark, sf, changes)
     text = F.concat(
         F.lit("# "), "artifact", F.lit(": version 1 to version 2\n- files changed: "), F.col("added").cast("string"), F.lit(" added, "), F.col("removed").cast("string"),
         F.lit(" removed, "), F.col("modified").cast("string"), F.lit(" modified, "), F.col("renamed").cast("string"), F.lit(" renamed; +"), F.col("added_lines").cast("string"),

@@ -50,13 +50,15 @@ def keyed_diff_lines(spark, sf):
     lines = table(spark, sf, "lineitem")
     supplier = F.col("l_suppkey")
 
-    def side(modulus, version):
-        return lines.where(F.col("l_partkey") % modulus != 0).select(
-            F.col("l_orderkey").alias("artifact"), F.col("l_returnflag").alias("manager"),
-            F.concat(F.lit("p"), "l_partkey", F.lit("-"), "l_linenumber").alias("name"),
-            F.concat("l_linestatus", version.cast("string")).alias("version"), F.lit(True).alias("is_declared"))
-
-    return sets.keyed_diff(side(11, supplier), side(13, F.when(supplier % 5 == 0, supplier + 1).otherwise(supplier)), ["artifact"])
+    def role(modulus, version, is_new):
+        return F.when(F.col("l_partkey") % modulus != 0, F.struct(F.concat("l_linestatus", version.cast("string")).alias("version"), F.lit(is_new).alias("is_new")))
+
+    # One scan: a line is a fact of either side, of both or of none.
+    roles = F.array_compact(F.array(role(11, supplier, False), role(13, F.when(supplier % 5 == 0, supplier + 1).otherwise(supplier), True)))
+    sides = lines.select(
+        F.col("l_orderkey").alias("artifact"), F.col("l_returnflag").alias("manager"),
+        F.concat(F.lit("p"), "l_partkey", F.lit("-"), "l_linenumber").alias("name"), F.lit(True).alias("is_declared"), F.explode(roles).alias("r"))
+    return sets.keyed_diff_of(sides.select("artifact", "manager", "name", "is_declared", "r.version", "r.is_new"), ["artifact"])
 
 
 @query("version_attribute_changes", """
