@@ -256,15 +256,23 @@ def tiered_budget(spark, sf):
     return review.tiered_budget(files, chosen, ["artifact"], 60000, 8000).select("artifact", "is_new", "path", "size", "tier", "included", "reason")
 
 
-@query("version_summary", f"""SELECT artifact, seq, file_count, total_size, code_file_count, code_lines, 0::BIGINT AS declared, 0::BIGINT AS installed, env_names, services, 0::BIGINT AS findings FROM (
-  WITH f AS (SELECT artifact, seq, path, content, regexp_full_match(path, 'node_modules/.*') AS v FROM ({adapters.CODE_FILES_SQL}))
+@query("manifest_dependencies", adapters.MANIFEST_FACTS_SQL)
+def manifest_dependencies(spark, sf):
+    """Dependencies read from manifests of ten kinds."""
+    return dependency_ops.dependencies(adapters.manifest_files(spark, sf)).select("artifact", "seq", "manager", "name", "version", "source", "is_declared")
+
+
+@query("version_summary", f"""SELECT artifact, seq, file_count, total_size, code_file_count, code_lines, coalesce(declared, 0) AS declared, coalesce(installed, 0) AS installed, env_names, services, coalesce(findings, 0) AS findings
+FROM (SELECT artifact, count(*) FILTER (is_declared) AS declared, count(*) FILTER (NOT is_declared) AS installed FROM ({adapters.MANIFEST_FACTS_SQL}) GROUP BY artifact)
+FULL JOIN (SELECT artifact, count(*) AS findings FROM ({adapters.MANIFEST_FILES_SQL}) WHERE regexp_matches(content, 'AKIA[0-9A-Z]{{16}}') GROUP BY 1) USING (artifact) RIGHT JOIN (
+  WITH f AS (SELECT artifact, seq, path, content, regexp_full_match(path, 'node_modules/.*') OR contains(path, '.dist-info/') AS v FROM (SELECT * FROM ({adapters.CODE_FILES_SQL}) UNION ALL ({adapters.MANIFEST_FILES_SQL})))
   SELECT artifact, seq, count(*) AS file_count, CAST(sum(strlen(content)) AS BIGINT) AS total_size, count(*) FILTER (NOT v) AS code_file_count,
     CAST(coalesce(sum(length(content) - length(replace(content, chr(10), ''))) FILTER (NOT v), 0) AS BIGINT) AS code_lines,
     count(DISTINCT CASE WHEN NOT v THEN nullif(coalesce(nullif(regexp_extract(content, 'NAME = os\\.environ\\["(\\w+)"', 1), ''), nullif(regexp_extract(content, 'process\\.env\\.(\\w+)', 1), ''), nullif(regexp_extract(content, 'process\\.env\\[''(\\w+)', 1), ''), nullif(regexp_extract(content, 'System\\.getenv\\("(\\w+)', 1), ''), nullif(regexp_extract(content, 'os\\.environ\\.get\\("(\\w+)', 1), '')), '') END) AS env_names,
     count(DISTINCT CASE WHEN NOT v THEN CASE WHEN contains(content, 'dynamodb') THEN 'dynamodb' WHEN contains(content, 'client-sfn') THEN 'stepfunctions' WHEN contains(content, 'AWS.S3') THEN 's3' WHEN contains(content, 'services.sqs') THEN 'sqs' END END) AS services
-  FROM f GROUP BY artifact, seq)""")
+  FROM f GROUP BY artifact, seq) USING (artifact)""")
 def version_summary(spark, sf):
-    files = adapters.code_files(spark, sf)
+    files = adapters.code_files(spark, sf).unionByName(adapters.manifest_files(spark, sf))
     totals = facts.version_totals(facts.file_facts(files)).select("artifact", "seq", "file_count", "total_size", "code_file_count", "code_lines")
     return search.version_summary(totals, dependency_ops.dependencies(files), extract.extract_refs(files), findings.findings(files), ["artifact", "seq"])
 

@@ -208,3 +208,66 @@ SELECT p_brand AS artifact, 1 AS seq,
   420 AS mode
 FROM (SELECT *, regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g') AS ident FROM part)
 """
+
+
+# One manifest of each kind in turn from the part table: its folder and name, and its text, in
+# which {n} is the part's package name and {v} its version. Two packages, {n}-a and {n}-b, are in each but METADATA.
+MANIFESTS = (
+    ("{n}/requirements.txt", "# pinned\n{n}-a=={v}\n-r base.txt\n{n}-b[extra] >= {v} ; python_version > '3'\n# {k}\n"),
+    ("{n}/package.json", '{"name": "{n}", "dependencies": {"{n}-a": "{v}"}, "devDependencies": {"{n}-b": "{v}"}}\n'),
+    ("{n}/package-lock.json", '{"packages": {"": {"name": "{n}"}, "node_modules/{n}-a": {"version": "{v}"}, "node_modules/x/node_modules/{n}-b": {"version": "{v}"}}}\n'),
+    ("{n}/old/package-lock.json", '{"dependencies": {"{n}-a": {"version": "{v}"}, "{n}-b": {"version": "{v}"}}}\n'),
+    ("lib/{n}.dist-info/METADATA", "Metadata-Version: 2.1\nName: {n}-a\nVersion: {v}\n\nName: not-this\n"),
+    ("{n}/go.mod", "module m\n\nrequire (\n\texample.com/{n}-a v{v}\n)\nrequire example.com/{n}-b v{v}\n"),
+    ("{n}/pom.xml", "<project><dependency><groupId>g</groupId><artifactId>{n}-a</artifactId><version>{v}</version></dependency>\n<dependency><artifactId>{n}-b</artifactId></dependency></project>\n"),
+    ("{n}/Gemfile.lock", "GEM\n  specs:\n    {n}-a ({v})\n      inner (1)\n    {n}-b ({v})\n"),
+    ("{n}/pyproject.toml", '[project]\nname = "x"\ndependencies = ["{n}-a=={v}"]\n\n[tool.poetry.dependencies]\npython = "^3"\n{n}-b = {version = "{v}"}\n'),
+    ("{n}/yarn.lock", '{n}-a@^1:\n  version "{v}"\n\n"{n}-b@^2":\n  version "{v}"\n'),
+)
+
+
+def _manifest_text(template: str, quote, join: str, values: dict[str, str]) -> str:
+    """A template as an SQL concatenation; ``quote`` writes a text literal."""
+    import re
+
+    parts = [p for p in re.split(r"(\{[nvk]\})", template) if p]
+    return join.join(values[p] if p in values else quote(p) for p in parts)
+
+
+def _manifest_case(which: int, quote, values: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN {i} THEN concat({_manifest_text(m[which], quote, ', ', values)})" for i, m in enumerate(MANIFESTS))
+    return f"CASE p_partkey % {len(MANIFESTS)} {cases} END"
+
+
+_KEY_OF = "concat('AKIA', upper(substr({sha}, 1, 16)))"
+_NAME, _VERSION = "concat('n', CAST(p_partkey AS {t}))", "concat(CAST(p_size AS {t}), '.', CAST(p_partkey % 7 AS {t}))"
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package manifest of some kind per part; a brand is an artifact. Requirement files leak a key."""
+    def quote(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
+
+    values = {"{n}": _NAME.format(t="STRING"), "{v}": _VERSION.format(t="STRING"), "{k}": _KEY_OF.format(sha="sha2(CAST(p_partkey AS STRING), 256)")}
+    return spread_table(spark, sf_dir, "part", "p_partkey").select(
+        F.col("p_brand").alias("artifact"), F.lit(1).alias("seq"), F.expr(_manifest_case(0, quote, values)).alias("path"),
+        F.expr(_manifest_case(1, quote, values)).alias("content"), F.lit(420).alias("mode"))
+
+
+def _manifest_files_sql() -> str:
+    def quote(text: str) -> str:
+        return "concat('" + text.replace("'", "''").replace("\n", "', chr(10), '").replace("\t", "', chr(9), '") + "')"
+
+    values = {"{n}": _NAME.format(t="VARCHAR"), "{v}": _VERSION.format(t="VARCHAR"), "{k}": _KEY_OF.format(sha="sha256(CAST(p_partkey AS VARCHAR))")}
+    return (f"SELECT p_brand AS artifact, 1 AS seq, {_manifest_case(0, quote, values)} AS path, {_manifest_case(1, quote, values)} AS content, 420 AS mode FROM part")
+
+
+MANIFEST_FILES_SQL = _manifest_files_sql()
+# What those manifests say: manager, whether declared, and the names and versions of both packages, by kind.
+MANIFEST_FACTS_SQL = f"""
+SELECT artifact, 1 AS seq, manager, name, version, source, is_declared FROM (
+  SELECT p_brand AS artifact, k, n, v, s AS source, unnest(CASE WHEN k = 4 THEN ['a'] ELSE ['a', 'b'] END) AS x,
+    CASE k WHEN 0 THEN 'pip' WHEN 4 THEN 'pip' WHEN 8 THEN 'pip' WHEN 5 THEN 'go' WHEN 6 THEN 'maven' WHEN 7 THEN 'gem' ELSE 'npm' END AS manager, k IN (0, 1, 5, 6, 8) AS is_declared,
+    CASE k WHEN 5 THEN 'example.com/' || n || '-' || x WHEN 6 THEN CASE WHEN x = 'a' THEN 'g:' ELSE '' END || n || '-' || x ELSE n || '-' || x END AS name,
+    CASE WHEN k = 5 THEN 'v' || v WHEN k = 6 AND x = 'b' THEN NULL ELSE v END AS version
+  FROM (SELECT *, p_partkey % {len(MANIFESTS)} AS k, 'n' || p_partkey AS n, p_size || '.' || (p_partkey % 7) AS v, {_manifest_case(0, lambda t: "'" + t + "'", {"{n}": _NAME.format(t="VARCHAR")})} AS s FROM part))"""
