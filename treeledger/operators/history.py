@@ -171,8 +171,12 @@ def timeline(versions: DataFrame, size: str, attributes: list[str]) -> DataFrame
         "artifact", "seq", "previous_seq", size, (F.col(size) - F.col("_size")).alias("delta"), (F.col(size) - F.col("_first")).alias("delta_first"), *moved)
 
 
-def missing_steps(steps: DataFrame, records: DataFrame) -> DataFrame:
-    """Consecutive steps without a finished record."""
+def missing_steps(steps: DataFrame, records: DataFrame, refresh: bool = False, engine: str | None = None) -> DataFrame:
+    """Consecutive steps without a finished record; with ``engine`` without one by it (column ``engine``); all with ``refresh``."""
+    if refresh:
+        return steps
+    if engine is not None:
+        records = records.where(F.col("engine") == engine)
     return steps.join(records.select("artifact", "old_seq", "new_seq").distinct(), ["artifact", "old_seq", "new_seq"], "left_anti")
 
 

@@ -82,12 +82,17 @@ def attribute_changes(old: DataFrame, new: DataFrame, keys: list[str], attribute
         *keys, "e.attribute", F.coalesce("e.was", F.lit("?")).alias("was"), F.coalesce("e.now", F.lit("?")).alias("now"))
 
 
-def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Overwrite columns where an edit exists; a null in the edit clears the value."""
-    marked = edits.select(*keys, F.lit(True).alias("_has"), *[F.col(c).alias(f"_e_{c}") for c in columns])
+def apply_edits(rows: DataFrame, edits: DataFrame, keys: list[str], columns: list[str], named: str | None = None) -> DataFrame:
+    """Overwrite columns where an edit exists; a null in the edit clears the value.
+
+    With ``named``, a column of ``edits`` that lists the columns each edit sets, an
+    edit leaves the others alone.
+    """
+    sets_column = F.array(*map(F.lit, columns)) if named is None else F.col(named)
+    marked = edits.select(*keys, sets_column.alias("_has"), *[F.col(c).alias(f"_e_{c}") for c in columns])
     out = rows.join(marked, keys, "left")
     for c in columns:
-        out = out.withColumn(c, F.when(F.col("_has"), F.col(f"_e_{c}")).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(F.array_contains("_has", c), F.col(f"_e_{c}")).otherwise(F.col(c)))
     return out.drop("_has", *[f"_e_{c}" for c in columns])
 
 

@@ -152,6 +152,16 @@ def missing_steps(spark, sf):
     return history.missing_steps(steps, done)
 
 
+@query("missing_steps_by_engine", f"""
+WITH st AS (SELECT artifact, lag(seq) OVER (PARTITION BY artifact ORDER BY seq) AS old_seq, seq AS new_seq FROM ({adapters.TURNS_SQL}))
+SELECT artifact, old_seq, new_seq FROM st WHERE old_seq IS NOT NULL AND NOT ((artifact + new_seq) % 3 = 0 AND new_seq % 2 = 0)""")
+def missing_steps_by_engine(spark, sf):
+    """Steps that another engine may have finished, but not this one."""
+    steps = history.version_steps(adapters.turns(spark, sf))
+    done = steps.where((F.col("artifact") + F.col("new_seq")) % 3 == 0).withColumn("engine", F.when(F.col("new_seq") % 2 == 0, "a").otherwise("b"))
+    return history.missing_steps(steps, done, engine="a")
+
+
 @query("latest_headlines", f"""
 WITH st AS (SELECT artifact, lag(seq) OVER (PARTITION BY artifact ORDER BY seq) AS old_seq, seq AS new_seq FROM ({adapters.TURNS_SQL})),
 l AS (SELECT * FROM st WHERE old_seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY artifact ORDER BY new_seq DESC) = 1)

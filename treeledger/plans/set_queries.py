@@ -76,14 +76,15 @@ def version_attribute_changes(spark, sf):
 
 
 @query("apply_edits", """
-SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'Renamed#' || c_custkey ELSE c_name END AS c_name,
-  CASE WHEN c_custkey % 10 = 0 THEN CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE 'pinned' END ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 AND c_custkey % 3 <> 0 THEN 'Renamed#' || c_custkey ELSE c_name END AS c_name,
+  CASE WHEN c_custkey % 10 = 0 AND c_custkey % 3 <> 1 THEN CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE 'pinned' END ELSE c_mktsegment END AS c_mktsegment FROM customer""")
 def apply_edits(spark, sf):
     key = F.col("c_custkey")
     rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     edits = rows.where(key % 10 == 0).select(
-        key, F.concat(F.lit("Renamed#"), key.cast("string")).alias("c_name"), F.when(key % 20 != 0, F.lit("pinned")).alias("c_mktsegment"))
-    return sets.apply_edits(rows, edits, ["c_custkey"], ["c_name", "c_mktsegment"])
+        key, F.concat(F.lit("Renamed#"), key.cast("string")).alias("c_name"), F.when(key % 20 != 0, F.lit("pinned")).alias("c_mktsegment"),
+        F.when(key % 3 == 0, F.array(F.lit("c_mktsegment"))).when(key % 3 == 1, F.array(F.lit("c_name"))).otherwise(F.array(F.lit("c_name"), F.lit("c_mktsegment"))).alias("named"))
+    return sets.apply_edits(rows, edits, ["c_custkey"], ["c_name", "c_mktsegment"], named="named")
 
 
 @query("cascade_delete", """
