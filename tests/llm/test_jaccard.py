@@ -35,7 +35,7 @@ def test_signatures_meet(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for size in (5, 9, 10, 18, 19, 57, 130, 700):
+    for size in (5, 9, 10, 18, 19, 57, 130, 700, 1500, 5000):
         for percent in (80, 90):
             a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
             differ = size * (100 - percent) // (100 + percent)

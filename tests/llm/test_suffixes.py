@@ -17,7 +17,7 @@ def passages():
             b = rng.choice(base)
             parts.append(b[rng.randrange(len(b)):][:rng.choice([20, 60, 300])])
         rows.append((k if k % 17 else None, "".join(parts) if k % 23 else None))
-    return rows + [(5, base[0] * 3), (500, "a" * 3000), (501, "a" * 700 + "b" * 60), (502, "b" * 60), (503, "x" * 49), (504, "x" * 49)]
+    return rows + [(5, base[0] * 3), (500, "a" * 3000), (501, "a" * 700 + "b" * 60), (502, "b" * 60), (503, "x" * 49), (504, "x" * 49), (505, base[1] + base[2]), (505, base[1] + base[2]), (506, base[1] + base[2]), (None, base[1] + base[2] + base[3])]
 
 
 def digests(docs):

@@ -4,7 +4,10 @@ Sets of one size band that are similar enough differ in at most k elements. The
 is cut into parts of first level, so that one of them holds at most one difference, and each
 of these into three parts of second level, of which two are then equal: one signature for
 every two of the three. Similar sets share a signature; a set that may reach into the next
-band also signs there.
+band also signs there. Large sets need few of so many parts: where there would be more than
+``MANY_PARTS``, the range is cut into parts of ``SPARE`` differences each at most on average and the first
+``MANY_PARTS`` sign. Elements are hashed, so one of these has at most one difference but for a
+chance below 1e-15 (a part has with probability 0.199 or more), and longer signatures meet fewer strangers.
 
 1. Documents become (size, set digest, sketch); equal sets become one class, and only its
    least document takes part further.
@@ -13,7 +16,8 @@ band also signs there.
 3. Documents that share a signature meet in a bucket, those of a frequent signature in tiles
    of bounded size. Sizes and folded sketches leave candidate pairs, of which a bucket returns
    a forest: documents that may link end up in one candidate group.
-4. Groups are cut into tiles of bounded size and compared by whole sketches. A spanning forest of the
+4. Groups are cut by size, since sizes of linked sets are close, then into tiles of bounded
+   size, and compared by whole sketches. A spanning forest of the
    closest pairs is checked exactly on the sets, and then every pair the sketches allow whose ends
    are not yet connected. So all links between components are found, and the pairs inside
    a component of near copies are never written out.
@@ -49,12 +53,14 @@ from treeledger.sources.adapters import table
 NULL_ID = 2**63 - 1
 CHUNK_ROWS = 4096
 LEAST_CHUNKS = 64
-BLOCK = 1024
+BLOCK = 512
 PIECE = 1 << 18
 FOLD_WORDS = 8
 AT_ONCE = 1 << 22
 BAND_GROWTH = 1.3
 SECOND, MISSED = 3, 1
+MANY_PARTS = 160
+SPARE = 3
 
 DESCRIBED = "doc long, n long, a long, b long, sketch binary"
 SIGNED = "chunk int, doc long, a long, n long, fold binary, signs binary"
@@ -114,13 +120,14 @@ def shingle_set(text: np.ndarray, words: int) -> np.ndarray:
 
 
 @lru_cache
-def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
-    """(band, first-level parts) in which a set of this size signs."""
+def bands(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(band, first-level parts, how many of them sign) for a set of this size."""
     out, band, low, high = [], 0, 1, 9
     while percent * low <= 100 * size:
         differ = 2 * high * (100 - percent) // (100 + percent)
         if size <= high and differ:
-            out.append((band, -(-(differ + 1) // (MISSED + 1))))
+            parts = -(-(differ + 1) // (MISSED + 1))
+            out.append((band, parts, parts) if parts <= MANY_PARTS else (band, max(MANY_PARTS, -(-differ // SPARE)), MANY_PARTS))
         band, low, high = band + 1, high + 1, max(high + 1, int(high * BAND_GROWTH))
     return tuple(out)
 
@@ -129,11 +136,11 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a sorted set in its bands."""
     sums = np.append(np.uint64(0), np.cumsum(mixed(elements)))
     out = []
-    for band, parts in bands(len(elements), percent):
+    for band, parts, signing in bands(len(elements), percent):
         borders = (np.arange(1, parts * SECOND, dtype=np.float64) * (2.0**64 / (parts * SECOND))).astype(np.uint64)
         edges = sums[np.concatenate([[0], np.searchsorted(elements, borders), [len(elements)]])]
-        content = mixed(np.diff(edges)).reshape(parts, SECOND)
-        salt = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40))
+        content = mixed(np.diff(edges[:signing * SECOND + 1])).reshape(signing, SECOND)
+        salt = mixed(np.arange(signing, dtype=np.uint64) + np.uint64(band << 40))
         for k, picked in enumerate(combinations(range(SECOND), SECOND - MISSED)):
             sign = salt + np.uint64(k)
             for j, c in enumerate(picked):
@@ -345,7 +352,7 @@ def tile_pairs(group, percent: int, every: bool):
     """Phase 4: of each tile the spanning forest of closest pairs that may link, or every such pair across components."""
     import pyarrow as pa
 
-    tiles = list(zip(*(group.column(c).to_pylist() for c in ("group", "low", "high"))))
+    tiles = list(zip(*(group.column(c).to_pylist() for c in ("group", "cell", "low", "high"))))
     docs, sizes, parts = (group.column(c).to_numpy() for c in ("doc", "n", "component"))
     sketches = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
     members: dict[tuple, list[int]] = {}
@@ -354,15 +361,17 @@ def tile_pairs(group, percent: int, every: bool):
     found = []
     for mine in map(np.array, members.values()):
         rows, columns, weights = [], [], []
+        widths = np.array([len(sketches[k]) for k in mine])
         for i, j, differing in tile_distances([sketches[k] for k in mine], sizes[mine], percent):
             a, b = mine[i], mine[j]
             ok = may_link(differing, sizes[a][:, None], sizes[b][None], percent) & (docs[a][:, None] != docs[b][None])
+            ok &= (widths[i][:, None] != widths[j][None]) | (i[:, None] < j[None])  # each pair once
             if every:
                 ok &= parts[a][:, None] != parts[b][None]
             p, q = np.nonzero(ok)
-            rows.append(a[p])
-            columns.append(b[q])
-            weights.append(differing[p, q])
+            rows.append(a[p].astype(np.int32))
+            columns.append(b[q].astype(np.int32))
+            weights.append(differing[p, q].astype(np.int32))
         a, b = np.concatenate(rows), np.concatenate(columns)
         if not every:
             keep = spanning(a, b, np.concatenate(weights))
@@ -452,17 +461,20 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     reps = known.select("doc", "n", "a", "b", "sketch").join(classes, ["n", "a", "b"]).where("doc = least").select("doc", "n", "sketch").distinct()
     grouped = durable(reps.join(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), "doc"))
     width = F.ceil(F.col("many") / BLOCK).cast("int")
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
+    # Sizes of linked sets are at most one size band apart: a cell holds a band and the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / rule.percent)))).cast("int")
+    celled = grouped.withColumn("cell", F.explode(F.array(band, band - 1)))
+    sizes = celled.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("many"))
     block = F.pmod(F.xxhash64("doc"), width).cast("int")
-    cut = grouped.join(sizes, "group").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
+    cut = celled.join(sizes, ["group", "cell"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
     tiles = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    bucket = F.pmod(F.xxhash64("group", "low", "high"), F.lit(chunks)).cast("int")
+    bucket = F.pmod(F.xxhash64("group", "cell", "low", "high"), F.lit(chunks)).cast("int")
 
     def pairs(parts: DataFrame | None, every: bool) -> DataFrame:
         rows = tiles.withColumn("component", F.col("doc"))
         if parts is not None:
             rows = tiles.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        rows = rows.select(bucket.alias("bucket"), "group", "low", "high", "doc", "component", "n", "sketch")
+        rows = rows.select(bucket.alias("bucket"), "group", "cell", "low", "high", "doc", "component", "n", "sketch")
         return rows.groupBy("bucket").applyInArrow(lambda g: tile_pairs(g, rule.percent, every), "a long, b long").distinct()
 
     closest = durable(pairs(None, False))
