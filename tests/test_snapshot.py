@@ -188,7 +188,7 @@ def test_similar_contents_loses_no_pair(spark):
 
 
 def test_options_are_the_documented_defaults():
-    assert (CompareOptions().rename_threshold, CompareOptions().min_moved_files, CompareOptions().max_compare_bytes) == (0.55, 3, 524288)
+    assert (CompareOptions().rename_threshold, CompareOptions().min_moved_files, CompareOptions().max_compare_bytes) == (0.55, 3, None)
 
 
 def test_banded_pairs_give_the_same_renames(spark):
