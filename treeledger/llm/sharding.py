@@ -57,8 +57,7 @@ crc_table AS (
 SHARDS_SQL = f"""
 WITH {CRC_SQL},
 hexed AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
-digits AS (SELECT doc_id, source, h, list_transform(range(CAST(length(h) // 2 AS BIGINT)),
-  lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bytes FROM hexed),
+digits AS (SELECT doc_id, source, h, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM hexed),
 base AS (
   SELECT doc_id, source, CAST(length(h) // 2 + 8 AS BIGINT) AS size,
     xor(list_reduce(bytes, lambda c, b: xor(c // 256, entries[(xor(c % 256, b)) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32,
