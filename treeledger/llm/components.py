@@ -12,16 +12,17 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it reaches) for the nodes of ``links`` (a, b: long).
 
     Each round takes the least label of the neighbours and then the label of that label,
-    so long chains shrink geometrically. Labels are stored once a round; a node with very
+    so long chains shrink geometrically. All joins are by shuffle: a broadcast for each of many
+    rounds would fill the driver. Labels are stored once a round; a node with very
     many links is combined before the shuffle.
     """
     both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
-        told = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("told"))
-        heard = labels.join(told.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "told").alias("near"))
+        told = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("component").alias("told"))
+        heard = labels.join(told.withColumnRenamed("a", "node").hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "told").alias("near"))
         beyond = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        labels = durable(heard.join(beyond, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("old")).alias("moved")))
+        labels = durable(heard.join(beyond.hint("merge"), "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("old")).alias("moved")))
         if labels.where("moved").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
