@@ -463,18 +463,19 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     width = F.ceil(F.col("many") / BLOCK).cast("int")
     # Sizes of linked sets are at most one size band apart: a cell holds a band and the next.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(100 / rule.percent)))).cast("int")
-    celled = grouped.withColumn("cell", F.explode(F.array(band, band - 1)))
+    celled = grouped.select("group", "doc", F.explode(F.array(band, band - 1)).alias("cell"))
     sizes = celled.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("many"))
     block = F.pmod(F.xxhash64("doc"), width).cast("int")
     cut = celled.join(sizes, ["group", "cell"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
-    tiles = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    keys = cut.select("group", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc")
     bucket = F.pmod(F.xxhash64("group", "cell", "low", "high"), F.lit(chunks)).cast("int")
+    tiles = durable(keys.withColumn("bucket", bucket)).join(grouped.select("doc", "n", "sketch"), "doc")  # stored, to keep later plans small
 
     def pairs(parts: DataFrame | None, every: bool) -> DataFrame:
         rows = tiles.withColumn("component", F.col("doc"))
         if parts is not None:
             rows = tiles.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        rows = rows.select(bucket.alias("bucket"), "group", "cell", "low", "high", "doc", "component", "n", "sketch")
+        rows = rows.select("bucket", "group", "cell", "low", "high", "doc", "component", "n", "sketch")
         return rows.groupBy("bucket").applyInArrow(lambda g: tile_pairs(g, rule.percent, every), "a long, b long").distinct()
 
     closest = durable(pairs(None, False))
