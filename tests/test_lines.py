@@ -4,7 +4,7 @@ import random
 
 from conftest import rows
 
-from treeledger.operators import alignment, lines
+from treeledger.operators import alignment, lines, similar
 from treeledger.options import CompareOptions
 
 
@@ -96,3 +96,23 @@ def test_word_spans(spark):
     df = spark.createDataFrame([(1, "a = foo(1)", "a = foo(2)"), (2, "abc", "xyz"), (3, "s", "s")], "id int, before string, after string")
     got = {r["id"]: (r["old_spans"], r["new_spans"]) for r in lines.word_spans(df, ["id"]).collect()}
     assert got == {1: ([[8, 9]], [[8, 9]]), 2: ([], []), 3: ([], [])}
+
+
+def test_one_moved_line_costs_only_itself(spark):
+    old = [f"line {k}" for k in range(40)]
+    new = [*old[1:], old[0]]
+    df = pairs(spark, [("\n".join(old), "\n".join(new))])
+    got = rows(lines.line_ops(df, ["id"], CompareOptions(context_lines=0)), "op", "old_no", "new_no")
+    assert got == [("add", None, 40), ("del", 1, None)]
+
+
+def test_gaps_have_anchors_of_their_own(spark):
+    assert sorted(alignment.align(list("xaxbxmyaxbx"), list("axbmaxb"))) == [(1, 0), (2, 1), (3, 2), (5, 3), (7, 4), (8, 5), (9, 6)]
+
+
+def test_rename_survives_a_moved_line(spark):
+    old = [f"line {k}" for k in range(20)]
+    contents = spark.createDataFrame([("a", 1, 2, False, "o", "\n".join(old)), ("a", 1, 2, True, "n", "\n".join([*old[1:], old[0]]))],
+                                     "artifact string, old_seq int, new_seq int, is_new boolean, sha256 string, content string")
+    scores = spark.createDataFrame([("a", 1, 2, "o", "n")], "artifact string, old_seq int, new_seq int, old_class string, new_class string")
+    assert rows(similar.with_ordered_ratio(scores, contents, .55), "ratio") == [(.95,)]

@@ -1,22 +1,86 @@
-"""Ordered matching of two sequences by anchors, with windows and joins only.
-
-An anchor is an item that occurs once on each side and keeps its order with every other such
-item. From each anchor the match runs on over equal neighbours: first forward, then backward
-through what is left before the next anchor; the two ends of the sequences are anchors too.
-So shared heads and tails always match, moved items do not, and the result is the same
-whichever order the rows arrive in. A key's items meet in one task: they come from one text.
+"""Ordered matching of two sequences by anchors.
+
+An anchor is an item that occurs once on each side. ``aligned`` keeps a longest run of anchors
+in the same order on both sides, so a moved item costs only itself. From each anchor the match
+runs on over equal neighbours: first forward, then backward through what is left before the
+next anchor; the two ends of the sequences are anchors too. What is left of a gap is matched in
+the same way again, by the items that occur once within it. The result is the same whichever
+order the rows arrive in. A key's items meet in one task: they come from one text.
+
+``matched`` and the SQL state a narrower rule with windows and joins only: an anchor that any
+other anchor crosses is dropped, and gaps are not entered again. Where no anchors cross and no
+gap has anchors of its own, both rules agree.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
 
 
-def matched(items: DataFrame, keys: list[str]) -> DataFrame:
+def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of ``pairs`` (rising in their first places) that rises in the second places too."""
+    ends, at, before = [], [], []
+    for k, (_, new) in enumerate(pairs):
+        n = bisect_left(ends, new)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(new)
+            at.append(k)
+        else:
+            ends[n], at[n] = new, k
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def align(old: list, new: list) -> list[tuple[int, int]]:
+    """Matched places (from 0) of two sequences: anchors, runs from both ends of each gap, then the gaps' middles again."""
+    out, todo = [], [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        olds, news = Counter(old[a:b]), Counter(new[c:d])
+        where = {new[j]: j for j in range(c, d) if news[new[j]] == 1}
+        anchors = longest_rising([(i, where[old[i]]) for i in range(a, b) if olds[old[i]] == 1 and old[i] in where])
+        out += anchors
+        for (i, j), (p, q) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
+            i, j = i + 1, j + 1
+            while i < p and j < q and old[i] == new[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            while i < p and j < q and old[p - 1] == new[q - 1]:
+                p, q = p - 1, q - 1
+                out.append((p, q))
+            if i < p and j < q and (i, p, j, q) != (a, b, c, d):
+                todo.append((i, p, j, q))
+    return out
+
+
+def aligned(items: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, old_no, new_no) of matched items. ``items``: keys, is_new, no (from 1 without gaps), item."""
+    kinds = dict(items.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("no")
+        old, new = (rows.loc[rows["is_new"] == side, "item"].tolist() for side in (False, True))
+        pairs = sorted(align(old, new))
+        places = {"old_no": [i + 1 for i, _ in pairs], "new_no": [j + 1 for _, j in pairs]}
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(pairs) for k in keys}, **places}, dtype=object)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "old_no bigint", "new_no bigint"])
+    return items.select(*keys, "is_new", "no", "item").groupBy(*keys).applyInPandas(run, schema)
+
+
+def matched(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The rule of the SQL: as ``aligned``, but only with anchors that no other crosses, and without entering gaps again."""
     once = items.groupBy(*keys, "item").agg(
         F.sum((~F.col("is_new")).cast("long")).alias("olds"), F.sum(F.col("is_new").cast("long")).alias("news"),
         F.max(F.when(~F.col("is_new"), F.col("no"))).alias("old_no"), F.max(F.when(F.col("is_new"), F.col("no"))).alias("new_no"))
@@ -62,7 +126,7 @@ def matched(items: DataFrame, keys: list[str]) -> DataFrame:
 def edit_script(items: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, gap, op, old_no, new_no, item): kept, deleted and added items; ``gap`` is the old number of the last kept item before, 0 at the start."""
     items = durable(items)
-    pairs = matched(items, keys)
+    pairs = durable(aligned(items, keys))
     old = items.where("not is_new").select(*keys, F.col("no").alias("old_no"), "item").join(pairs, [*keys, "old_no"], "left")
     new = items.where("is_new").select(*keys, F.col("no").alias("new_no"), "item").join(pairs, [*keys, "new_no"], "left").where("old_no is null")
     op = F.when(F.col("new_no").isNull(), "del").otherwise("keep")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths, text
 from ..options import CompareOptions
-from .alignment import matched
+from .alignment import aligned
 from .durable import durable, fetch
 from .ordered import ordered
 from .snapshot import STEP
@@ -116,7 +116,7 @@ def similar_contents(contents: DataFrame, threshold: float) -> DataFrame:
 def with_ordered_ratio(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
     """Replace the bag ratio by the ordered one, 2 matched / (old + new lines), for pairs that passed the bag gate.
 
-    Classes are contents here; lines are matched by ``alignment.matched``.
+    Classes are contents here; lines are matched by ``alignment.aligned``.
     """
     pair = [*STEP, "old_class", "new_class"]
 
@@ -126,7 +126,7 @@ def with_ordered_ratio(pairs: DataFrame, contents: DataFrame, threshold: float)
 
     items = durable(side(False, "old_class").unionByName(side(True, "new_class")))
     sizes = items.groupBy(*pair).agg(F.count(F.lit(1)).alias("_all"))
-    hits = matched(items, pair).groupBy(*pair).agg(F.count(F.lit(1)).alias("_hits"))
+    hits = aligned(items, pair).groupBy(*pair).agg(F.count(F.lit(1)).alias("_hits"))
     scored = sizes.join(hits, pair, "left").select(*pair, (2.0 * F.coalesce("_hits", F.lit(0)) / F.col("_all")).alias("ratio"))
     return scored.where(F.col("ratio") >= threshold)
 
