@@ -78,6 +78,35 @@ def test_pair_lines(spark):
     assert rows(lines.pair_lines(script, ["id"]), "old_no", "new_no") == [(2, 2), (5, 4)]
 
 
+def test_rewrite_behind_a_new_line_is_paired(spark):
+    old = "keep\nvalue = compute(alpha, 1)\nother = load(beta, gamma)\n\nend\n"
+    new = "keep\n# quite another remark here\nvalue = compute(alpha, 2)\nother = load(beta, delta)\nend\n"
+    script = lines.line_script(pairs(spark, [(old, new)]), ["id"])
+    assert rows(lines.pair_lines(script, ["id"]), "old_no", "new_no") == [(2, 3), (3, 4)]
+
+
+def test_pair_lines_equals_every_pair(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 6)))
+    script = [(k, 0, op, n if op == "del" else None, n if op == "add" else None, line()) for k in range(12) for op in ("del", "add") for n in range(1, 2 + rng.randrange(7))]
+    df = spark.createDataFrame(script, "id int, gap long, op string, old_no long, new_no long, item string")
+
+    def words(x):
+        return set(x.split(" ")) - {""} | ({" "} if " " in x else set())
+
+    want = []
+    for k in range(12):
+        olds, news = ({r[3] or r[4]: words(r[5]) for r in script if r[0] == k and r[2] == op} for op in ("del", "add"))
+        scored = [(round(2 * len(a & b) / (len(a) + len(b)), 6) if a or b else 1.0, i, j) for i, a in olds.items() for j, b in news.items()]
+        used_old, used_new = set(), set()
+        for r, i, j in sorted((s for s in scored if s[0] >= .5), key=lambda s: (-s[0], s[1], s[2])):
+            if i not in used_old and j not in used_new:
+                used_old.add(i)
+                used_new.add(j)
+                want.append((k, i, j, r))
+    assert rows(lines.pair_lines(df, ["id"]), "id", "old_no", "new_no", "ratio") == sorted(want, key=repr)
+
+
 def test_changed_span_does_not_overlap(spark):
     got = lines.with_changed_span(pairs(spark, [("aaa", "aaaa"), ("abcd", "abXd"), ("", "x"), ("ab", "ab")]))
     assert rows(got, "head", "tail", "was", "now") == [(0, 0, "", "x"), (2, 0, "", ""), (2, 1, "c", "X"), (3, 0, "", "a")]
