@@ -39,3 +39,9 @@ def test_nothing_to_compare(spark):
     assert neardup.near_vectors(df.limit(0)).count() == 0
     one = spark.createDataFrame([(5, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in neardup.near_vectors(one).collect()} == {(5, 2, 2, False), (2, 2, 2, True), (None, 2, 2, False)}
+
+
+def test_every_length_is_searched(spark):
+    data = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [2.0]), (7, [2.0]), (8, [0.0, 1.0, 0.0, 0.0])]
+    got = {tuple(r) for r in neardup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True)}

@@ -14,14 +14,15 @@ become one weighted vector first. Lists and the queries on them are cut into blo
 bounded size, so a list with a third of all vectors is many tasks; a block returns link
 counts and the forest of its links, never the pairs.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or are not of the
-commonest length link with nothing. A null vec_id is never a component's id; rows that share
+Vectors of one length are compared; each length has an index of its own. Vectors that are
+null, empty, zero, or hold null or non-finite components link with nothing. A null vec_id is never a component's id; rows that share
 a vec_id count as one vector; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -172,44 +173,47 @@ def blocks(counts: DataFrame, size: int, lists: int) -> list[int]:
     return [max(1, -(-found.get(k, 0) // size)) for k in range(lists)]
 
 
+def length_links(classes: DataFrame, many: int, options: Quantiser) -> DataFrame:
+    """Link counts and forests (see ``block_links``) of ``many`` distinct vectors of one length, stored."""
+    sample = classes.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(options.sample).collect()
+    lists = min(options.most_lists, max(1, round(many**0.5 / 4)))
+    index = fit(unit(np.array([r.vector for r in sample])), lists, options)
+    lists = len(index.centroids)
+    known = durable(classes.mapInArrow(lambda it: assigned(it, index), ASSIGNED))
+    asks = known.select("id", "weight", "vector", F.col("list").alias("home"), F.explode("probes").alias("list"))
+    in_list, on_list = (F.array(*map(F.lit, b)) for b in (
+        blocks(known.groupBy("list").agg(F.count(F.lit(1)).alias("n")), options.residents, lists),
+        blocks(asks.groupBy("list").agg(F.count(F.lit(1)).alias("n")), options.queries, lists)))
+    spot = F.col("list") + 1
+
+    def dealt(df, own, other, own_blocks, other_blocks):
+        mine = df.withColumn(own, F.pmod(F.xxhash64("id"), F.element_at(own_blocks, spot)).cast("int"))
+        return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.element_at(other_blocks, spot) - 1)))
+
+    residents = dealt(known.drop("probes"), "r", "q", in_list, on_list)
+    queries = dealt(asks.withColumn("own", F.col("home") == F.col("list")).drop("home"), "q", "r", on_list, in_list)
+    keys = ["list", "r", "q"]
+    return durable(residents.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(lambda r, q: block_links(r, q, index, options), "a long, b long, n long"))
+
+
 def near_vectors(vectors: DataFrame, options: Quantiser = Quantiser()) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     value = F.col("embedding")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(value, lambda x: x != 0)
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), value.cast("array<double>").alias("vector"), F.coalesce(finite, F.lit(False)).alias("usable"))
-    length = rows.where("usable").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    found = None
-    if length is not None:
-        rows = rows.withColumn("usable", F.col("usable") & (F.size("vector") == length.d))
-        classes = durable(rows.where("usable").groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
-        many = classes.count()
-        sample = classes.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(options.sample).collect()
-        lists = min(options.most_lists, max(1, round(many**0.5 / 4)))
-        index = fit(unit(np.array([r.vector for r in sample])), lists, options)
-        lists = len(index.centroids)
-        known = durable(classes.mapInArrow(lambda it: assigned(it, index), ASSIGNED))
-        asks = known.select("id", "weight", "vector", F.col("list").alias("home"), F.explode("probes").alias("list"))
-        in_list, on_list = (F.array(*map(F.lit, b)) for b in (
-            blocks(known.groupBy("list").agg(F.count(F.lit(1)).alias("n")), options.residents, lists),
-            blocks(asks.groupBy("list").agg(F.count(F.lit(1)).alias("n")), options.queries, lists)))
-        spot = F.col("list") + 1
-
-        def dealt(df, own, other, own_blocks, other_blocks):
-            mine = df.withColumn(own, F.pmod(F.xxhash64("id"), F.element_at(own_blocks, spot)).cast("int"))
-            return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.element_at(other_blocks, spot) - 1)))
-
-        residents = dealt(known.drop("probes"), "r", "q", in_list, on_list)
-        queries = dealt(asks.withColumn("own", F.col("home") == F.col("list")).drop("home"), "q", "r", on_list, in_list)
-        keys = ["list", "r", "q"]
-        told = durable(residents.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(lambda r, q: block_links(r, q, index, options), "a long, b long, n long"))
+    classes = durable(rows.where("usable").groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
+    sizes = classes.groupBy(F.size("vector").alias("d")).count().where("count > 1").orderBy("d").collect()
+    found = classes.select(F.col("id").alias("node"), F.col("vector").alias("same"), "weight")
+    others, part = F.lit(0), F.col("node")
+    if sizes:
+        told = [length_links(classes.where(F.size("vector") == r.d), r["count"], options) for r in sizes]
+        told = reduce(DataFrame.unionByName, told)
         counts = told.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
         parts = components(told.where("b is not null").select("a", "b"))
-        found = classes.withColumnRenamed("id", "node").join(counts, "node", "left").join(parts, "node", "left").select(
-            F.col("vector").alias("same"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("part"))
-    if found is None:
-        out = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("part"))
-    else:
-        out = rows.join(found, F.col("usable") & (F.col("vector") == F.col("same")), "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "id").alias("part"))
+        found = found.join(counts, "node", "left").join(parts, "node", "left")
+        others, part = F.coalesce("others", F.lit(0)), F.coalesce("component", "node")
+    found = found.select("same", (others + F.col("weight") - 1).alias("n_links"), part.alias("part"))
+    out = rows.join(found, F.col("usable") & (F.col("vector") == F.col("same")), "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "id").alias("part"))
     return out.select(
         F.nullif("id", F.lit(NULL_ID)).alias("vec_id"), "n_links", F.nullif("part", F.lit(NULL_ID)).alias("component_id"), (F.col("id") == F.col("part")).alias("kept"))
 
