@@ -1,4 +1,4 @@
-"""Repeated byte strings removed but for their first copy, by longest previous factors.
+"""Repeated byte strings removed but for their first copy, by grouping equal windows.
 
 A byte goes when a string of ``least`` bytes over it also starts in a document with a
 smaller doc_id. The suffix order is sharded so that nothing is ever sorted as a whole:
@@ -12,8 +12,9 @@ smaller doc_id. The suffix order is sharded so that nothing is ever sorted as a
    names occur in more than one document. Each chunk sends a name once, so the most
    frequent passage costs a bucket one entry per chunk.
 3. Chunks send the strings of shared names, equal strings once with the least document.
-   A bucket sorts the suffixes of its distinct strings and takes, from the previous smaller
-   document in suffix order, which of them have an earlier match of ``least`` bytes.
+   A bucket sorts the windows of ``least`` bytes of its distinct strings; the least document of
+   each run of equal windows tells which have an earlier match. No longest-previous-factor array
+   is built: matches beyond ``least`` bytes do not change which bytes go.
 4. The spans go back to the chunks and are united.
 
 Documents are shuffled once and the shuffle serves all three passes over them. Texts are
