@@ -162,6 +162,21 @@ def test_answers_and_citations(spark):
         "db.py": "helpers/db.py", "util.py": None, "`helpers/db.py:12`": "helpers/db.py", "a/b.py": "a/b.py", "/new/helpers/db.py": "helpers/db.py", "nope": None}
 
 
+def test_answers_are_whole_unless_limited(spark):
+    import json
+
+    from treeledger.options import AnswerOptions
+
+    item = {"title": "t" * 500, "detail": "d" * 2000}
+    text = json.dumps({"headline": "h" * 500, "summary": "s" * 5000, "changes": [item] * 12, "risks": [item] * 11, "checklist": ["c" * 400] * 10})
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = review.parse_answers(df).first()
+    assert [len(got[c]) for c in ("headline", "summary", "changes", "risks", "checklist")] == [500, 5000, 12, 11, 10]
+    assert len(got["changes"][11]["title"]) == 500 and len(got["risks"][10]["detail"]) == 2000 and len(got["checklist"][9]) == 400
+    cut = review.parse_answers(df, options=AnswerOptions(changes=8, headline_chars=160)).first()
+    assert (len(cut["changes"]), len(cut["headline"]), len(cut["risks"])) == (8, 160, 11)
+
+
 def test_greedy_fill_and_sections_in_small_pieces(spark):
     import random
 

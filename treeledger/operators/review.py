@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..options import ReviewOptions
+from ..options import AnswerOptions, ReviewOptions
 from .durable import durable
 from .ordered import ordered, top_per_group
 
@@ -171,9 +171,11 @@ def tiered_budget(files: DataFrame, changed: DataFrame, keys: list[str], total:
         marked.where(F.col("reason").isNotNull()).withColumn("included", F.lit(False)))
 
 
-def clip(value: Column, limit: int) -> Column:
-    """Collapse spaces and cut to ``limit`` characters with an ellipsis."""
+def clip(value: Column, limit: int | None) -> Column:
+    """Collapse spaces and cut to ``limit`` characters, if there is one, with an ellipsis."""
     text = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
+    if limit is None:
+        return text
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…")))
 
 
@@ -201,11 +203,11 @@ def json_span(answer: Column) -> Column:
     return F.coalesce(valid(outer), valid(second), valid(third))
 
 
-def parse_answers(answers: DataFrame, key: str = "id", column: str = "text") -> DataFrame:
+def parse_answers(answers: DataFrame, key: str = "id", column: str = "text", options: AnswerOptions = AnswerOptions()) -> DataFrame:
     """Answers as typed columns; prose without JSON is kept as the summary.
 
-    Lists are cut to 8 changes, 6 risks and 8 steps, texts to their limits, unknown
-    kinds and levels to their defaults. Citations are left raw: see ``resolve_citations``.
+    Lists and texts are whole unless ``options`` limits them; unknown kinds and levels become
+    their defaults. Citations are left raw: see ``resolve_citations``.
     """
     spans = answers.select(key, F.col(column).alias("_text"), json_span(F.col(column)).alias("_json"))
     parsed = spans.withColumn("_a", F.from_json("_json", ANSWER))
@@ -221,19 +223,22 @@ def parse_answers(answers: DataFrame, key: str = "id", column: str = "text") ->
         return F.when(low.isin(*CHANGE_KINDS), low).otherwise("other")
 
     changes = F.transform(F.filter(a["changes"], lambda i: F.coalesce(i["title"], F.lit("")) != ""), lambda i: F.struct(
-        kind(i).alias("kind"), clip(i["title"], 120).alias("title"), clip(i["detail"], 600).alias("detail"), cited(i).alias("files")))
+        kind(i).alias("kind"), clip(i["title"], options.title_chars).alias("title"), clip(i["detail"], options.detail_chars).alias("detail"), cited(i).alias("files")))
     risks = F.transform(F.filter(a["risks"], lambda i: F.coalesce(i["title"], F.lit("")) != ""), lambda i: F.struct(
-        level(i["level"], "medium").alias("kind"), clip(i["title"], 120).alias("title"), clip(i["detail"], 600).alias("detail"), cited(i).alias("files")))
-    steps = F.transform(F.filter(a["checklist"], lambda s: F.trim(F.coalesce(s, F.lit(""))) != ""), lambda s: clip(s, 240))
+        level(i["level"], "medium").alias("kind"), clip(i["title"], options.title_chars).alias("title"), clip(i["detail"], options.detail_chars).alias("detail"), cited(i).alias("files")))
+    steps = F.transform(F.filter(a["checklist"], lambda s: F.trim(F.coalesce(s, F.lit(""))) != ""), lambda s: clip(s, options.step_chars))
     nothing = F.array()
+
+    def first(items: Column, limit: int | None) -> Column:
+        return F.coalesce(items if limit is None else F.slice(items, 1, limit), nothing)
+
     first_sentence = F.split(prose, r"(?<=[.!?])\s", 2).getItem(0)
     return parsed.select(
         key, structured.alias("structured"),
-        F.when(structured, clip(a["headline"], 160)).otherwise(clip(first_sentence, 160)).alias("headline"),
-        F.when(structured, clip(a["summary"], 1500)).otherwise(clip(prose, 4000)).alias("summary"),
-        level(a["risk"]).alias("risk"), clip(a["risk_reason"], 240).alias("risk_reason"),
-        F.coalesce(F.slice(changes, 1, 8), nothing).alias("changes"), F.coalesce(F.slice(risks, 1, 6), nothing).alias("risks"),
-        F.coalesce(F.slice(steps, 1, 8), nothing).alias("checklist"))
+        F.when(structured, clip(a["headline"], options.headline_chars)).otherwise(clip(first_sentence, options.headline_chars)).alias("headline"),
+        F.when(structured, clip(a["summary"], options.summary_chars)).otherwise(clip(prose, options.prose_chars)).alias("summary"),
+        level(a["risk"]).alias("risk"), clip(a["risk_reason"], options.reason_chars).alias("risk_reason"),
+        first(changes, options.changes).alias("changes"), first(risks, options.risks).alias("risks"), first(steps, options.steps).alias("checklist"))
 
 
 def cleaned_citation(cited: Column) -> Column:

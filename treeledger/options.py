@@ -105,6 +105,22 @@ class CompareOptions:
     max_size_ratio: float = 5.0
 
 
+@dataclass(frozen=True)
+class AnswerOptions:
+    """Most entries of an answer's lists and most characters of its texts (None = all)."""
+
+    changes: int | None = None
+    risks: int | None = None
+    steps: int | None = None
+    headline_chars: int | None = None
+    summary_chars: int | None = None
+    prose_chars: int | None = None
+    title_chars: int | None = None
+    detail_chars: int | None = None
+    step_chars: int | None = None
+    reason_chars: int | None = None
+
+
 @dataclass(frozen=True)
 class ReviewOptions:
     """Budgets for the text handed to a reviewer."""
