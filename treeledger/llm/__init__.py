@@ -1,6 +1,6 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-MODULES = ("mixing", "langid", "urlfilter", "neardup", "merkle", "packing", "sharding", "suffixes", "jaccard", "extraction")
+MODULES = ("mixing", "langid", "urlfilter", "neardup", "merkle", "packing", "sharding", "suffixes", "jaccard", "extraction", "manifest", "codes", "chat")
 
 
 def load():
