@@ -65,7 +65,7 @@ def first_codebooks(rows: DataFrame, entries: int) -> Codebooks:
     first = top_per_group(rows.select("length", "vec_id", "whole"), ["length"], order, entries, "rank_").collect()
     found: Codebooks = {}
     for length in {r.length for r in first}:
-        vectors = np.array([r.whole for r in sorted((r for r in first if r.length == length), key=lambda r: r.rank_)], dtype=np.int64).reshape(-1, length)
+        vectors = np.array([r.whole for r in sorted((r for r in first if r.length == length), key=lambda r: r.rank_)], dtype=np.int64)
         found |= {(length, p): vectors[:, bounds(length, p)] for p in range(PARTS)}
     return found
 

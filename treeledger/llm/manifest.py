@@ -143,7 +143,7 @@ def manifest(docs: DataFrame, changed: Column | None = None, depth: int = DEPTH)
     rows = docs.select(
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("group"), "doc_id", leaf().alias("digest"),
         F.when(edited.isNotNull() & (edited != F.col("text")), leaf({"text": edited})).alias("changed_leaf"))
-    ranked = placed(rows, ["doc_id", "digest"], ("group",))
+    ranked = placed(durable(rows), ["doc_id", "digest"], ("group",))
     leaves = ranked.select("group", "at", "of", "digest", F.struct("doc_id", "changed_leaf").alias("more"))
     return nodes_of(climb(leaves, depth, over_sources(depth))).select(
         "more.doc_id", F.when(F.col("group") != "n", F.substring("group", 2, 2**31 - 1)).alias("source"), "at", F.col("digest").alias("leaf"),
