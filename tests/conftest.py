@@ -24,9 +24,3 @@ def small_dir():
     if not folder.exists():
         pytest.skip("supplied tables not present")
     return folder
-
-
-def rows(df, *columns):
-    """Collected rows as a sorted list of tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -3,7 +3,7 @@
 import io
 import zipfile
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from treeledger.operators import dependencies, extract, findings, review

@@ -1,6 +1,6 @@
 """Numbering, selection, identity and set operators on small inputs."""
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from treeledger.operators import history, identity, sets

@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import rows
+from helpers import rows
 
 from treeledger.operators import alignment, lines, similar
 from treeledger.options import CompareOptions

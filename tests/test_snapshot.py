@@ -1,7 +1,7 @@
 """Comparison behaviour on small trees."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from treeledger.operators import changes, facts, similar, snapshot
