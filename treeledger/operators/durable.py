@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -34,6 +35,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again; ``before``, an earlier such table, is removed.
+
+    For loops: a checkpoint carries the estimated size of its plan along, and a join multiplies the sizes of
+    its sides, so the estimate of a table joined with itself in every round has a number of digits that grows
+    by the power of the rounds. A table that is read has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if before is not None and hasattr(before, "stored_at"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(before.stored_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.stored_at = path
+    return again
+
+
 BROADCAST_ROWS = 100_000
 
 
