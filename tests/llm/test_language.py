@@ -60,3 +60,10 @@ def test_learns_from_text_and_language_alone(spark, small_dir):
 
     plain = langid.training_sample(docs)
     assert plain == langid.training_sample(docs.withColumn("doc_id", -F.col("doc_id")).withColumn("source", F.lit("x")))
+
+
+def test_a_language_of_mostly_one_text_is_learned(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'en', 'de') AS lang", "IF(id % 2 = 0, IF(id < 40, concat('an english text ', id), 'the same english text'), concat('ein deutscher text ', id)) AS text")
+    sample = langid.training_sample(docs)
+    found = {lang: sum(1 for x, _ in sample if x == lang) for lang in ("en", "de")}
+    assert found["en"] == 21 and found["de"] == langid.Training().per_language

@@ -26,9 +26,11 @@ differing bits are never more than the differing elements, so it only rejects pa
 cannot link. Signatures travel in five bytes and sets in six-byte hashes: chance equality of
 signatures costs a comparison, of element hashes (2 ** -48 a pair) an element.
 
-Null and wordless texts have empty sets and no links; a null doc_id never is a component's
-id; rows that share a doc_id count as one document; an empty table gives no rows; extra
-columns are dropped.
+Nodes are classes of equal sets, named by their least doc_id; where that is null or names two
+classes (rows that share a doc_id), by a 61-bit digest of the set above all doc_ids under 2 ** 61. So rows are
+linked by their own text only, whatever their doc_ids. Null and wordless texts have empty sets and no
+links; a null doc_id never is a component's id (null if the component has no other); an empty table gives no
+rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.llm.bytesets import LOWER, MULTIPLIER, WEIGHTS, binary_parts, by_bucket, joined, mixed, packed
+from treeledger.llm.columns import veiled
 from treeledger.llm.components import components
 from treeledger.llm.neardup import forest
 from treeledger.llm.registry import query
@@ -50,6 +53,7 @@ from treeledger.operators.durable import durable, fetch
 from treeledger.sources.adapters import table
 
 NULL_ID = 2**63 - 1
+COPY = -(2**63)
 CHUNK_ROWS = 4096
 LEAST_CHUNKS = 64
 BLOCK = 512
@@ -61,7 +65,7 @@ SECOND, MISSED = 3, 1
 MANY_PARTS = 160
 SPARE = 3
 
-DESCRIBED = "doc long, n long, a long, b long, sketch binary"
+DESCRIBED = "doc long, t long, n long, a long, b long, sketch binary"
 SIGNED = "chunk int, doc long, a long, n long, fold binary, signs binary"
 SENT = "bucket int, chunk int, once binary, many binary, counts binary"
 ANSWERS = "chunk int, names binary, frequent binary, totals binary"
@@ -173,10 +177,10 @@ def from_five_bytes(parts: list[bytes]) -> np.ndarray:
 
 def described(batches, rule: Rule):
     """Phase 1: one row per document."""
-    for doc, elements in document_sets(batches, rule.words):
-        n = len(elements)
+    for row, elements in document_sets(batches, rule.words, "row"):
+        n, doc, t = len(elements), row["doc"], row["t"]
         digest = np.array([mixed(elements).sum(), (mixed(elements ^ SALTS[0]) * SALTS[1]).sum()], np.uint64).view(np.int64).tolist() if n else [0, 0]
-        yield doc, n, *digest, parity_sketch(elements).tobytes() if n else b""
+        yield doc, t, n, *digest, parity_sketch(elements).tobytes() if n else b""
 
 
 def signed(batches, rule: Rule, chunks: int):
@@ -186,18 +190,22 @@ def signed(batches, rule: Rule, chunks: int):
         if len(elements):
             a = int(mixed(elements).sum().view(np.int64))
             fold = folded(parity_sketch(elements), FOLD_WORDS).tobytes()
-            chunk = int(mixed(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(chunks))
+            chunk = int(chunk_of(np.array([doc]), np.array([a]), chunks)[0])
             yield chunk, doc, a, len(elements), fold, five_bytes(np.unique(signatures(elements, rule.percent) & low))
 
 
-def document_sets(batches, words: int):
-    """(doc, set) of every document."""
+def chunk_of(doc: np.ndarray, a: np.ndarray, chunks: int) -> np.ndarray:
+    return (mixed(mixed(doc.view(np.uint64)) ^ a.view(np.uint64)) % np.uint64(chunks)).astype(np.int32)
+
+
+def document_sets(batches, words: int, key: str = "doc"):
+    """(key, set) of every document."""
     import pyarrow as pa
 
     for batch in batches:
         group = pa.Table.from_batches([batch])
         data, offsets = binary_parts(group, "text")
-        for r, doc in enumerate(group.column("doc").to_pylist()):
+        for r, doc in enumerate(group.column(key).to_pylist()):
             yield doc, shingle_set(data[offsets[r]:offsets[r + 1]], words)
 
 
@@ -213,9 +221,13 @@ def batched(rows, schema: str, at_once: int = 2000):
 
 
 def chunk_signs(group):
-    """Of the classes' least documents in a chunk: ids, sizes, folds, all signatures and the document each is of."""
-    marks = {(d, a) for d, a, m in zip(*(group.column(c).to_pylist() for c in ("doc", "a", "mark"))) if m}
-    rows = [r for r in zip(*(group.column(c).to_pylist() for c in ("doc", "a", "n", "fold", "signs", "mark"))) if not r[5] and (r[0], r[1]) not in marks]
+    """Of the classes' least documents in a chunk: nodes, sizes, folds, all signatures and the document each is of.
+
+    Marks give rows another node; ``COPY`` marks rows of a class that another row stands for.
+    """
+    marks = {(d, a): m for d, a, m in zip(*(group.column(c).to_pylist() for c in ("doc", "a", "mark"))) if m is not None}
+    own = (r for r in zip(*(group.column(c).to_pylist() for c in ("doc", "a", "n", "fold", "signs", "mark"))) if r[5] is None)
+    rows = [(marks.get(r[:2], r[0]), *r[1:]) for r in own if marks.get(r[:2]) != COPY]
     signs = from_five_bytes([r[4] for r in rows])
     place = np.repeat(np.arange(len(rows)), [len(r[4]) // 5 for r in rows])
     return np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), joined([r[3] for r in rows], np.uint64).reshape(-1, FOLD_WORDS), signs, place
@@ -433,32 +445,47 @@ def linked(batches, percent: int):
         yield from t.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
 
 
-def checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The stored pairs (a, b) whose sets are similar enough, stored."""
-    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    sets = fetch(texts, needed, ["doc"]).select("doc", "text").mapInArrow(lambda it: batched(sets_of(it, rule.words), "doc long, elements binary", 200), "doc long, elements binary")
+def checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
+    """The stored pairs (a, b) of nodes whose sets are similar enough, stored."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = durable(ends.join(reps, "node").select("node", "doc", "t"))
+    found = fetch(texts, needed, ["doc", "t"]).select(F.col("node").alias("doc"), "text")
+    sets = found.mapInArrow(lambda it: batched(sets_of(it, rule.words), "doc long, elements binary", 200), "doc long, elements binary")
     both = pairs.join(sets.select(F.col("doc").alias("a"), "elements"), "a").join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("elements_b")), "b")
     return durable(both.mapInArrow(lambda it: linked(it, rule.percent), "a long, b long").distinct())
 
 
-def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    known = durable(texts.mapInArrow(lambda it: batched(described(it, rule), DESCRIBED), DESCRIBED))
-    classes = durable(known.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("least")))
-    chunks = max(LEAST_CHUNKS, -(-classes.count() // CHUNK_ROWS))
-    own = texts.mapInArrow(lambda it: batched(signed(it, rule, chunks), SIGNED), SIGNED).withColumn("mark", F.lit(False))
-    copies = known.select("doc", "n", "a", "b").join(classes, ["n", "a", "b"]).where("doc > least").select("doc", "a", F.lit(True).alias("mark")).distinct()
-    copies = copies.mapInArrow(lambda it: placed_marks(it, chunks), "chunk int, doc long, a long, mark boolean")
-    dealt = own.unionByName(copies, allowMissingColumns=True)
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc (NULL_ID for null), a digest of the text, and the text of every row."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def components_of_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc, t, n, node, component and component_id for every row of ``docs``; node and component are null for empty sets."""
+    texts = keyed_texts(docs)
+    known = durable(texts.select(F.struct("doc", "t").alias("row"), "text").mapInArrow(lambda it: batched(described(it, rule), DESCRIBED), DESCRIBED))
+    alike = known.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("doc", "t")).alias("rep"))
+    shared = durable(alike.groupBy("rep.doc").agg(F.count(F.lit(1)).alias("named")).where(F.col("named") > 1))
+    by_digest = F.lit(2**61) + F.shiftrightunsigned(F.xxhash64("n", "a", "b"), 3)
+    named = alike.select("n", "a", "b", "rep.doc", "rep.t").join(shared, "doc", "left")
+    classes = durable(named.withColumn("node", F.when(F.col("named").isNull() & (F.col("doc") != NULL_ID), F.col("doc")).otherwise(by_digest)).drop("named"))
+    reps = classes.select("node", "doc", "t")
+    chunks = max(LEAST_CHUNKS, -(-known.count() // CHUNK_ROWS))
+    own = texts.mapInArrow(lambda it: batched(signed(it, rule, chunks), SIGNED), SIGNED)
+    members = known.select("doc", "n", "a", "b").join(classes.select("n", "a", "b", "node", F.col("doc").alias("least")), ["n", "a", "b"])
+    mark = F.when(F.col("doc") != F.col("least"), F.lit(COPY)).otherwise(F.col("node"))
+    marks = members.where("doc <> node").select("doc", "a", mark.alias("mark")).distinct()
+    marks = marks.mapInArrow(lambda it: placed_marks(it, chunks), "chunk int, doc long, a long, mark long")
+    dealt = own.unionByName(marks, allowMissingColumns=True)
     sent = dealt.groupBy("chunk").applyInArrow(lambda g: sent_signs(g, chunks), SENT)
     answers = sent.groupBy("bucket").applyInArrow(shared_signs, ANSWERS)
     met = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda g, a: meetings(g, a, chunks), MEETING)
     near = met.groupBy("bucket").applyInArrow(lambda g: candidate_forest(g, rule.percent), "a long, b long")
     groups = components(near)
 
-    reps = known.select("doc", "n", "a", "b", "sketch").join(classes, ["n", "a", "b"]).where("doc = least").select("doc", "n", "sketch").distinct()
-    grouped = durable(reps.join(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), "doc"))
+    sketched = known.select("doc", "t", "n", "sketch").join(reps, ["doc", "t"]).select(F.col("node").alias("doc"), "n", "sketch").distinct()
+    grouped = durable(sketched.join(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")), "doc"))
     width = F.ceil(F.col("many") / BLOCK).cast("int")
     sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
     block = F.pmod(F.xxhash64("doc"), width).cast("int")
@@ -474,14 +501,20 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         return rows.groupBy("bucket").applyInArrow(lambda g: tile_pairs(g, rule.percent, every), "a long, b long").distinct()
 
     closest = durable(pairs(None, False))
-    links = checked(closest, texts, rule)
+    links = checked(closest, texts, reps, rule)
     rest = durable(pairs(components(links), True).join(closest, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(checked(rest, texts, rule)))
+    found = components(links.unionByName(checked(rest, texts, reps, rule)))
+    least = found.join(reps, "node").groupBy("component").agg(F.min("doc").alias("component_id"))
+    placed = classes.select("n", "a", "b", "node", F.col("doc").alias("least")).join(found.join(least, "component"), "node", "left")
+    own_class = placed.select("n", "a", "b", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    return known.select("doc", "t", "n", "a", "b").join(own_class, ["n", "a", "b"], "left").select(
+        "doc", "t", "n", "node", "component", F.coalesce("component_id", "doc").alias("component_id"))
+
 
-    owned = known.select("doc", "n", "a", "b").join(classes.withColumnRenamed("least", "node"), ["n", "a", "b"], "left").join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc")
-    return owned.select(
-        F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"))
+def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
+    return components_of_rows(docs, rule).select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
 
 
 def placed_marks(batches, chunks: int):
@@ -489,14 +522,25 @@ def placed_marks(batches, chunks: int):
 
     for batch in batches:
         docs = batch.column("doc").to_numpy(zero_copy_only=False)
-        chunk = (mixed(docs.view(np.uint64)) % np.uint64(chunks)).astype(np.int32)
+        chunk = chunk_of(docs, batch.column("a").to_numpy(zero_copy_only=False), chunks)
         yield from pa.table({"chunk": chunk, "doc": batch.column("doc"), "a": batch.column("a"), "mark": batch.column("mark")}).to_batches()
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs`` without those that are linked to a smaller doc_id, over any number of links."""
-    gone = durable(similar_documents(docs, rule).where("doc_id <> component_id").select("doc_id").distinct())
-    return fetch(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """``docs`` without rows that are linked to another, over any number of links, but for one of each component.
+
+    The row with the smallest doc_id stays (null last; of rows that share it, one digest of the text, once).
+    """
+    rows = durable(components_of_rows(docs, rule).where("component IS NOT NULL").groupBy("component", "doc", "t").agg(F.count(F.lit(1)).alias("times")))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc", "t")).alias("first"))
+    judged = durable(rows.join(first, "component").select("doc", "t", "times", (F.struct("doc", "t") == F.col("first")).alias("stays")).where("times > 1 OR NOT stays"))
+    keys = {"doc_": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "t_": F.xxhash64(F.coalesce("text", F.lit("")))}
+    carried = veiled(docs, "doc_id", "text").withColumns(keys)
+    gone, repeated = (judged.where(c).select(F.col("doc").alias("doc_"), F.col("t").alias("t_")) for c in ("NOT stays", "stays"))
+    kept = fetch(carried, durable(gone), ["doc_", "t_"], "left_anti")
+    again = durable(repeated)
+    once = fetch(kept, again, ["doc_", "t_"], "left_semi").dropDuplicates(["doc_", "t_"])
+    return fetch(kept, again, ["doc_", "t_"], "left_anti").unionByName(once).drop("doc_", "t_").toDF(*docs.columns)
 
 
 @query("op9_partenum_join")

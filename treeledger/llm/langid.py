@@ -3,7 +3,7 @@
 Both directions read windows of ``window`` bytes; every byte is labelled from the two
 states at it, and a document's probabilities are the mean over its letter positions. The
 network is trained with numpy by backpropagation through time on a bounded sample of labelled
-rows (``per_language`` texts of each of at most ``languages`` languages, one excerpt of
+rows (``per_language`` distinct texts of each language, of the ``languages`` commonest where that is set; one excerpt of
 ``excerpt`` characters at a place drawn from the text), then applied to every byte of every
 text where the text lies: no shuffle.
 
@@ -35,7 +35,7 @@ class Training:
     hidden: int = 8
     window: int = 64
     per_language: int = 200
-    languages: int = 256
+    languages: int | None = None
     excerpt: int = 400
     epochs: int = 5
     batch: int = 128
@@ -203,10 +203,11 @@ def held_out() -> Column:
 def training_sample(labelled: DataFrame, options: Training = Training()) -> list[tuple[str, str]]:
     """(language, excerpt) of distinct texts, chosen and cut by a digest of the text alone."""
     known = labelled.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(options.languages).collect()}
+    digest, unit = F.xxhash64("text"), float(2**63)
+    texts = known.groupBy("lang").agg(F.approx_count_distinct(digest).alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = {r.lang: max(1, r.n) for r in (texts if options.languages is None else texts.limit(options.languages)).collect()}
     if not sizes:
         return []
-    digest, unit = F.xxhash64("text"), float(2**63)
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 3.0 * options.per_language / n)))))
     place = F.pmod(digest, F.greatest(F.lit(1), F.length("text") - options.excerpt)).cast("int") + 1
     thin = known.where(F.abs(digest / unit) < share[F.col("lang")]).select("lang", digest.alias("digest"), F.substring(F.col("text"), place, F.lit(options.excerpt)).alias("piece"))
