@@ -7,15 +7,17 @@ next anchor; the two ends of the sequences are anchors too. What is left of a ga
 the same way again, by the items that occur once within it. The result is the same whichever
 order the rows arrive in. A key's items meet in one task: they come from one text.
 
-``matched`` and the SQL state a narrower rule with windows and joins only: an anchor that any
-other anchor crosses is dropped, and gaps are not entered again. Where no anchors cross and no
-gap has anchors of its own, both rules agree.
+``matched`` states a narrower rule with windows and joins only, so one text of any length is shared
+by many tasks: an anchor that any other anchor crosses is dropped, and gaps are not entered again.
+The words of long lines are matched so. Where no anchors cross and no gap has anchors of its own,
+both rules agree.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,7 +82,7 @@ def aligned(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def matched(items: DataFrame, keys: list[str]) -> DataFrame:
-    """The rule of the SQL: as ``aligned``, but only with anchors that no other crosses, and without entering gaps again."""
+    """As ``aligned``, but only with anchors that no other crosses, and without entering gaps again."""
     once = items.groupBy(*keys, "item").agg(
         F.sum((~F.col("is_new")).cast("long")).alias("olds"), F.sum(F.col("is_new").cast("long")).alias("news"),
         F.max(F.when(~F.col("is_new"), F.col("no"))).alias("old_no"), F.max(F.when(F.col("is_new"), F.col("no"))).alias("new_no"))
@@ -123,10 +125,10 @@ def matched(items: DataFrame, keys: list[str]) -> DataFrame:
     return steady.unionByName(runs.select(*keys, F.explode(steps).alias("s")).select(*keys, "s.old_no", "s.new_no"))
 
 
-def edit_script(items: DataFrame, keys: list[str]) -> DataFrame:
+def edit_script(items: DataFrame, keys: list[str], match: Callable[[DataFrame, list[str]], DataFrame] = aligned) -> DataFrame:
     """(keys, gap, op, old_no, new_no, item): kept, deleted and added items; ``gap`` is the old number of the last kept item before, 0 at the start."""
     items = durable(items)
-    pairs = durable(aligned(items, keys))
+    pairs = durable(match(items, keys))
     old = items.where("not is_new").select(*keys, F.col("no").alias("old_no"), "item").join(pairs, [*keys, "old_no"], "left")
     new = items.where("is_new").select(*keys, F.col("no").alias("new_no"), "item").join(pairs, [*keys, "new_no"], "left").where("old_no is null")
     op = F.when(F.col("new_no").isNull(), "del").otherwise("keep")
