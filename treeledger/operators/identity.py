@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import broadcast
+from pyspark.sql.types import StringType
 
 from ..functions import paths
 from .durable import durable
@@ -38,37 +41,109 @@ def contains_join(haystacks: DataFrame, needles: DataFrame, haystack: str, needl
     return hits.join(needles, needle)
 
 
-LOOSE_PATTERNS = 1000
+PIECE = 3
+BATCH = 256
+# What an escape with a letter or digit takes with it.
+TAKEN = re.compile(r"x(\{[^}]*\}|..)|u....|[pPN](\{[^}]*\}|.)|k<[^>]*>|c.|0[0-7]{1,3}|[1-9][0-9]*|.", re.S)
 
 
-def literal_piece(pattern: Column) -> Column:
-    """The longest run of three or more letters, digits, dashes every match of a regular expression must hold; '' if none is sure.
+def required_literal(pattern: str) -> str:
+    """A run of ASCII characters, lower-cased, that every match of a regular expression holds; '' if none of ``PIECE`` is sure.
 
-    Escapes, classes and optional characters are cut out first; alternatives and
-    groups make nothing sure.
+    Only plain characters outside groups and classes are sure. A quantifier that allows none takes the character
+    before it away, any quantifier ends the run, and an alternative at the top or a comment mode makes nothing sure.
     """
-    plain = F.regexp_replace(pattern, r"\\(?:[A-Za-z0-9]|.)|\[\^?\]?[^\]]*\]|\(\?[a-z]+\)", "\x00")
-    plain = F.regexp_replace(plain, r".[?*]|.\{[^}]*\}", "\x00")
-    pieces = F.regexp_extract_all(F.lower(plain), F.lit("([a-z0-9_-]{3,})"), F.lit(1))
-    best = F.aggregate(pieces, F.lit(""), lambda acc, p: F.when(F.length(p) > F.length(acc), p).otherwise(acc))
-    return F.when(pattern.rlike(r"[|(]"), "").otherwise(F.coalesce(best, F.lit("")))
+    runs, run, at = [], "", 0
+
+    def skipped(start: int, opens: str, closes: str) -> int:
+        """The place behind the bracket that closes the one at ``start``."""
+        depth, k = 0, start
+        while k < len(pattern):
+            if pattern.startswith("\\Q", k):
+                end = pattern.find("\\E", k)
+                k = len(pattern) if end < 0 else end + 2
+                continue
+            if pattern[k] == "\\":
+                k += 2
+                continue
+            if opens == "(" and pattern[k] == "[":
+                k = skipped(k, "[", "]")
+                continue
+            depth += (pattern[k] == opens) - (pattern[k] == closes)
+            k += 1
+            if closes == "]" and k == start + 1:
+                k += pattern.startswith("^", k)
+                k += pattern.startswith("]", k)
+            if not depth:
+                break
+        return k
+
+    if re.search(r"\(\?[a-zA-Z-]*x", pattern):
+        return ""
+    while at < len(pattern):
+        c, step = pattern[at], 1
+        if c == "\\" and pattern.startswith("Q", at + 1):
+            end = pattern.find("\\E", at)
+            end = len(pattern) if end < 0 else end
+            run += pattern[at + 2:end]
+            at = min(len(pattern), end + 2)
+            continue
+        if c == "\\":
+            taken = TAKEN.match(pattern, at + 1)
+            if taken is None:
+                return ""
+            step = 1 + len(taken[0])
+            plain = not (taken[0][0].isascii() and taken[0][0].isalnum())
+            if plain:
+                run += taken[0]
+            else:
+                runs.append(run)
+                run = ""
+        elif c == "|":
+            return ""
+        elif c in "([":
+            runs.append(run)
+            run, step = "", skipped(at, c, {"(": ")", "[": "]"}[c]) - at
+        elif c in "?*{":
+            runs.append(run[:-1])
+            run, step = "", (pattern.find("}", at) - at + 1 or len(pattern)) if c == "{" else 1
+        elif c in "+.^$)":
+            runs.append(run)
+            run = ""
+        else:
+            run += c
+        at += step
+    pieces = [p for r in [*runs, run] for p in re.findall(r"[ -~]+", r)]
+    best = max(pieces, key=len, default="")
+    return best.lower() if len(best) >= PIECE else ""
+
+
+@F.pandas_udf(StringType())
+def literal_piece(pattern: pd.Series) -> pd.Series:
+    return pattern.map(required_literal)
 
 
 def regex_hits(names: DataFrame, patterns: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, alias) of names a regular expression of a table is found in.
+    """(key, alias) of names a regular expression of a table is found in; a pattern that does not compile is found nowhere.
 
-    Patterns with a sure literal piece meet only names that contain it. Those without
-    are tried on every name; they are counted first and refused above ``LOOSE_PATTERNS``.
+    Patterns with a sure literal piece meet only names that contain it. Those without have to be tried on
+    every name: they are packed into rows of up to ``BATCH``, and a name gets the first hit of each row.
     """
-    cut = durable(patterns.withColumn("_piece", literal_piece(F.col("pattern"))))
-    loose = cut.where("_piece = ''").drop("_piece")
-    if loose.count() > LOOSE_PATTERNS:
-        raise ValueError(f"more than {LOOSE_PATTERNS} patterns without a literal piece of three characters")
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
+    cut = durable(patterns.where(F.col("pattern").isNotNull()).where(compiles).withColumn("_piece", literal_piece(F.col("pattern"))))
     lowered = names.select(key, F.col(name).alias("_raw"), F.lower(name).alias("_name"))
     near = contains_join(lowered, cut.where("_piece <> ''"), "_name", "_piece")
-    found = near.select(key, "_raw", "alias_id", "artifact", "pattern").unionByName(
-        lowered.join(broadcast(loose), F.lit(True)).select(key, "_raw", "alias_id", "artifact", "pattern"))
-    return found.where(F.expr("_raw rlike pattern")).select(key, F.struct("alias_id", "artifact").alias("_a"))
+    found = near.where(F.expr("_raw rlike pattern")).select(key, F.struct("alias_id", "artifact").alias("_a"))
+    loose = cut.where("_piece = ''")
+    batches = -(-loose.count() // BATCH)
+    if not batches:
+        return found
+    packed = loose.groupBy(F.pmod(F.xxhash64("alias_id", "pattern"), F.lit(batches)).alias("_batch")).agg(
+        F.sort_array(F.collect_list(F.struct("alias_id", "artifact", "pattern"))).alias("_patterns"))
+    tried = lowered.withColumn("_batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long")))).join(packed, "_batch")
+    first = F.try_element_at(F.filter("_patterns", lambda p: F.rlike(F.col("_raw"), p["pattern"])), F.lit(1))
+    hits = tried.select(key, first.alias("_p")).where("_p IS NOT NULL").select(key, F.struct("_p.alias_id", "_p.artifact").alias("_a"))
+    return found.unionByName(hits)
 
 
 def alias_match(names: DataFrame, aliases: DataFrame, rules: tuple[tuple[int, str, str], ...] = (), key: str = "id", name: str = "name") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import arrivals as arrival_ops
-from ..operators import history
+from ..operators import history, identity
 from ..sources import adapters
 from .registry import query
 
@@ -182,3 +182,17 @@ def stale_status(spark, sf):
     as_of = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     stale = (F.col("status") == "pending") & history.is_stale(F.col("ts"), as_of)
     return e.select("event_id", F.when(stale, "failed").otherwise(F.col("status")).alias("status"))
+
+
+# Regular expressions over customer files, made from the nations: escapes, classes, groups, quantifiers, alternatives.
+_NAMED = "c_name || '-' || c_mktsegment || '.zip'"
+_PATTERN = """CASE n_nationkey % 6 WHEN 0 THEN '0' || n_nationkey || '[0-9]-\\x41UTO' WHEN 1 THEN '^Customer#0+' || n_nationkey || '\\D' WHEN 2 THEN '(MACH|FURN)[A-Z]*\\.z'
+  WHEN 3 THEN n_nationkey || '-BUILDINGS?\\.zip$' WHEN 4 THEN n_nationkey || '.?-HOUSE+HOLD' ELSE '0' || n_nationkey || '-H|0' || (n_nationkey + 1) || '-A' END"""
+
+
+@query("regex_alias_match", f"""
+WITH f AS (SELECT c_custkey AS id, {_NAMED} AS name FROM customer), p AS (SELECT n_nationkey AS alias_id, n_name AS artifact, {_PATTERN} AS pattern FROM nation)
+SELECT id, min(alias_id) AS alias_id, arg_min(artifact, alias_id) AS artifact FROM f, p WHERE regexp_matches(name, pattern) GROUP BY id""")
+def regex_alias_match(spark, sf):
+    aliases = table(spark, sf, "nation").selectExpr("n_nationkey AS alias_id", "n_name AS artifact", _PATTERN.replace("\\", "\\\\") + " AS pattern", "true AS is_regex")
+    return identity.alias_match(table(spark, sf, "customer").selectExpr("c_custkey AS id", _NAMED + " AS name"), aliases)
