@@ -166,6 +166,33 @@ def test_greedy_match_equals_one_by_one(spark, task_pairs):
     assert rows(got, "new_path", "old_path", "ratio") == greedy([(r, n, o) for (n, o), r in pairs.items()])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tied_blocks_equal_one_by_one(spark, seed):
+    """Random blocks of equal scores, whole and with holes, and edges across them."""
+    import random
+
+    rng, pairs = random.Random(seed), {}
+    for b in range(8):
+        score = rng.choice([0.6, 0.8, 0.8, 1.0])
+        for n in range(rng.randrange(1, 6)):
+            for o in range(rng.randrange(1, 6)):
+                if b % 3 or rng.random() < 0.8:
+                    pairs[f"n{b}{n}", f"o{b}{o}"] = score
+    for _ in range(12):
+        pairs.setdefault((f"n{rng.randrange(8)}{rng.randrange(6)}", f"o{rng.randrange(8)}{rng.randrange(6)}"), rng.choice([0.6, 0.8, 1.0]))
+    df = spark.createDataFrame([(1, n, o, r) for (n, o), r in pairs.items()], "k int, new_path string, old_path string, ratio double")
+    got = similar.greedy_match(df, ["k"], "new_path", "old_path", task_pairs=4)
+    assert rows(got, "new_path", "old_path", "ratio") == greedy([(r, n, o) for (n, o), r in pairs.items()])
+
+
+def test_a_block_of_equal_pairs_takes_few_rounds(spark, monkeypatch):
+    df = spark.range(90_000).selectExpr("1 AS k", "printf('n%03d', id div 300) AS new_path", "printf('o%03d', id % 300) AS old_path", "0.9D AS ratio")
+    taken, one_round = [], similar._one_round
+    monkeypatch.setattr(similar, "_one_round", lambda *a: taken.append(1) or one_round(*a))
+    got = similar.greedy_match(df, ["k"], "new_path", "old_path", task_pairs=2500)
+    assert rows(got, "new_path", "old_path") == [(f"n{k:03d}", f"o{k:03d}") for k in range(300)] and len(taken) <= 5
+
+
 def test_similar_contents_loses_no_pair(spark):
     """Prefix filtering against scoring every pair."""
     import random

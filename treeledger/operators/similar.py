@@ -155,6 +155,30 @@ def _one_round(rest: DataFrame, keys: list[str], left: str, right: str, score: s
     return best_left.join(best_right, [*keys, left, right])
 
 
+def _block_pairs(rest: DataFrame, keys: list[str], left: str, right: str, score: str) -> DataFrame:
+    """Pairs of complete blocks of equal best scores, by rank.
+
+    Where some lefts all have the same rights at their best score, those rights have just these lefts at theirs,
+    and the score is one for all, the one-by-one outcome pairs the k-th greatest left with the k-th greatest right.
+    A neighbourhood is known by its size and two order-free digests, so none is gathered.
+    """
+    tops = [rest.groupBy(*keys, end).agg(F.max(score).alias(f"_{name}")) for end, name in ((left, "l"), (right, "r"))]
+    edges = rest.join(tops[0], [*keys, left]).join(tops[1], [*keys, right]).select(
+        *keys, left, right, score, (F.col(score) == F.col("_l")).alias("_of_l"), (F.col(score) == F.col("_r")).alias("_of_r"))
+    # A best edge of one end that is not the other's best may come free later, so such ends are in no block.
+    around = edges.where("_of_l").groupBy(*keys, left).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64(right)).alias("_h"), F.bit_xor(F.xxhash64(right, F.lit(1))).alias("_g"), F.min("_of_r").alias("_own")).where("_own").drop("_own")
+    degrees = edges.where("_of_r").groupBy(*keys, right).agg(F.count(F.lit(1)).alias("_d"), F.min("_of_l").alias("_own"))
+    block = [*keys, "_n", "_h", "_g"]
+    widths = around.groupBy(*block).agg(F.count(F.lit(1)).alias("_m"))
+    inside = edges.where("_of_l AND _of_r").join(around, [*keys, left]).join(widths, block).join(degrees, [*keys, right])
+    # Every right of a complete block has the block's lefts and no others.
+    complete = inside.groupBy(*block, "_m").agg(F.min(F.col("_own") & (F.col("_d") == F.col("_m"))).alias("_all"), F.max(score).alias(score)).where("_all")
+    members = inside.join(complete.select(*block), block, "left_semi")
+    ends = [members.select(*block, end).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*block).orderBy(F.col(end).desc()))) for end in (left, right)]
+    return ends[0].join(ends[1], [*block, "_k"]).join(complete.select(*block, score), block).select(*keys, left, right, score)
+
+
 def greedy_match(
     pairs: DataFrame, keys: list[str], left: str, right: str, score: str = "ratio",
     task_pairs: int = 200_000, stored: bool = False,
@@ -163,8 +187,9 @@ def greedy_match(
 
     Groups of at most ``task_pairs`` pairs are finished one task each. A larger
     group first goes through rounds in which every pair that is the best of both
-    its ends is taken and the ends retire; the order is total, so this is the
-    one-by-one outcome, and no group above the bound ever meets in one task.
+    its ends is taken, complete blocks of equal scores are paired by rank, and the
+    ends retire; the order is total, so this is the one-by-one outcome, and no group
+    above the bound ever meets in one task.
     Survivors of a round are checkpointed: a lost executor re-reads them.
     """
     columns = [*keys, left, right, score]
@@ -179,7 +204,8 @@ def greedy_match(
             break
         done.append(rest.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(finish, schema))
         rest = durable(rest.join(large, keys, "left_semi"))
-        hits = durable(_one_round(rest, keys, left, right, score).select(*columns))
+        both = _one_round(rest, keys, left, right, score).select(*columns).unionByName(_block_pairs(rest, keys, left, right, score).select(*columns))
+        hits = durable(both.distinct())
         done.append(hits)
         rest = durable(
             rest.join(hits.select(*keys, left), [*keys, left], "left_anti")
