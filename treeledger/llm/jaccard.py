@@ -8,6 +8,8 @@ band also signs there. Large sets need few of so many parts: where there would b
 ``MANY_PARTS``, the range is cut into parts of ``SPARE`` differences each at most on average and the first
 ``MANY_PARTS`` sign. Elements are hashed, so one of these has at most one difference but for a
 chance below 1e-15 (a part has with probability 0.199 or more), and longer signatures meet fewer strangers.
+Two empty ranges are equal in any two sets. A band leaves such signatures out as soon as the chance that a linked
+pair has no other one is below 1e-15 (from about 70 parts on), since they would join large strangers.
 
 1. Documents become (size, set digest, sketch); equal sets become one class, and only its
    least document takes part further.
@@ -15,7 +17,8 @@ chance below 1e-15 (a part has with probability 0.199 or more), and longer signa
    with the count of frequent ones.
 3. Documents that share a signature meet in a bucket, those of a frequent signature in tiles
    of bounded size. Sizes and folded sketches leave candidate pairs, of which a bucket returns
-   a forest: documents that may link end up in one candidate group.
+   a forest: documents that may link end up in one candidate group. A bucket joins them key by key and
+   compares only what it has not joined yet, so a family of copies costs it no list of pairs.
 4. Groups are cut into tiles of bounded size and compared by whole sketches. A spanning forest of the
    closest pairs is checked exactly on the sets, and then every pair the sketches allow whose ends
    are not yet connected. So all links between components are found, and the pairs inside
@@ -39,6 +42,7 @@ import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
+from math import exp
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -58,12 +62,15 @@ CHUNK_ROWS = 4096
 LEAST_CHUNKS = 64
 BLOCK = 512
 PIECE = 1 << 18
-FOLD_WORDS = 8
+FOLD_WORDS = (8, 16, 32, 64)
+FOLD_ELEMENTS = 100
 AT_ONCE = 1 << 22
+PAIRS = 1 << 18
 BAND_GROWTH = 1.3
 SECOND, MISSED = 3, 1
 MANY_PARTS = 160
 SPARE = 3
+CHANCE = 1e-15
 
 DESCRIBED = "doc long, t long, n long, a long, b long, sketch binary"
 SIGNED = "chunk int, doc long, a long, n long, fold binary, signs binary"
@@ -123,42 +130,56 @@ def shingle_set(text: np.ndarray, words: int) -> np.ndarray:
 
 
 @lru_cache
-def bands(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
-    """(band, first-level parts, how many of them sign) for a set of this size."""
+def bands(size: int, percent: int) -> tuple[tuple[int, int, int, bool], ...]:
+    """(band, first-level parts, how many of them sign, whether empty ranges do) for a set of this size."""
     out, band, low, high = [], 0, 1, 9
     while percent * low <= 100 * size:
         differ = 2 * high * (100 - percent) // (100 + percent)
         if size <= high and differ:
             parts = -(-(differ + 1) // (MISSED + 1))
-            out.append((band, parts, parts) if parts <= MANY_PARTS else (band, max(MANY_PARTS, -(-differ // SPARE)), MANY_PARTS))
+            signing = min(parts, MANY_PARTS)
+            parts = parts if parts <= MANY_PARTS else max(MANY_PARTS, -(-differ // SPARE))
+            out.append((band, parts, signing, (1 - full_match(low, differ, parts, percent)) ** signing > CHANCE))
         band, low, high = band + 1, high + 1, max(high + 1, int(high * BAND_GROWTH))
     return tuple(out)
 
 
+def full_match(low: int, differ: int, parts: int, percent: int) -> float:
+    """Least chance that a part of two linked sets has at most one difference and equal ranges that hold an element."""
+    mean, shared = differ / parts, low * percent / (100 * parts * SECOND)
+    return exp(-mean) * (1 + mean) * (1 - exp(-2 * shared))
+
+
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a sorted set in its bands."""
     sums = np.append(np.uint64(0), np.cumsum(mixed(elements)))
     out = []
-    for band, parts, signing in bands(len(elements), percent):
+    for band, parts, signing, empties in bands(len(elements), percent):
         borders = (np.arange(1, parts * SECOND, dtype=np.float64) * (2.0**64 / (parts * SECOND))).astype(np.uint64)
-        edges = sums[np.concatenate([[0], np.searchsorted(elements, borders), [len(elements)]])]
-        content = mixed(np.diff(edges[:signing * SECOND + 1])).reshape(signing, SECOND)
+        edges = np.concatenate([[0], np.searchsorted(elements, borders), [len(elements)]])[:signing * SECOND + 1]
+        content = mixed(np.diff(sums[edges])).reshape(signing, SECOND)
+        filled = np.diff(edges).reshape(signing, SECOND) > 0
         salt = mixed(np.arange(signing, dtype=np.uint64) + np.uint64(band << 40))
         for k, picked in enumerate(combinations(range(SECOND), SECOND - MISSED)):
             sign = salt + np.uint64(k)
             for j, c in enumerate(picked):
                 sign = sign + content[:, c] * SALTS[j]
-            out.append(mixed(sign))
+            out.append(mixed(sign if empties else sign[filled[:, picked].any(axis=1)]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def parity_sketch(elements: np.ndarray) -> np.ndarray:
     """Parity of the elements by hash, in the power of two of bits next above two for each."""
-    bits = max(64 * FOLD_WORDS, 1 << int(2 * len(elements) - 1).bit_length())
+    bits = max(64 * FOLD_WORDS[0], 1 << int(2 * len(elements) - 1).bit_length())
     parity = np.bincount(((elements >> np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(bool)).view(np.uint64)
 
 
+def fold_words(sizes: np.ndarray) -> np.ndarray:
+    """Words of the folded sketch of sets of these sizes: enough that strangers differ in more bits than linked sets may."""
+    return np.array(FOLD_WORDS)[np.searchsorted(np.array(FOLD_WORDS[:-1]) * FOLD_ELEMENTS, sizes)]
+
+
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     """The sketch with fewer bits."""
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
@@ -189,7 +210,7 @@ def signed(batches, rule: Rule, chunks: int):
     for doc, elements in document_sets(batches, rule.words):
         if len(elements):
             a = int(mixed(elements).sum().view(np.int64))
-            fold = folded(parity_sketch(elements), FOLD_WORDS).tobytes()
+            fold = folded(parity_sketch(elements), int(fold_words(len(elements)))).tobytes()
             chunk = int(chunk_of(np.array([doc]), np.array([a]), chunks)[0])
             yield chunk, doc, a, len(elements), fold, five_bytes(np.unique(signatures(elements, rule.percent) & low))
 
@@ -230,7 +251,7 @@ def chunk_signs(group):
     rows = [(marks.get(r[:2], r[0]), *r[1:]) for r in own if marks.get(r[:2]) != COPY]
     signs = from_five_bytes([r[4] for r in rows])
     place = np.repeat(np.arange(len(rows)), [len(r[4]) // 5 for r in rows])
-    return np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), joined([r[3] for r in rows], np.uint64).reshape(-1, FOLD_WORDS), signs, place
+    return np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], signs, place
 
 
 def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -294,7 +315,7 @@ def meetings(group, answers, buckets: int):
     order, cuts = by_bucket(bucket_of(signs, buckets), buckets)
     for b, i, j in cuts:
         mine, at = np.unique(place[order[i:j]], return_inverse=True)
-        out.append((b, signs[order[i:j]].tobytes(), at.astype(np.int32).tobytes(), docs[mine].tobytes(), sizes[mine].tobytes(), folds[mine].tobytes()))
+        out.append((b, signs[order[i:j]].tobytes(), at.astype(np.int32).tobytes(), docs[mine].tobytes(), sizes[mine].tobytes(), b"".join(folds[k] for k in mine.tolist())))
     return packed(out, MEETING)
 
 
@@ -313,35 +334,77 @@ def candidate_forest(group, percent: int):
     lists = [np.frombuffer(x, np.int32) + b for x, b in zip(group.column("places").to_pylist(), base)]
     place = np.concatenate(lists)
     docs, sizes = (joined(group.column(c).to_pylist(), np.int64) for c in ("docs", "sizes"))
-    folds = joined(group.column("folds").to_pylist(), np.uint64).reshape(-1, FOLD_WORDS)
+    folds = fold_levels(joined(group.column("folds").to_pylist(), np.uint64), sizes)
     order = np.lexsort((docs[place], keys))
     keys, place = keys[order], place[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.diff(np.append(first, len(keys)))
+    label = np.arange(len(docs))
+
+    def join(left, right):
+        nonlocal label
+        apart = label[left] != label[right]
+        left, right = tested(left[apart], right[apart], folds, sizes, percent)
+        if len(left):
+            nodes, roots = forest(label[left], label[right])
+            moved = np.arange(len(docs))
+            moved[nodes] = roots
+            label = moved[label]
+
     two = first[size == 2]
-    left, right = [place[two]], [place[two + 1]]
-    seen = set()
+    for k in range(0, len(two), PAIRS):
+        join(place[two[k:k + PAIRS]], place[two[k:k + PAIRS] + 1])
+    seen, held, waiting = set(), [], 0
     for k, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
         mine = place[k:k + n]
-        if (name := mine.tobytes()) not in seen:
-            seen.add(name)
-            i, j = np.triu_indices(n, 1)
-            left.append(mine[i])
-            right.append(mine[j])
-            if n > 200:
-                left[-1], right[-1] = tested(left[-1], right[-1], folds, sizes, percent)
-    left, right = tested(np.concatenate(left), np.concatenate(right), folds, sizes, percent)
-    nodes, roots = forest(docs[left], docs[right])
-    apart = nodes != roots
-    return pa.table({"a": roots[apart], "b": nodes[apart]})
+        own = label[mine]
+        if (own == own[0]).all() or (name := mine.tobytes()) in seen:
+            continue
+        seen.add(name)
+        step = max(1, PAIRS // n)
+        for i in range(0, n - 1, step):
+            x, y = np.nonzero(np.triu(own[i:i + step, None] != own[None, i:], 1))
+            held.append((mine[i + x], mine[i + y]))
+            waiting += len(x)
+            if waiting > PAIRS:
+                join(*map(np.concatenate, zip(*held)))
+                own, held, waiting = label[mine], [], 0
+    if held:
+        join(*map(np.concatenate, zip(*held)))
+    nodes = np.flatnonzero(label != np.arange(len(docs)))
+    return pa.table({"a": docs[label[nodes]], "b": docs[nodes]})
+
+
+def fold_levels(words: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width of folded sketches: the place of a set among those that have it or a larger one, and their sketches."""
+    widths = fold_words(sizes)
+    start = np.cumsum(widths) - widths
+    out = {}
+    for w in FOLD_WORDS:
+        at, sketches = np.cumsum(widths >= w) - 1, np.zeros(((widths >= w).sum(), w), np.uint64)
+        for v in (v for v in FOLD_WORDS if v >= w):
+            own = np.flatnonzero(widths == v)
+            if len(own):
+                sketches[at[own]] = np.bitwise_xor.reduce(words[start[own, None] + np.arange(v)].reshape(len(own), v // w, w), axis=1)
+        out[w] = at, sketches
+    return out
 
 
 def tested(left, right, folds, sizes, percent):
-    """The pairs that folded sketches and sizes allow."""
+    """The pairs that folded sketches, of the width of the smaller set's, and sizes allow."""
     keep = []
-    for k in range(0, len(left), 1 << 18):
-        i, j = left[k:k + (1 << 18)], right[k:k + (1 << 18)]
-        keep.append(may_link(np.bitwise_count(folds[i] ^ folds[j]).sum(axis=1, dtype=np.int64), sizes[i], sizes[j], percent))
+    for k in range(0, len(left), 1 << 16):
+        i, j = left[k:k + (1 << 16)], right[k:k + (1 << 16)]
+        least = np.minimum(sizes[i], sizes[j])
+        ok = least * 100 >= np.maximum(sizes[i], sizes[j]) * percent
+        widths = np.where(ok, fold_words(least), 0)
+        for w in FOLD_WORDS:
+            mine = np.flatnonzero(widths == w)
+            if len(mine):
+                at, sketches = folds[w]
+                differing = np.bitwise_count(sketches[at[i[mine]]] ^ sketches[at[j[mine]]]).sum(axis=1, dtype=np.int64)
+                ok[mine] = may_link(differing, sizes[i[mine]], sizes[j[mine]], percent)
+        keep.append(ok)
     ok = np.concatenate(keep) if keep else np.zeros(0, bool)
     return left[ok], right[ok]
 
