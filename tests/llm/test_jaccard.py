@@ -78,3 +78,39 @@ def test_a_hot_row_without_id(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = spark.range(9000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", f"IF(id % 3 = 0, '{text}', concat_ws(' ', 'own', id, id + 1, id + 2, id + 3, id + 4, id + 5)) AS text")
     assert jaccard.one_of_each(docs).count() == 6001
+
+
+@pytest.mark.parametrize("pairs", [50, 1 << 18])
+def test_buckets_join_families_and_keep_large_strangers_apart(monkeypatch, pairs):
+    """All sets share one key, the families some more; no sketch lets strangers through, whatever their size."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    rng, sets, family = np.random.default_rng(3), [], []
+    for f, size in enumerate((30, 300, 790, 810, 1500, 1700, 3100, 3300, 5000)):
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        for _ in range(6):
+            sets.append(np.unique(np.concatenate([base[size // 25:], rng.integers(0, 2**64, size // 25, dtype=np.uint64)])))
+            family.append(f)
+    order = rng.permutation(len(sets))
+    docs, sizes = np.arange(len(sets)) * 10, np.array([len(sets[k]) for k in order])
+    folds = [jaccard.folded(jaccard.parity_sketch(sets[k]), int(jaccard.fold_words(len(sets[k])))).tobytes() for k in order]
+    keys = np.concatenate([np.zeros(len(sets), np.uint64), np.array([family[k] + 1 for k in order], np.uint64)])
+    places = np.tile(np.arange(len(sets), dtype=np.int32), 2)
+    row = ([keys.tobytes()], [places.tobytes()], [docs.tobytes()], [sizes.tobytes()], [b"".join(folds)])
+    got = jaccard.candidate_forest(pa.table(dict(zip(("keys", "places", "docs", "sizes", "folds"), row))), 80).to_pydict()
+    root = dict(zip(got["b"], got["a"]))
+    families = {}
+    for d, k in zip(docs.tolist(), order.tolist()):
+        families.setdefault(family[k], set()).add(root.get(d, d))
+    assert [len(x) for x in families.values()] == [1] * 9 and len(set.union(*families.values())) == 9
+
+
+def test_empty_ranges_sign_small_sets_only():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64)) for _ in range(2))
+    assert not np.intersect1d(jaccard.signatures(a, 80), jaccard.signatures(b, 80)).size
+    assert all(empties for size in (5, 50, 300) for *_, empties in jaccard.bands(size, 80))
