@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..options import ArchiveOptions, ScanOptions
 from .durable import durable, fetch
+from .ordered import ordered
 
 VERSION = ["artifact", "seq"]
+TREE_FAN = 4096
 
 
 def file_facts(files: DataFrame, options: ScanOptions = ScanOptions(), keep_content: bool = False) -> DataFrame:
@@ -87,6 +89,40 @@ def tree_hash(facts: DataFrame, options: ArchiveOptions = ArchiveOptions()) -> D
     return usual.unionByName(streamed)
 
 
+def _level(nodes: DataFrame, fan: int, leaves: bool) -> DataFrame:
+    """Parents of the nodes (version, at, entry, files).
+
+    Places have no gaps, so a parent 0 with one child is over a version's only node: a root stays as it is.
+    """
+    children = F.array_sort(F.collect_list(F.struct("at", "entry")))
+    digest = F.sha2(F.array_join(F.transform(children, lambda c: c["entry"]), "\n"), 256)
+    parent = F.floor(F.col("at") / fan)
+    done = F.lit(not leaves) & (F.max("at") == 0)
+    return nodes.groupBy(*VERSION, parent.alias("parent")).agg(
+        F.when(done, F.max("entry")).otherwise(digest).alias("entry"), F.sum("files").alias("files")).withColumnRenamed("parent", "at")
+
+
+def tree_root(facts: DataFrame, fan: int = TREE_FAN) -> DataFrame:
+    """Content identity of each version as a tree of digests over its sorted ``sha  path`` lines.
+
+    Every ``fan`` consecutive lines (the last run: fewer) are joined by newlines and hashed,
+    then every ``fan`` consecutive digests, until one is left. A version of any size is many
+    groups of at most ``fan`` short strings, so no task or array grows with it. A version of
+    at most ``fan`` files has its ``tree_hash`` as root. One row per version: files, tree_root.
+    A null path or digest counts as an empty string; an empty table gives no rows.
+    """
+    if fan < 2:
+        raise ValueError("a node must hold at least two entries")
+    path, digest = (F.coalesce(c, F.lit("")) for c in ("path", "sha256"))
+    lines = facts.select(*VERSION, path.alias("path"), F.concat(digest, F.lit("  "), path).alias("entry"), F.lit(1).cast("bigint").alias("files"))
+    numbered = ordered(lines, VERSION, [F.col("path"), F.col("entry")], number="at").drop("path")
+    level = durable(_level(numbered.withColumn("at", F.col("at") - 1), fan, leaves=True))
+    last = level.agg(F.max("at")).first()[0] or 0
+    while last > 0:
+        level, last = _level(level, fan, leaves=False), last // fan
+    return level.select(*VERSION, "files", F.col("entry").alias("tree_root"))
+
+
 def count_if(condition: Column) -> Column:
     return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0).cast("bigint"))
 

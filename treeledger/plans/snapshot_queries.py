@@ -51,6 +51,20 @@ def tree_hash(spark, sf):
     return facts_ops.tree_hash(facts(spark, sf))
 
 
+@query("tree_root", f"""
+WITH RECURSIVE e AS (SELECT artifact, seq, row_number() OVER (PARTITION BY artifact, seq ORDER BY path) - 1 AS place, sha256 || '  ' || path AS entry FROM ({FACTS_SQL})),
+t AS (
+  SELECT artifact, seq, e.place // 8 AS place, sha256(string_agg(entry, chr(10) ORDER BY e.place)) AS entry, count(*) AS files, (max(max(e.place)) OVER (PARTITION BY artifact, seq)) // 8 AS last
+  FROM e GROUP BY artifact, seq, e.place // 8
+  UNION ALL
+  SELECT artifact, seq, up AS place, sha256(string_agg(entry, chr(10) ORDER BY place)), CAST(sum(files) AS BIGINT), max(last) // 8
+  FROM (SELECT *, place // 8 AS up FROM t WHERE last > 0) GROUP BY artifact, seq, up)
+SELECT artifact, seq, files, entry AS tree_root FROM t WHERE last = 0""")
+def tree_root(spark, sf):
+    """Eight entries a node, so that the supplied versions have several levels."""
+    return facts_ops.tree_root(facts(spark, sf), fan=8)
+
+
 @query("version_totals", f"""
 SELECT artifact, seq, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_size,
   count(*) FILTER (NOT is_vendor) AS code_file_count, CAST(coalesce(sum(size) FILTER (NOT is_vendor), 0) AS BIGINT) AS code_size,
