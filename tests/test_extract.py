@@ -188,11 +188,11 @@ def test_greedy_fill_and_sections_in_small_pieces(spark):
         want.append((i, size <= room))
         room -= size if size <= room else 0
     for step in (7, 1000):
-        got = review.greedy_fill(df, ["k"], [F.col("pos")], "pos", F.col("size"), 900, task_items=step)
+        got = review.greedy_fill(df, ["k"], [F.col("pos")], F.col("size"), 900, task_items=step)
         assert rows(got.orderBy("pos"), "pos", "included") == sorted(want, key=repr)
     sections = df.withColumn("body_chars", F.col("size") * 40).withColumn("head_chars", F.lit(400))
-    whole = review.pack_sections(sections, ["k"], [F.col("pos")], "pos", "head_chars", 30_000)
-    pieces = review.pack_sections(sections, ["k"], [F.col("pos")], "pos", "head_chars", 30_000, task_items=9)
+    whole = review.pack_sections(sections, ["k"], [F.col("pos")], "head_chars", 30_000)
+    pieces = review.pack_sections(sections, ["k"], [F.col("pos")], "head_chars", 30_000, task_items=9)
     assert rows(whole, "pos", "included", "quoted_chars") == rows(pieces, "pos", "included", "quoted_chars")
     assert 0 < whole.where("included").count() < 200
 

@@ -37,7 +37,7 @@ def recent(rows: DataFrame, ts: str, as_of: str, max_age_seconds: float) -> Data
 def burst_dedup(rows: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id", gap_seconds: float = 300.0) -> DataFrame:
     """Drop a row that follows another of its key within the gap."""
     order = [F.col(ts), F.col(tie)]
-    near = ordered(rows, keys, order, ts, previous={"_before": ts})
+    near = ordered(rows, keys, order, previous={"_before": ts})
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) / 1e6
     return near.where(F.col("_before").isNull() | (gap >= gap_seconds)).drop("_before")
 
@@ -45,9 +45,9 @@ def burst_dedup(rows: DataFrame, keys: list[str], ts: str = "ts", tie: str = "ev
 def runs(rows: DataFrame, keys: list[str], tag: list[str], ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Runs of consecutive equal tags per key: number, length, first and last time."""
     order = [F.col(ts), F.col(tie)]
-    marked = ordered(rows.withColumn("_tag", F.struct(*tag)), keys, order, ts, previous={"_was": "_tag"})
+    marked = ordered(rows.withColumn("_tag", F.struct(*tag)), keys, order, previous={"_was": "_tag"})
     starts = marked.withColumn("_start", (F.col("_was").isNull() | (F.col("_was") != F.col("_tag"))).cast("bigint")).drop("_was")
-    numbered = ordered(starts, keys, order, ts, running={"run": "_start"})
+    numbered = ordered(starts, keys, order, running={"run": "_start"})
     return numbered.groupBy(*keys, *tag, "run").agg(
         F.count(F.lit(1)).alias("length"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
@@ -75,7 +75,7 @@ def stable_signatures(observations: DataFrame, keys: list[str], signature: list[
 
 def liveness_gaps(beats: DataFrame, keys: list[str], stale_seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Beats followed by silence longer than ``stale_seconds``."""
-    near = ordered(beats, keys, [F.col(ts), F.col(tie)], ts, following={"next_ts": ts})
+    near = ordered(beats, keys, [F.col(ts), F.col(tie)], following={"next_ts": ts})
     gap = _seconds(F.col("next_ts"), F.col(ts))
     return near.where(gap > stale_seconds).select(*keys, F.col(ts).alias("last_beat"), "next_ts", F.floor(gap).cast("bigint").alias("silent_seconds"))
 
@@ -90,7 +90,7 @@ def activity(rows: DataFrame, keys: list[str], length: str, slide: str | None =
 def sessions(rows: DataFrame, keys: list[str], gap_seconds: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Sessions closed by a silence of ``gap_seconds``, by gaps in order (sliced when large)."""
     order = [F.col(ts), F.col(tie)]
-    near = ordered(rows, keys, order, ts, previous={"_before": ts})
+    near = ordered(rows, keys, order, previous={"_before": ts})
     opens = F.col("_before").isNull() | (_seconds(F.col(ts), F.col("_before")) >= gap_seconds)
-    numbered = ordered(near.withColumn("_open", opens.cast("bigint")).drop("_before"), keys, order, ts, running={"session": "_open"})
+    numbered = ordered(near.withColumn("_open", opens.cast("bigint")).drop("_before"), keys, order, running={"session": "_open"})
     return numbered.groupBy(*keys, "session").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n"))

@@ -40,7 +40,7 @@ def ingest_outcomes(
     else:
         trees = trees.withColumn("_known", F.lit(None).cast("bigint")).withColumn("_highest", F.lit(0).cast("bigint"))
     trees = trees.select("artifact", "tree_key", *[F.col("_at")[c].alias(f"_n_{c}") for c in order], "_known", F.coalesce("_highest", F.lit(0)).alias("_highest"))
-    opened = ordered(trees.where(F.col("_known").isNull()), ["artifact"], [F.col(f"_n_{c}") for c in order], f"_n_{order[0]}", number="_n")
+    opened = ordered(trees.where(F.col("_known").isNull()), ["artifact"], [F.col(f"_n_{c}") for c in order], number="_n")
     numbered = opened.withColumn("_seq", (F.col("_n") + F.col("_highest")).cast("bigint")).drop("_n").unionByName(
         trees.where(F.col("_known").isNotNull()).withColumn("_seq", F.col("_known").cast("bigint")))
     same = numbered.withColumnRenamed("artifact", "_artifact").withColumnRenamed("tree_key", "_tree_key")
@@ -72,7 +72,7 @@ def first_last_seen(rows: DataFrame, ts: str = "ts") -> DataFrame:
 
 def version_steps(versions: DataFrame) -> DataFrame:
     """Each version with the greatest lower one: (artifact, old_seq, new_seq)."""
-    steps = ordered(versions.select("artifact", "seq"), ["artifact"], [F.col("seq")], "seq", previous={"old_seq": "seq"})
+    steps = ordered(versions.select("artifact", "seq"), ["artifact"], [F.col("seq")], previous={"old_seq": "seq"})
     return steps.where(F.col("old_seq").isNotNull()).select("artifact", "old_seq", F.col("seq").alias("new_seq"))
 
 
@@ -92,7 +92,7 @@ def retention(versions: DataFrame, keep: int) -> DataFrame:
 
 def renumber(versions: DataFrame, order: list[str]) -> DataFrame:
     """Numbers 1.. per artifact by archive time then old number."""
-    return ordered(versions, ["artifact"], [F.col(c) for c in order], order[0], number="new_seq")
+    return ordered(versions, ["artifact"], [F.col(c) for c in order], number="new_seq")
 
 
 def merge_artifacts(versions: DataFrame, mapping: DataFrame, order: list[str]) -> DataFrame:
@@ -138,7 +138,7 @@ def resolve_selectors(versions: DataFrame, selectors: DataFrame) -> DataFrame:
     ends = versions.groupBy("artifact").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_count"))
     by_place = asked.where(F.col("_place").isNotNull()).select("artifact").distinct()
     numbered = ordered(
-        versions.select("artifact", "seq").join(by_place, "artifact", "left_semi"), ["artifact"], [F.col("seq").desc()], "seq", descending=True, number="_place"
+        versions.select("artifact", "seq").join(by_place, "artifact", "left_semi"), ["artifact"], [F.col("seq").desc()], number="_place"
     ).select("artifact", F.col("_place").cast("bigint").alias("_want"), F.col("seq").alias("_at_place"))
     exact = versions.select("artifact", F.col("seq").cast("bigint").alias("_number"), F.col("seq").alias("_exact")).distinct()
     clamped = F.when(F.col("selector").isNull(), F.least(F.col("_place"), F.col("_count"))).otherwise(F.col("_place")).cast("bigint")
@@ -162,7 +162,7 @@ def resolve_selectors(versions: DataFrame, selectors: DataFrame) -> DataFrame:
 
 def timeline(versions: DataFrame, size: str, attributes: list[str]) -> DataFrame:
     """Size change since the previous and the first version, and which attributes moved."""
-    steps = ordered(versions, ["artifact"], [F.col("seq")], "seq",
+    steps = ordered(versions, ["artifact"], [F.col("seq")],
                     previous={"_size": size, **{f"_was_{a}": a for a in attributes}, "previous_seq": "seq"})
     first = versions.groupBy("artifact").agg(F.min_by(size, "seq").alias("_first"))
     moved = [

@@ -1,12 +1,14 @@
 """Ordered work inside groups of any size: numbers, running sums, neighbours.
 
-A plain ``Window.partitionBy(key)`` sends a whole group through one task. Here a
-group larger than ``target_rows`` is first cut into slices that follow the order,
-each slice is windowed on its own, and what a slice needs from the earlier ones
-(how many rows, which sum, which last value) comes from a summary of one row per
-slice. Results equal the plain window. The groups above the target are counted
-first, over the key and order columns alone; when there are none, which is usual,
-the plan is exactly the plain window.
+A plain ``Window.partitionBy(key)`` sends a whole group through one task. Where a
+group is larger than ``target_rows``, the rows are instead dealt into ranges of
+(keys, full order), each range is windowed on its own, and what a range needs from
+the earlier ones of its group (how many rows, which sum, which last value) comes from
+a summary of one row per group and range. The ranges follow the whole order, so a
+first order column with few values is cut like any other; only rows that are equal in
+every order column stay together. Results equal the plain window. The largest group
+is counted first, over the key columns alone; when it is within the target, which is
+usual, the plan is exactly the plain window.
 """
 
 from __future__ import annotations
@@ -15,70 +17,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import shared_prefix
-from .durable import durable, fetch
+from .durable import durable
 
 TARGET_ROWS = 500_000
 SLICE = "_slice"
-_HOT = "_hot"
 
 
-def _text_position(value: Column, skip: Column) -> Column:
-    """48-bit number following the byte order of a text past ``skip`` hex digits."""
-    digits = F.rpad(F.substring(F.hex(F.encode(value, "UTF-8")), skip + 1, F.lit(12)), 12, "0")
-    return F.conv(digits, 16, 10).cast("bigint")
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column], pieces: int) -> DataFrame:
+    """Stored rows with the number of their range of (keys, order).
 
-
-def _position(df: DataFrame, by: str, descending: bool) -> tuple[Column, bool]:
-    kind = dict(df.dtypes)[by]
-    if kind == "string":
-        if descending:
-            raise ValueError("text can only be sliced ascending")
-        return F.col(by), True
-    if kind.startswith("timestamp"):
-        value = F.unix_micros(F.col(by).cast("timestamp"))
-    else:
-        value = F.col(by).cast("double" if kind in ("double", "float") else "bigint")
-    return (-value if descending else value), False
-
-
-def hot_groups(df: DataFrame, keys: list[str], by: str, descending: bool, target_rows: int) -> DataFrame:
-    """Stored list of the groups above the target, with where their order starts and ends.
-
-    Counted with map-side combining; at most ``rows / target_rows`` groups come back.
+    Spark samples the order to place the bounds. The numbers are stored with the rows,
+    since another evaluation could place the bounds elsewhere.
     """
-    position, is_text = _position(df, by, descending)
-    hot = (
-        df.select(*keys, position.alias("_pos"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .where(F.col("_n") > target_rows)
-    )
-    if is_text:
-        lo_hex, hi_hex = (F.hex(F.encode(F.col(c), "UTF-8")) for c in ("_lo", "_hi"))
-        hot = hot.withColumn("_skip", shared_prefix(lo_hex, hi_hex))
-        hot = hot.withColumn("_from", _text_position(F.col("_lo"), F.col("_skip"))).withColumn("_to", _text_position(F.col("_hi"), F.col("_skip")))
-    else:
-        hot = hot.withColumn("_skip", F.lit(0)).withColumn("_from", F.col("_lo")).withColumn("_to", F.col("_hi"))
-    return durable(hot.select(*keys, "_n", "_skip", "_from", "_to"))
-
-
-def with_slices(
-    df: DataFrame, keys: list[str], by: str, descending: bool = False, target_rows: int = TARGET_ROWS, hot: DataFrame | None = None
-) -> DataFrame:
-    """Add an order-following slice number per group, 0 for groups under the target."""
-    hot = hot_groups(df, keys, by, descending, target_rows) if hot is None else hot
-    position, is_text = _position(df, by, descending)
-    here = _text_position(F.col(by), F.col("_skip")) if is_text else position
-    pieces = F.ceil(F.col("_n") / F.lit(target_rows))
-    width = (F.col("_to") - F.col("_from") + 1).cast("double") / pieces
-    slice_number = F.floor((here - F.col("_from")).cast("double") / width).cast("bigint")
-    return (
-        fetch(df, hot, keys, "left")
-        .withColumn(SLICE, F.coalesce(slice_number, F.lit(0).cast("bigint")))
-        .withColumn(_HOT, F.col("_n").isNotNull())
-        .drop("_n", "_skip", "_from", "_to")
-    )
+    dealt = df.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
+    return durable(dealt.withColumn(SLICE, F.spark_partition_id()))
 
 
 def _plain(df: DataFrame, keys: list[str], order: list[Column], number: str | None, running: dict, previous: dict, following: dict) -> DataFrame:
@@ -96,9 +48,7 @@ def ordered(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    by: str,
     *,
-    descending: bool = False,
     number: str | None = None,
     running: dict[str, str] | None = None,
     previous: dict[str, str] | None = None,
@@ -107,15 +57,15 @@ def ordered(
 ) -> DataFrame:
     """Window results per group, whatever the group's size.
 
-    ``order`` is the full order and must begin with ``by``; ``number`` names a
-    1-based row number, ``running`` maps output to a summed column (inclusive),
-    ``previous``/``following`` map output to the neighbour's column.
+    ``number`` names a 1-based row number, ``running`` maps output to a summed column
+    (inclusive), ``previous``/``following`` map output to the neighbour's column. A null
+    key is a group like any other.
     """
     running, previous, following = running or {}, previous or {}, following or {}
-    hot = hot_groups(df, keys, by, descending, target_rows)
-    if hot.isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("largest"), F.sum("_n").alias("rows")).first()
+    if (sizes.largest or 0) <= target_rows:
         return _plain(df, keys, order, number, running, previous, following)
-    sliced = with_slices(df, keys, by, descending, target_rows, hot)
+    sliced = in_ranges(df, keys, order, -(-sizes.rows // target_rows))
     inner = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sliced.withColumn("_rn", F.row_number().over(inner))
@@ -125,34 +75,37 @@ def ordered(
         out = out.withColumn(name, F.lag(column).over(inner))
     for name, column in following.items():
         out = out.withColumn(name, F.lead(column).over(inner))
+    if following:
         out = out.withColumn("_last", F.lead(F.lit(1)).over(inner).isNull())
 
-    # One row per slice of the groups above the target: what the next slices need.
+    # One row per group and range: what the next ranges of the group need.
     carries: list[Column] = [F.count(F.lit(1)).alias("_c_n")]
     carries += [F.sum(c).alias(f"_c_r_{n}") for n, c in running.items()]
     carries += [F.max_by(c, "_rn").alias(f"_c_p_{n}") for n, c in previous.items()]
     carries += [F.min_by(c, "_rn").alias(f"_c_f_{n}") for n, c in following.items()]
-    summary = out.where(F.col(_HOT)).groupBy(*keys, SLICE).agg(*carries)
+    summary = out.groupBy(*keys, SLICE).agg(*carries)
     across = Window.partitionBy(*keys).orderBy(SLICE)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     picked: list[Column] = [F.sum("_c_n").over(before).alias("_b_n")]
     picked += [F.sum(f"_c_r_{n}").over(before).alias(f"_b_r_{n}") for n in running]
     picked += [F.lag(f"_c_p_{n}").over(across).alias(f"_b_p_{n}") for n in previous]
     picked += [F.lead(f"_c_f_{n}").over(across).alias(f"_b_f_{n}") for n in following]
-    carry = summary.select(*keys, SLICE, *picked)
+    carry = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(SLICE).alias("_k_slice"), *picked)
 
-    out = out.join(carry, [*keys, SLICE], "left")
+    same = F.col(SLICE) == F.col("_k_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = out.join(carry, same, "left")
     if number:
         out = out.withColumn(number, (F.col("_rn") + F.coalesce(F.col("_b_n"), F.lit(0))).cast("bigint"))
     for name in running:
-        out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_b_r_{name}"), F.lit(0)))
+        carried, own = F.col(f"_b_r_{name}"), F.col(name)
+        out = out.withColumn(name, F.coalesce(own + carried, own, carried))
     for name in previous:
         out = out.withColumn(name, F.when(F.col("_rn") == 1, F.col(f"_b_p_{name}")).otherwise(F.col(name)))
     for name in following:
         out = out.withColumn(name, F.when(F.col("_last"), F.col(f"_b_f_{name}")).otherwise(F.col(name)))
-    scratch = [SLICE, _HOT, "_rn", "_last", "_b_n"]
-    scratch += [f"_b_r_{n}" for n in running] + [f"_b_p_{n}" for n in previous] + [f"_b_f_{n}" for n in following]
-    return out.drop(*scratch)
+    return out.select(*df.columns, *[n for n in (number,) if n], *running, *previous, *following)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, number: str = "rank") -> DataFrame:

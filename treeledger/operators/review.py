@@ -32,7 +32,7 @@ def priority(path: Column, lang: Column, kind: Column, lines: Column, module: Co
     return [entry, code, place, -lines, path]
 
 
-def prefix_pack(items: DataFrame, keys: list[str], order: list[Column], by: str, size: Column, budget: int, options: ReviewOptions = ReviewOptions()) -> DataFrame:
+def prefix_pack(items: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int, options: ReviewOptions = ReviewOptions()) -> DataFrame:
     """Running use of a budget in priority order; an item past it is left out.
 
     Each item counts at most ``max(min_item_cap, budget/3)``. Running sums are
@@ -40,7 +40,7 @@ def prefix_pack(items: DataFrame, keys: list[str], order: list[Column], by: str,
     """
     cap = max(options.min_item_cap, budget // 3)
     sized = items.withColumn("charged", F.least(size, F.lit(cap)).cast("bigint"))
-    packed = ordered(sized, keys, order, by, running={"used": "charged"}, number="position")
+    packed = ordered(sized, keys, order, running={"used": "charged"}, number="position")
     return packed.withColumn("included", F.col("used") <= budget)
 
 
@@ -57,7 +57,7 @@ def _fill(keys: list[str]):
     return run
 
 
-def greedy_fill(items: DataFrame, keys: list[str], order: list[Column], by: str, size: Column, capacity: int, task_items: int = TASK_ITEMS) -> DataFrame:
+def greedy_fill(items: DataFrame, keys: list[str], order: list[Column], size: Column, capacity: int, task_items: int = TASK_ITEMS) -> DataFrame:
     """In order, take each item that still fits; an item that does not is passed over.
 
     Groups of at most ``task_items`` are folded one task each. A larger group first
@@ -65,7 +65,7 @@ def greedy_fill(items: DataFrame, keys: list[str], order: list[Column], by: str,
     longer fit, and repeats on the rest, so no larger group meets in one task and
     the outcome is that of the one-by-one rule.
     """
-    rest = durable(ordered(items, keys, order, by, number="_place").withColumn("_size", size.cast("bigint")).withColumn("_room", F.lit(capacity).cast("bigint")))
+    rest = durable(ordered(items, keys, order, number="_place").withColumn("_size", size.cast("bigint")).withColumn("_room", F.lit(capacity).cast("bigint")))
     plain = [c for c in rest.columns if c != "_room"]
     schema = ", ".join(f"`{n}` {t}" for n, t in rest.select(*plain).dtypes) + ", included boolean"
     done: list[DataFrame] = []
@@ -75,7 +75,7 @@ def greedy_fill(items: DataFrame, keys: list[str], order: list[Column], by: str,
             done.append(rest.groupBy(*keys).applyInPandas(_fill(keys), schema))
             break
         done.append(rest.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(_fill(keys), schema))
-        summed = durable(ordered(rest.join(large, keys, "left_semi"), keys, [F.col("_place")], "_place", running={"_sum": "_size"}))
+        summed = durable(ordered(rest.join(large, keys, "left_semi"), keys, [F.col("_place")], running={"_sum": "_size"}))
         stop = summed.where(F.col("_sum") > F.col("_room")).groupBy(*keys).agg(F.min("_place").alias("_stop"))
         cut = summed.join(stop, keys, "left")
         inside = F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))
@@ -110,7 +110,7 @@ def _pack(budget: int, options: ReviewOptions):
     return run
 
 
-def pack_sections(items: DataFrame, keys: list[str], order: list[Column], by: str, head_chars: str, budget: int, options: ReviewOptions = ReviewOptions(), task_items: int = TASK_ITEMS) -> DataFrame:
+def pack_sections(items: DataFrame, keys: list[str], order: list[Column], head_chars: str, budget: int, options: ReviewOptions = ReviewOptions(), task_items: int = TASK_ITEMS) -> DataFrame:
     """Which items a budget shows, and how much of each.
 
     Room for an item is what is left after its title, at most a third of the budget;
@@ -118,7 +118,7 @@ def pack_sections(items: DataFrame, keys: list[str], order: list[Column], by: st
     folded ``task_items`` at a time per comparison; a comparison goes on to its next
     chunk with what it has used, until its items end or nothing more can fit.
     """
-    ranked = durable(ordered(items, keys, order, by, number="_place").withColumn("_chunk", F.floor((F.col("_place") - 1) / task_items)).withColumn(
+    ranked = durable(ordered(items, keys, order, number="_place").withColumn("_chunk", F.floor((F.col("_place") - 1) / task_items)).withColumn(
         "_used", F.col(head_chars).cast("bigint")))
     plain = [c for c in ranked.columns if c != "_used"]
     schema = ", ".join(f"`{n}` {t}" for n, t in ranked.select(*plain).dtypes) + ", included boolean, quoted_chars long, used long"
@@ -166,7 +166,7 @@ def tiered_budget(files: DataFrame, changed: DataFrame, keys: list[str], total:
     marked = tiers.withColumn("reason", refusal)
     open_files = marked.where(F.col("reason").isNull()).drop("reason").withColumn("_pos", F.col("tier").cast("bigint"))
     order = [F.col("_pos"), F.col("path"), (~F.col("is_new")).cast("int")]
-    filled = greedy_fill(open_files, keys, order, "_pos", F.col("size"), total).drop("_pos")
+    filled = greedy_fill(open_files, keys, order, F.col("size"), total).drop("_pos")
     return filled.withColumn("reason", F.when(~F.col("included"), "past the size limit")).unionByName(
         marked.where(F.col("reason").isNotNull()).withColumn("included", F.lit(False)))
 

@@ -323,7 +323,7 @@ def banded_pairs(groups: DataFrame, members: DataFrame) -> DataFrame:
     pair of copy groups gives its diagonal: pairs grow with the copies, not their
     square.
     """
-    numbered = durable(ordered(members, [*STEP, "is_new", "handle"], [F.col("path")], "path", number="_up"))
+    numbered = durable(ordered(members, [*STEP, "is_new", "handle"], [F.col("path")], number="_up"))
     counts = numbered.groupBy(*STEP, "is_new", "handle").agg(F.count(F.lit(1)).alias("m"))
     placed = numbered.join(counts, [*STEP, "is_new", "handle"]).withColumn("at", F.col("m") - F.col("_up") + 1)
 

@@ -71,7 +71,7 @@ def exact_renames(diff: DataFrame) -> DataFrame:
     both = moved.groupBy(*STEP, "sha256").agg(F.min("is_new").alias("_lo"), F.max("is_new").alias("_hi")).where(
         F.col("_lo") != F.col("_hi")).select(*STEP, "sha256")
     shared = moved.join(both, [*STEP, "sha256"], "left_semi")
-    ranked = ordered(shared, [*STEP, "sha256", "is_new"], [F.col("path")], "path", number="n")
+    ranked = ordered(shared, [*STEP, "sha256", "is_new"], [F.col("path")], number="n")
     return (
         ranked.groupBy(*STEP, "sha256", "n")
         .agg(F.max(F.when(~F.col("is_new"), F.col("path"))).alias("old_path"),

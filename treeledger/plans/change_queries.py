@@ -236,7 +236,7 @@ def change_order(spark, sf):
     records = change_ops.renamed_and_changed(adapters.snapshot_files(spark, sf), 1, 2)
     listed = records.where(~snapshot.is_hidden_change()).select(
         *STEP, "path", "kind", (snapshot.is_vendored_change().cast("int") * 10 + change_ops.kind_rank(F.col("kind"))).alias("band"))
-    return ordered(listed, [*STEP, "band"], [F.col("path")], "path", number="in_band").transform(
+    return ordered(listed, [*STEP, "band"], [F.col("path")], number="in_band").transform(
         lambda df: _add_band_offsets(df)).select("artifact", "path", "kind", "rank")
 
 

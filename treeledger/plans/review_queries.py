@@ -223,7 +223,7 @@ def budget_pack(spark, sf):
     """English documents first, under a budget per source."""
     docs = table(spark, sf, "documents").select(
         F.col("source").alias("artifact"), "doc_id", "n_chars", F.when(F.col("lang") == "en", 0).otherwise(1).cast("bigint").alias("band"))
-    packed = review.prefix_pack(docs, ["artifact"], [F.col("band"), F.col("doc_id")], "band", F.col("n_chars"), 9000)
+    packed = review.prefix_pack(docs, ["artifact"], [F.col("band"), F.col("doc_id")], F.col("n_chars"), 9000)
     return packed.select("artifact", "doc_id", "charged", "used", "position", "included")
 
 
@@ -240,7 +240,7 @@ def budget_fold(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.col("source").alias("artifact"), "doc_id", F.when(F.col("lang") == "en", 0).otherwise(1).cast("bigint").alias("band"),
         F.length(F.concat("source", F.col("doc_id").cast("string"))).cast("bigint").alias("title_chars"), F.col("n_chars").alias("body_chars"), F.lit(500).alias("head_chars"))
-    packed = review.pack_sections(docs, ["artifact"], [F.col("band"), F.col("doc_id")], "band", "head_chars", 9000)
+    packed = review.pack_sections(docs, ["artifact"], [F.col("band"), F.col("doc_id")], "head_chars", 9000)
     return packed.select("artifact", "doc_id", "included", "quoted_chars")
 
 

@@ -155,4 +155,4 @@ def top_level(files: DataFrame) -> DataFrame:
     heads = files.select("artifact", "seq", F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/").getItem(0).alias("entry"), "position")
     firsts = heads.where((F.col("entry") != "") & ~F.col("entry").startswith("__MACOSX")).groupBy(
         "artifact", "seq", "entry").agg(F.min("position").alias("first_at"))
-    return ordered(firsts, ["artifact", "seq"], [F.col("first_at"), F.col("entry")], "first_at", number="position").drop("first_at")
+    return ordered(firsts, ["artifact", "seq"], [F.col("first_at"), F.col("entry")], number="position").drop("first_at")

@@ -20,7 +20,7 @@ def to_manifests(facts: DataFrame, part_files: int = PART_FILES) -> DataFrame:
     A version with more than ``part_files`` files is written in parts, so no array
     grows with the version.
     """
-    numbered = ordered(facts, ["artifact", "seq"], [F.col("path")], "path", number="_n")
+    numbered = ordered(facts, ["artifact", "seq"], [F.col("path")], number="_n")
     parts = numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_files).cast("bigint"))
     entry = F.struct("path", "size", "sha256", "mode", "is_text", "is_vendor", "lang", "lines")
     grouped = parts.groupBy("artifact", "seq", "part").agg(F.sort_array(F.collect_list(entry)).alias("files"))
