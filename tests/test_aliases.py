@@ -42,3 +42,43 @@ def test_more_loose_patterns_than_a_batch(spark, monkeypatch):
     names = spark.createDataFrame([(k, f"n{k}.zip") for k in range(50)], "id long, name string")
     table = spark.createDataFrame([(k, f"f{k}", f"[n]{k}[.]", True) for k in range(60)], "alias_id long, artifact string, pattern string, is_regex boolean")
     assert rows(identity.alias_match(names, table)) == [(k, k, f"f{k}") for k in sorted(range(50), key=lambda k: repr((k, k, f"f{k}")))]
+
+
+def broadcast_explodes(df) -> list[str]:
+    """Generators below a broadcast in the plan of ``df``."""
+    found, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+        if depth is not None and "Generate" in line:
+            found.append(line.strip())
+    return found
+
+
+def small_tables(spark):
+    """Tables whose estimated size is far below what their grams take."""
+    names = spark.range(300).select("id", F.concat(F.lit("svc-"), "id", F.lit("-x.zip")).alias("name"))
+    table = spark.range(300).select(F.col("id").alias("alias_id"), F.lit("a").alias("artifact"), (F.col("id") % 2 == 0).alias("is_regex"), F.concat(F.lit("svc-"), "id", F.lit("-")).alias("pattern"))
+    return names, table
+
+
+def test_no_exploded_side_is_broadcast(spark):
+    names, table = small_tables(spark)
+    assert broadcast_explodes(identity.alias_match(names, table.drop("is_regex"))) == []
+    assert broadcast_explodes(identity.alias_match(names, table.where("is_regex"))) == []
+    known = names.select(F.col("name").alias("artifact"), F.upper("name").alias("slug"))
+    assert broadcast_explodes(identity.resolve_names(table.select(F.col("alias_id").alias("id"), F.col("pattern").alias("name")), known)) == []
+    assert rows(identity.alias_match(names, table)) == sorted([(k, k, "a") for k in range(300)], key=repr)
+
+
+@pytest.mark.parametrize("size", [200, 2000])
+def test_candidates_grow_with_the_texts(spark, size):
+    names = spark.range(size).select(F.concat(F.lit("has-rare"), "id", F.lit("-name.zip")).alias("t")).withColumn("_id", F.xxhash64("t"))
+    pieces = spark.range(size).select(F.concat(F.lit("rare"), "id", F.lit("-")).alias("n")).withColumn("p", F.col("n"))
+    assert size <= identity.candidates(names, "t", pieces, "n", "p").count() <= 3 * size
+
+
+def test_pattern_meets_names_on_its_rarest_piece():
+    assert identity.required_literals(r" #0*12345[0-9]?\.zip$") == ["12345", ".zip"]

@@ -7,38 +7,49 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import paths
-from .durable import durable
+from .durable import durable, fetch
 
-GRAM = 3
+GRAM = 8
 
 
-def _grams(text: Column) -> Column:
-    """All distinct substrings of 1..GRAM characters of a (short) name."""
-    def of(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+def _grams(text: Column, size: Column) -> Column:
+    """Hashes of all substrings of ``size`` characters; of a shorter text, of the whole."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, size)))
 
-    return F.array_distinct(F.filter(F.flatten(F.array(*[of(n) for n in range(1, GRAM + 1)])), lambda g: g != ""))
+
+def candidates(texts: DataFrame, text: str, pieces: DataFrame, needle: str, piece: str) -> DataFrame:
+    """(_id, needle): texts that hold a gram every text with the needle holds; none is missed, some are in vain.
+
+    ``texts``: _id, text. ``pieces``: needle, piece; a text with the needle holds all its pieces. A gram is a piece
+    of up to ``GRAM`` characters itself, else any part of that length, and travels as a hash. Each needle
+    meets texts on the gram that fewest needles offer: a gram that c needles chose makes at most c pairs per
+    text, so pairs grow with the texts and not with texts times needles. Neither side is broadcast unless it was
+    counted: what an explode makes is far larger than Spark's estimate of it.
+    """
+    size = F.least(F.length(piece), F.lit(GRAM))
+    offers = durable(pieces.where(F.col(piece) != "").select(needle, size.alias("_size"), F.explode(_grams(F.col(piece), size)).alias("_gram")).distinct())
+    wanted = offers.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min(F.struct("_n", (-F.col("_size")).alias("_s"), "_gram")).alias("_r")
+    chosen = durable(offers.join(wanted.hint("merge"), "_gram").groupBy(needle).agg(rarest).select(needle, (-F.col("_r._s")).alias("_size"), "_r._gram"))
+    sizes = sorted(r[0] for r in chosen.select("_size").distinct().collect()) or [GRAM]
+    held = F.array_distinct(F.flatten(F.array(*[_grams(F.col(text), F.lit(n)) for n in sizes])))
+    return fetch(texts.select("_id", F.explode(held).alias("_gram")), chosen.select(needle, "_gram"), ["_gram"]).select("_id", needle).distinct()
 
 
 def contains_join(haystacks: DataFrame, needles: DataFrame, haystack: str, needle: str) -> DataFrame:
     """Pairs where the haystack contains the needle, both already lower-cased.
 
-    Not a nested loop: every piece of a needle must occur in the haystack, so the
-    sides meet on the needle's rarest piece (of up to three characters) and only
+    Not a nested loop: distinct texts meet on one gram of a needle (``candidates``), and only
     those pairs are tested. Every containing pair is found exactly once.
     """
-    pieces = haystacks.withColumn("_gram", F.explode(_grams(F.col(haystack))))
-    common = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    texts = needles.select(needle).where(F.col(needle) != "").distinct()
-    offered = texts.withColumn("_gram", F.explode(_grams(F.col(needle)))).join(common, "_gram", "left")
-    # A piece no haystack has makes its needle unmatchable: count 0 wins and joins nothing.
-    rarest = offered.groupBy(needle).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_r")).select(needle, F.col("_r._gram").alias("_gram"))
-    hits = pieces.join(rarest, "_gram").where(F.contains(F.col(haystack), F.col(needle))).drop("_gram")
-    return hits.join(needles, needle)
+    texts = haystacks.select(haystack).where(F.col(haystack).isNotNull()).distinct().withColumn("_id", F.xxhash64(haystack))
+    met = candidates(texts, haystack, needles.select(needle, F.col(needle).alias("_piece")).distinct(), needle, "_piece")
+    hits = texts.join(met.hint("merge"), "_id").where(F.contains(F.col(haystack), F.col(needle))).select(haystack, needle)
+    return haystacks.join(hits.hint("merge"), haystack).join(needles.hint("merge"), needle)
 
 
 PIECE = 3
@@ -47,8 +58,8 @@ BATCH = 256
 TAKEN = re.compile(r"x(\{[^}]*\}|..)|u....|[pPN](\{[^}]*\}|.)|k<[^>]*>|c.|0[0-7]{1,3}|[1-9][0-9]*|.", re.S)
 
 
-def required_literal(pattern: str) -> str:
-    """A run of ASCII characters, lower-cased, that every match of a regular expression holds; '' if none of ``PIECE`` is sure.
+def required_literals(pattern: str) -> list[str]:
+    """Runs of ``PIECE`` or more ASCII characters, lower-cased, that every match of a regular expression holds.
 
     Only plain characters outside groups and classes are sure. A quantifier that allows none takes the character
     before it away, any quantifier ends the run, and an alternative at the top or a comment mode makes nothing sure.
@@ -79,7 +90,7 @@ def required_literal(pattern: str) -> str:
         return k
 
     if re.search(r"\(\?[a-zA-Z-]*x", pattern):
-        return ""
+        return []
     while at < len(pattern):
         c, step = pattern[at], 1
         if c == "\\" and pattern.startswith("Q", at + 1):
@@ -91,7 +102,7 @@ def required_literal(pattern: str) -> str:
         if c == "\\":
             taken = TAKEN.match(pattern, at + 1)
             if taken is None:
-                return ""
+                return []
             step = 1 + len(taken[0])
             plain = not (taken[0][0].isascii() and taken[0][0].isalnum())
             if plain:
@@ -100,7 +111,7 @@ def required_literal(pattern: str) -> str:
                 runs.append(run)
                 run = ""
         elif c == "|":
-            return ""
+            return []
         elif c in "([":
             runs.append(run)
             run, step = "", skipped(at, c, {"(": ")", "[": "]"}[c]) - at
@@ -114,35 +125,41 @@ def required_literal(pattern: str) -> str:
             run += c
         at += step
     pieces = [p for r in [*runs, run] for p in re.findall(r"[ -~]+", r)]
-    best = max(pieces, key=len, default="")
-    return best.lower() if len(best) >= PIECE else ""
+    return [p.lower() for p in pieces if len(p) >= PIECE]
+
+
+def required_literal(pattern: str) -> str:
+    """The longest of ``required_literals``, '' if there is none."""
+    return max(required_literals(pattern), key=len, default="")
 
 
-@F.pandas_udf(StringType())
-def literal_piece(pattern: pd.Series) -> pd.Series:
-    return pattern.map(required_literal)
+@F.pandas_udf(ArrayType(StringType()))
+def literal_pieces(pattern: pd.Series) -> pd.Series:
+    return pattern.map(required_literals)
 
 
-def regex_hits(names: DataFrame, patterns: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, alias) of names a regular expression of a table is found in; a pattern that does not compile is found nowhere.
+def regex_hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(_raw, _a) of texts a regular expression of a table is found in; a pattern that does not compile is found nowhere.
 
-    Patterns with a sure literal piece meet only names that contain it. Those without have to be tried on
-    every name: they are packed into rows of up to ``BATCH``, and a name gets the first hit of each row.
+    ``texts``: _id, _raw, _low. Patterns with sure literal pieces meet only texts that contain the rarest of them. Those
+    without have to be tried on every text: they are packed into rows of up to ``BATCH``, and a text gets the first hit of each row.
     """
     compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
-    cut = durable(patterns.where(F.col("pattern").isNotNull()).where(compiles).withColumn("_piece", literal_piece(F.col("pattern"))))
-    lowered = names.select(key, F.col(name).alias("_raw"), F.lower(name).alias("_name"))
-    near = contains_join(lowered, cut.where("_piece <> ''"), "_name", "_piece")
-    found = near.where(F.expr("_raw rlike pattern")).select(key, F.struct("alias_id", "artifact").alias("_a"))
-    loose = cut.where("_piece = ''")
+    # Of aliases with one pattern only the first can win.
+    first = patterns.where(F.col("pattern").isNotNull()).where(compiles).groupBy("pattern").agg(F.min(F.struct("alias_id", "artifact")).alias("_a"))
+    cut = durable(first.withColumn("_pieces", literal_pieces(F.col("pattern"))))
+    met = candidates(texts, "_low", cut.select("pattern", F.explode("_pieces").alias("_piece")), "pattern", "_piece")
+    near = texts.join(met.hint("merge"), "_id").where(F.expr("_raw rlike pattern")).select("_raw", "pattern")
+    found = near.join(cut.select("pattern", "_a").hint("merge"), "pattern").select("_raw", "_a")
+    loose = cut.where(F.size("_pieces") == 0)
     batches = -(-loose.count() // BATCH)
     if not batches:
         return found
-    packed = loose.groupBy(F.pmod(F.xxhash64("alias_id", "pattern"), F.lit(batches)).alias("_batch")).agg(
-        F.sort_array(F.collect_list(F.struct("alias_id", "artifact", "pattern"))).alias("_patterns"))
-    tried = lowered.withColumn("_batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long")))).join(packed, "_batch")
-    first = F.try_element_at(F.filter("_patterns", lambda p: F.rlike(F.col("_raw"), p["pattern"])), F.lit(1))
-    hits = tried.select(key, first.alias("_p")).where("_p IS NOT NULL").select(key, F.struct("_p.alias_id", "_p.artifact").alias("_a"))
+    packed = loose.groupBy(F.pmod(F.xxhash64("_a.alias_id", "pattern"), F.lit(batches)).alias("_batch")).agg(
+        F.sort_array(F.collect_list(F.struct("_a.alias_id", "_a.artifact", "pattern"))).alias("_patterns"))
+    tried = texts.select("_raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("_batch")).join(packed, "_batch")
+    best = F.try_element_at(F.filter("_patterns", lambda p: F.rlike(F.col("_raw"), p["pattern"])), F.lit(1))
+    hits = tried.select("_raw", best.alias("_p")).where("_p IS NOT NULL").select("_raw", F.struct("_p.alias_id", "_p.artifact").alias("_a"))
     return found.unionByName(hits)
 
 
@@ -152,23 +169,27 @@ def alias_match(names: DataFrame, aliases: DataFrame, rules: tuple[tuple[int, st
     ``aliases``: alias_id, artifact, pattern, and optionally is_regex: such a pattern is a
     regular expression, searched in the name as it is written. ``rules`` are more of
     them (alias_id, pattern, artifact): configuration of a fixed, small number, compiled
-    into the plan as literals.
+    into the plan as literals. Equal names are matched once.
     """
     patterns = None
     if "is_regex" in aliases.columns:
         patterns = aliases.where("is_regex").select("alias_id", "artifact", "pattern")
         aliases = aliases.where(~F.coalesce("is_regex", F.lit(False)))
-    lowered = names.select(key, F.lower(name).alias("_name"))
+    named = names.select(key, F.col(name).alias("_raw")).where(F.col("_raw").isNotNull())
+    texts = named.select("_raw").distinct().select("_raw", F.lower("_raw").alias("_low"), F.xxhash64("_raw").alias("_id"))
     # Of aliases with one pattern only the first can win: one needle per pattern.
-    needles = aliases.groupBy(F.lower("pattern").alias("_pattern")).agg(F.min(F.struct("alias_id", "artifact")).alias("_a"))
-    hits = contains_join(lowered, needles, "_name", "_pattern").select(key, "_a")
+    needles = durable(aliases.groupBy(F.lower("pattern").alias("_pattern")).agg(F.min(F.struct("alias_id", "artifact")).alias("_a")))
+    met = candidates(texts, "_low", needles.select("_pattern", F.col("_pattern").alias("_piece")), "_pattern", "_piece")
+    held = texts.join(met.hint("merge"), "_id").where(F.contains("_low", "_pattern")).select("_raw", "_pattern")
+    hits = held.join(needles.hint("merge"), "_pattern").select("_raw", "_a")
     if patterns is not None:
-        hits = hits.unionByName(regex_hits(names, patterns, key, name))
+        hits = hits.unionByName(regex_hits(texts, patterns))
     if rules:
-        literal = F.array(*[F.when(F.col(name).rlike(p), F.struct(F.lit(i).cast("bigint").alias("alias_id"), F.lit(a).alias("artifact"))) for i, p, a in rules])
-        by_rule = names.select(key, F.explode(F.filter(literal, lambda r: r.isNotNull())).alias("_a"))
+        literal = F.array(*[F.when(F.col("_raw").rlike(p), F.struct(F.lit(i).cast("bigint").alias("alias_id"), F.lit(a).alias("artifact"))) for i, p, a in rules])
+        by_rule = texts.select("_raw", F.explode(F.filter(literal, lambda r: r.isNotNull())).alias("_a"))
         hits = hits.unionByName(by_rule)
-    first = hits.groupBy(key).agg(F.min("_a").alias("_a"))
+    best = hits.groupBy("_raw").agg(F.min("_a").alias("_a"))
+    first = named.join(best.hint("merge"), "_raw").groupBy(key).agg(F.min("_a").alias("_a"))
     return first.select(key, F.col("_a.alias_id").alias("alias_id"), F.col("_a.artifact").alias("artifact"))
 
 
@@ -180,14 +201,14 @@ def resolve_names(asked: DataFrame, known: DataFrame, key: str = "id", name: str
     want = asked.select(key, name, F.lower(name).alias("_low"))
     by_name = known.groupBy(F.lower("artifact").alias("_low")).agg(F.min("artifact").alias("_by_name"))
     by_slug = known.groupBy(F.col("slug").alias(name)).agg(F.min("artifact").alias("_by_slug"))
-    direct = want.join(by_name, "_low", "left").join(by_slug, name, "left")
-    open_asks = direct.where(F.col("_by_name").isNull() & F.col("_by_slug").isNull()).select("_low").distinct()
+    direct = want.join(by_name.hint("merge"), "_low", "left").join(by_slug.hint("merge"), name, "left")
+    open_asks = durable(direct.where(F.col("_by_name").isNull() & F.col("_by_slug").isNull()).select("_low").distinct())
     texts = known.select("artifact", F.lower("artifact").alias("_text")).unionByName(known.select("artifact", F.lower("slug").alias("_text")))
     found = contains_join(texts.distinct(), open_asks, "_text", "_low").groupBy("_low").agg(
         F.min("artifact").alias("_lo"), F.max("artifact").alias("_hi"))
     only = found.where(F.col("_lo") == F.col("_hi")).select("_low", F.col("_lo").alias("_inside"))
     how = F.when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_slug").isNotNull(), "slug").when(F.col("_inside").isNotNull(), "substring")
-    return direct.join(only, "_low", "left").select(key, name, F.coalesce("_by_name", "_by_slug", "_inside").alias("artifact"), how.alias("how"))
+    return direct.join(only.hint("merge"), "_low", "left").select(key, name, F.coalesce("_by_name", "_by_slug", "_inside").alias("artifact"), how.alias("how"))
 
 
 def identify(
