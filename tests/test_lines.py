@@ -145,3 +145,22 @@ def test_rename_survives_a_moved_line(spark):
                                      "artifact string, old_seq int, new_seq int, is_new boolean, sha256 string, content string")
     scores = spark.createDataFrame([("a", 1, 2, "o", "n")], "artifact string, old_seq int, new_seq int, old_class string, new_class string")
     assert rows(similar.with_ordered_ratio(scores, contents, .55), "ratio") == [(.95,)]
+
+
+def test_ordered_ratio_by_the_rule_of_the_sql(spark):
+    """Crossing lines and gaps with anchors of their own, where ``aligned`` matches more."""
+    import duckdb
+    from treeledger.operators import similar
+    from treeledger.operators.alignment import aligned, matched, sql_matched
+
+    texts = {"o1": "a\nb\nc\nd\ne\nf", "n1": "f\na\nb\nc\nd\ne", "o2": "x\na\nx\nb\ny\ny", "n2": "y\na\ny\nb\nx\nz"}
+    contents = spark.createDataFrame([("p", 1, 2, k[0] == "n", k, v) for k, v in texts.items()], "artifact string, old_seq int, new_seq int, is_new boolean, sha256 string, content string")
+    pairs = spark.createDataFrame([("p", 1, 2, f"o{k}", f"n{k}") for k in (1, 2)], "artifact string, old_seq int, new_seq int, old_class string, new_class string")
+
+    def ratios(match):
+        return {r.old_class: r.ratio for r in similar.with_ordered_ratio(pairs, contents, 0.0, match).collect()}
+
+    items = ", ".join(f"({k}, {side}, {i}, '{line}')" for k in (1, 2) for side, name in (("false", "o"), ("true", "n")) for i, line in enumerate(texts[f"{name}{k}"].split("\n"), 1))
+    want = duckdb.sql(f"WITH it AS (SELECT * FROM (VALUES {items}) AS v(k, is_new, no, item)), {sql_matched('it', 'k')} SELECT k, 2.0 * count(*) / 12 FROM matched GROUP BY k").fetchall()
+    assert {k: v for k, v in ratios(matched).items() if v} == {f"o{k}": v for k, v in want}
+    assert ratios(aligned)["o1"] > ratios(matched)["o1"]
