@@ -161,6 +161,6 @@ def test_ordered_ratio_by_the_rule_of_the_sql(spark):
         return {r.old_class: r.ratio for r in similar.with_ordered_ratio(pairs, contents, 0.0, match).collect()}
 
     items = ", ".join(f"({k}, {side}, {i}, '{line}')" for k in (1, 2) for side, name in (("false", "o"), ("true", "n")) for i, line in enumerate(texts[f"{name}{k}"].split("\n"), 1))
-    want = duckdb.sql(f"WITH it AS (SELECT * FROM (VALUES {items}) AS v(k, is_new, no, item)), {sql_matched('it', 'k')} SELECT k, 2.0 * count(*) / 12 FROM matched GROUP BY k").fetchall()
-    assert {k: v for k, v in ratios(matched).items() if v} == {f"o{k}": v for k, v in want}
+    want = duckdb.sql(f"WITH it AS (SELECT * FROM (VALUES {items}) AS v(pair, is_new, no, item)), {sql_matched('it', 'pair')} SELECT pair, 2.0 * count(*) / 12 FROM matched GROUP BY pair").fetchall()
+    assert {k: v for k, v in ratios(matched).items() if v} == {f"o{k}": float(v) for k, v in want}
     assert ratios(aligned)["o1"] > ratios(matched)["o1"]

@@ -279,3 +279,31 @@ def test_summary_words(spark):
     effect = changes.impact(F.col("al"), F.col("rl"), {"env var": F.col("env"), "secret": F.col("secret")})
     assert [r[0] for r in df.select(changes.summary_line(head, effect)).collect()] == [
         "2 added, 1 modified, 52 vendored · +24/-5 lines · new: 1 env var", "no file changes", "3 modified · new: 2 env vars, 1 secret"]
+
+
+def test_many_changed_keys_send_measures_not_texts(spark, monkeypatch):
+    """Above the broadcast limit, line hashes and measures meet the keys; the outcome is the same and no text is shuffled."""
+    from functools import partial
+
+    from treeledger.operators import changes, durable, similar
+
+    texts = [("a.txt", "x\ny\n", "x\nz\nz"), ("b.txt", "k  l", "k l"), ("c.txt", "", "new"), ("d.txt", "w" * 900, "w" * 901), ("e.txt", "m\nm", None)]
+    found = [("p", s, path, t, 420) for path, *sides in texts for s, t in enumerate(sides, 1) if t is not None]
+    found += [("p", 1, "old/f.txt", "1\n2\n3\n4", 420), ("p", 2, "new/f.txt", "1\n2\n3\n5", 420)]
+    files = spark.createDataFrame(found, "artifact string, seq int, path string, content string, mode int")
+
+    def run():
+        records = changes.renamed_and_changed(files, 1, 2)
+        measured = changes.text_measures(records, files)
+        return records, measured, sorted(map(repr, changes.file_changes(records, files).collect()))
+
+    few = run()[2]
+    for module in (changes, similar):
+        monkeypatch.setattr(module, "fetch_measured", partial(durable.fetch_measured, limit=0))
+    records, measured, many = run()
+    assert many == few and any("renamed" in r for r in few)
+    plan = measured._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert not any("Exchange" not in line and "Sort [content" in line for line in plan.split("\n"))
+    joined = measured._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert "whitespace" in joined or "transform(split(" in joined  # measured below the join
