@@ -107,3 +107,17 @@ def test_age(spark):
     ages = [30, 60, 3600 * 5, 86400, 86400 * 3, 86400 * 21, 86400 * 90]
     got = column(spark, [now - dt.timedelta(seconds=s) for s in ages], lambda c: labels.age_label(c, F.lit("2026-01-31").cast("timestamp")), "timestamp")
     assert got == ["just now", "1 minute ago", "5 hours ago", "yesterday", "3 days ago", "3 weeks ago", "2025-11-02"]
+
+
+def test_renames_and_slugs_name_each_step_once(spark):
+    """The plan must not repeat a step for every use of its result."""
+    from treeledger.functions import paths
+
+    df = spark.createDataFrame([("a/b-1.0/x.txt", "a/b-2.0/x.txt"), ("same", "same"), ("", "a"), (None, "a"), ("con.txt", "...")], "a string, b string")
+    found = df.withColumn("p", paths.rename_struct(F.col("a"), F.col("b"))).select("a", "b", "p.*", paths.slugify(F.col("a")).alias("slug"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 and plan.count("translate(") == 1
+    got = [tuple(r) for r in found.collect()]
+    assert got[:3] == [
+        ("a/b-1.0/x.txt", "a/b-2.0/x.txt", "a/b-", "1", "2", ".0/x.txt", "a-b-1.0-x.txt"), ("same", "same", "same", "", "", "", "same"), ("", "a", "", "", "a", "", "unnamed")]
+    assert got[3][-1] is None and got[4][-1] == "_con.txt"
