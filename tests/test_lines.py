@@ -185,3 +185,20 @@ def test_line_ops_match_where_the_texts_lie(spark):
     """One shuffle, of the lines that are shown."""
     got = plan(lines.line_ops(pairs(spark, edits(5)), ["id"])).split("== Physical Plan ==")[1]
     assert got.count("Exchange ") == 1 and "FlatMapGroupsInPandas" not in got
+
+
+def test_small_groups_are_assigned_together(spark):
+    """Many groups to a call, each on its own, with keys that a float cannot hold."""
+    big = 2**60
+    data = [(g, left, right, float((left * right + (g or 0)) % 3)) for g in [None, *range(big, big + 40)] for left in (1, 2) for right in (1, 2)]
+    df = spark.createDataFrame(data, "k bigint, l int, r int, ratio double")
+    want = []
+    for g in {d[0] for d in data}:
+        used = set()
+        for _, a, b, s in sorted((d for d in data if d[0] == g), key=lambda d: (-d[3], -d[1], -d[2])):
+            if ("l", a) not in used and ("r", b) not in used:
+                used |= {("l", a), ("r", b)}
+                want.append((g, a, b, s))
+    got = similar.greedy_match(df, ["k"], "l", "r")
+    assert rows(got, "k", "l", "r", "ratio") == sorted(want, key=repr)
+    assert "_bundle" in plan(got)
