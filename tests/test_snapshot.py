@@ -307,3 +307,23 @@ def test_many_changed_keys_send_measures_not_texts(spark, monkeypatch):
     assert not any("Exchange" not in line and "Sort [content" in line for line in plan.split("\n"))
     joined = measured._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
     assert "whitespace" in joined or "transform(split(" in joined  # measured below the join
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_lines_stay_behind_the_shuffle_of_their_file(spark, monkeypatch, limit):
+    """A changed file goes to the shuffle as one row a side: no line carries its keys there, and no hash of a content does."""
+    from functools import partial
+
+    from treeledger.operators import durable
+
+    monkeypatch.setattr(changes, "fetch_measured", partial(durable.fetch_measured, limit=limit))
+    files = tree(spark, {"a.txt": "x\nx\nx\ny", "b.txt": "", "c.txt": "k  l\n", "d.txt": "gone\ngone"}, {"a.txt": "x\nz\nz", "b.txt": "\n", "c.txt": " k l", "e.txt": "p\np\nq"})
+    records = changes.renamed_and_changed(files, 1, 2)
+    out = changes.file_changes(records, files)
+    assert rows(out, "path", "kind", "added_lines", "removed_lines", "skipped_reason") == [
+        ("a.txt", "modified", 2, 3, None), ("b.txt", "modified", 1, 0, None), ("c.txt", "modified", 0, 0, "whitespace only"),
+        ("d.txt", "removed", 0, 2, None), ("e.txt", "added", 3, 0, None)]
+    plan = changes.text_measures(records, files)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not any("hashpartitioning" in line and "h2#" in line for line in plan.split("\n"))
+    whole = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "content_differs" in whole.split("\n")[1]  # what the hashes tell is known below the join
