@@ -327,3 +327,34 @@ def test_lines_stay_behind_the_shuffle_of_their_file(spark, monkeypatch, limit):
     assert "hashpartitioning" in plan and not any("hashpartitioning" in line and "h2#" in line for line in plan.split("\n"))
     whole = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
     assert "content_differs" in whole.split("\n")[1]  # what the hashes tell is known below the join
+
+
+def test_a_sieve_loses_no_key_and_passes_few_others(spark):
+    """Whatever the number of bits, every wanted row passes; with enough of them hardly any other does."""
+    from treeledger.operators import durable
+
+    big = spark.range(40_000).selectExpr("concat('a', id % 7) AS artifact", "CAST(id % 2 AS INT) AS seq", "concat('p/', id) AS at", "CAST(id AS DOUBLE) AS d")
+    keys = durable.durable(big.where("hash(at) % 5 = 0").withColumn("seq", F.col("seq").cast("bigint")))
+    on, wanted = ["artifact", "seq", "at"], keys.count()
+    for bits, most in ((durable.SIEVE_BITS, wanted + 100), (100_000, 20_000), (1_000, 40_000)):
+        passed = durable.sieved(big, keys, on, bits)
+        assert wanted <= passed.count() <= most
+        assert keys.join(passed, on, "left_anti").isEmpty()
+    assert durable.sieved(big, keys, ["d"]).count() == 40_000  # equal doubles need not have equal strings
+
+
+def test_measures_above_the_limit_are_sieved_and_shuffled_once(spark):
+    """Rows that no key wants stay behind, and rows dealt by some of the keys need no second shuffle; doubles and nulls join as ever."""
+    from treeledger.operators import durable
+
+    big = spark.createDataFrame(
+        [("p", 1, "a", "x"), ("p", 2, "a", "y"), ("p", 2, "a", "again"), ("p", 1, "b", None), ("p", 1, None, "n"), ("q", 1, "a", "z")],
+        "artifact string, seq int, at string, content string")
+    keys = durable.durable(spark.createDataFrame(
+        [("p", 1, "a", 5), ("p", 1, "a", 6), ("p", 2, "a", 5), ("p", 1, "b", 7), ("p", 1, None, 8), ("r", 1, "a", 9)], "artifact string, seq int, at string, step int"))
+    on = ["artifact", "seq", "at"]
+    few, many = (durable.fetch_measured(big, keys, on, [F.upper("content").alias("up")], limit=limit, by=["artifact", "at"]) for limit in (100, 0))
+    picked = [*on, "step", "up"]
+    assert rows(many, *picked) == rows(few, *picked) and many.count() == 5
+    plan = many.groupBy("artifact", "at", "up").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(artifact") == 1 and "LeftSemi" in plan
